@@ -113,14 +113,13 @@ def vector_topk_blocks(spark, d):
 
 # law scope of the questions: two laws in the first tier, one in the second, versions by number
 LAW_SCOPE = """lawscope AS (SELECT question_id, CASE WHEN j < 4 THEN 'tier1_primary' ELSE 'tier2_secondary' END AS tier,
- (question_id + j // 2) % 10 AS law_id, j // 2 AS law_order, (question_id * 2 + j) % 20 AS version_id FROM questions, range(6) t(j) WHERE question_id < 10)"""
+ (question_id + j // 2) % 10 AS law_id, j // 2 AS law_order, (question_id * 2 + j) % 20 AS version_id FROM questions, range(6) t(j))"""
 
 
 def law_scope(spark, d):
     j = F.col("j")
     return (
         S.questions(spark, d)
-        .join(S.query_vectors(spark, d).select("question_id"), "question_id", "left_semi")
         .select("question_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j"))
         .select(
             "question_id",
@@ -132,6 +131,11 @@ def law_scope(spark, d):
     )
 
 
+def question_vectors(spark, d):
+    """Vectors of the questions: the vector id is the question id."""
+    return S.query_vectors(spark, d).join(S.questions(spark, d).select("question_id"), "question_id", "left_semi")
+
+
 def doc_vectors(spark, d):
     """Vectors of the corpus: the vector id is the document id."""
     kinds = S.corpus(spark, d).select(F.col("doc_id").alias("vec_id"), "doc_type")
@@ -139,14 +143,13 @@ def doc_vectors(spark, d):
 
 
 def _hybrid(spark, d):
-    q = S.questions(spark, d).join(S.query_vectors(spark, d).select("question_id"), "question_id", "left_semi")
-    return R.hybrid_retrieve(q, law_scope(spark, d), S.corpus(spark, d), S.query_vectors(spark, d), doc_vectors(spark, d))
+    q = S.questions(spark, d)
+    return R.hybrid_retrieve(q, law_scope(spark, d), S.corpus(spark, d), question_vectors(spark, d), doc_vectors(spark, d))
 
 
 HYBRID = [
     S.QUESTIONS, S.CORPUS, S.VECTORS, S.QUERY_VECTORS, LAW_SCOPE,
-    "qs AS (SELECT * FROM questions WHERE question_id < 10)",
-    bm25_sql("qs", "lawscope"),
+    bm25_sql("questions", "lawscope"),
     """plan AS (SELECT *, greatest(5, CASE tier WHEN 'tier1_primary' THEN 30 ELSE 15 END // (SELECT count(DISTINCT law_id)
  FROM lawscope b WHERE b.question_id = a.question_id AND b.tier = a.tier)) AS budget FROM lawscope a)""",
     """lex AS (SELECT * FROM (SELECT question_id, tier, law_id, law_order, doc_type, doc_id, version_id, -score AS bm25_rank, budget,
@@ -176,12 +179,12 @@ def hybrid_retrieve(spark, d):
  CAST(count(DISTINCT doc_id) AS BIGINT) AS kept FROM arrived GROUP BY 1""")
 def hybrid_duplicates(spark, d):
     """How many hits the union brought and how many are left once seen twice is removed."""
-    q = S.questions(spark, d).join(S.query_vectors(spark, d).select("question_id"), "question_id", "left_semi")
+    q = S.questions(spark, d)
     scope = law_scope(spark, d)
     plan = R.law_budgets(scope, R.FULL_BUDGETS)
     lex = R.bm25_scores(q, S.corpus(spark, d), scope=scope).join(plan, ["question_id", "version_id"])
     lex = R.top_k_by(lex, ["question_id", "tier", "law_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], F.col("budget"), 30)
-    sem = R.vector_candidates(S.query_vectors(spark, d), doc_vectors(spark, d), 30, scope).join(plan, ["question_id", "version_id"])
+    sem = R.vector_candidates(question_vectors(spark, d), doc_vectors(spark, d), 30, scope).join(plan, ["question_id", "version_id"])
     sem = R.top_k_by(sem, ["question_id", "tier", "law_id"], [F.asc("distance"), F.asc("vec_id")], F.col("budget"), 30)
     both = lex.select("question_id", "doc_id").unionByName(sem.select("question_id", F.col("vec_id").alias("doc_id")))
     return both.groupBy("question_id", "doc_id").count().groupBy("question_id").agg(
@@ -189,7 +192,7 @@ def hybrid_duplicates(spark, d):
     )
 
 
-ENTITIES = """ents AS (SELECT question_id, entity_order, entity FROM questions, (VALUES (0, 'sa'), (1, 'SRL'), (2, 'none')) e(entity_order, entity) WHERE question_id < 10)"""
+ENTITIES = """ents AS (SELECT question_id, entity_order, entity FROM questions, (VALUES (0, 'sa'), (1, 'SRL'), (2, 'none')) e(entity_order, entity))"""
 KEYWORDS = _values((e, i, w) for e, ks in ENTITY_KEYWORDS.items() for i, w in enumerate(ks))
 
 
@@ -282,14 +285,15 @@ def group_topk(spark, d):
 
 GOVERNING = S.with_(
     S.QUESTIONS, S.CORPUS, S.VECTORS, S.QUERY_VECTORS,
-    "need AS (SELECT * FROM questions WHERE question_id < 16)",
+    "need AS (SELECT * FROM questions)",
+    "nvec AS (SELECT * FROM qvec WHERE question_id IN (SELECT question_id FROM need) AND vector[1] > 0)",
     "gscope AS (SELECT DISTINCT question_id, (question_id + j) % 20 AS version_id FROM need, range(6) t(j))",
     "exact AS (SELECT question_id, c.doc_type, c.doc_id FROM need JOIN corpus c ON c.doc_id = question_id * 7 WHERE question_id % 4 = 0)",
-    "lastq AS (SELECT * FROM need WHERE question_id NOT IN (SELECT question_id FROM exact) AND question_id NOT IN (SELECT question_id FROM qvec))",
+    "lastq AS (SELECT * FROM need WHERE question_id NOT IN (SELECT question_id FROM exact) AND question_id NOT IN (SELECT question_id FROM nvec))",
     bm25_sql("lastq", "gscope"),
 ) + f"""SELECT *, 'exact' AS strategy FROM exact UNION ALL
  SELECT question_id, doc_type, vec_id, 'semantic' FROM (SELECT q.question_id, c.doc_type, vec_id, row_number() OVER (PARTITION BY q.question_id ORDER BY {DIST}, vec_id) AS r
-  FROM qvec q JOIN gscope s ON s.question_id = q.question_id JOIN vectors v ON v.version_id = s.version_id JOIN corpus c ON c.doc_id = v.vec_id
+  FROM nvec q JOIN gscope s ON s.question_id = q.question_id JOIN vectors v ON v.version_id = s.version_id JOIN corpus c ON c.doc_id = v.vec_id
   WHERE q.question_id NOT IN (SELECT question_id FROM exact)) WHERE r <= 5 UNION ALL
  SELECT question_id, doc_type, doc_id, 'bm25' FROM (SELECT *, {TOPK} AS r FROM scores) WHERE r <= 5"""
 
@@ -297,7 +301,7 @@ GOVERNING = S.with_(
 @add("governing_norm", GOVERNING)
 def governing_norm(spark, d):
     q = S.questions(spark, d)
-    need = q.where("question_id < 16")
+    need = q
     corpus = S.corpus(spark, d)
     exact = need.where("question_id % 4 = 0").select("question_id", (F.col("question_id") * 7).alias("doc_id")).join(
         corpus.select("doc_type", "doc_id"), "doc_id"
@@ -305,4 +309,5 @@ def governing_norm(spark, d):
     scope = need.select("question_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j")).select(
         "question_id", ((F.col("question_id") + F.col("j")) % 20).alias("version_id")
     )
-    return R.fetch_governing_norm(need, exact, S.query_vectors(spark, d), doc_vectors(spark, d), need, corpus, scope)
+    known = question_vectors(spark, d).where(F.element_at("vector", 1) > 0)
+    return R.fetch_governing_norm(need, exact, known, doc_vectors(spark, d), need, corpus, scope)

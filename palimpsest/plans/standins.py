@@ -80,7 +80,7 @@ ARTICLE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_exte
 def articles(spark, d):
     li = load(spark, d, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy(*ARTICLE_ORDER)
-    n = F.col("l_quantity").cast("long") % 7 + 1
+    n = F.col("l_quantity").cast("long")
     lead = (
         F.when(F.col("l_returnflag") == "A", "cu exceptia prevederilor art. ")
         .when(F.col("l_returnflag") == "R", "prin derogare de la prevederile art. ")
@@ -90,7 +90,7 @@ def articles(spark, d):
         F.lit("Prevederile art. "), (F.col("l_linenumber") + 1).cast("string"), F.lit(" se aplica, "), lead,
         n.cast("string"), F.lit("; vezi art. "), F.col("l_linenumber").cast("string"), F.lit(" din Legea nr. "),
         F.col("l_suppkey").cast("string"), F.lit("/"), (F.lit(1990) + F.col("l_suppkey") % 30).cast("string"),
-        F.lit(" si art. 2 Codul civil, partea "), F.col("l_linestatus"),
+        F.lit(" si art. 2 C.muncii, partea "), F.col("l_linestatus"),
     )
     return li.withColumn("order_index", F.row_number().over(w).cast("long")).select(
         (F.col("l_orderkey") * 1000 + F.col("order_index")).alias("article_id"),
@@ -107,9 +107,9 @@ ARTICLES = """articles AS (SELECT l_orderkey * 1000 + rn AS article_id, l_orderk
  CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS element_id, rn AS order_index,
  'Prevederile art. ' || (l_linenumber + 1) || ' se aplica, ' ||
  CASE l_returnflag WHEN 'A' THEN 'cu exceptia prevederilor art. ' WHEN 'R' THEN 'prin derogare de la prevederile art. '
-   ELSE 'potrivit art. ' END || (CAST(floor(l_quantity) AS BIGINT) % 7 + 1) ||
+   ELSE 'potrivit art. ' END || CAST(floor(l_quantity) AS BIGINT) ||
  '; vezi art. ' || l_linenumber || ' din Legea nr. ' || l_suppkey || '/' || (1990 + l_suppkey % 30) ||
- ' si art. 2 Codul civil, partea ' || l_linestatus AS full_text
+ ' si art. 2 C.muncii, partea ' || l_linestatus AS full_text
  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
  l_extendedprice) AS rn FROM lineitem))"""
 
@@ -165,10 +165,10 @@ VECTORS = "vectors AS (SELECT vec_id, embedding AS vector, vec_id % 20 AS versio
 
 
 def query_vectors(spark, d):
-    return load(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
 
 
-QUERY_VECTORS = "qvec AS (SELECT vec_id AS question_id, embedding AS vector FROM embeddings WHERE vec_id < 10)"
+QUERY_VECTORS = "qvec AS (SELECT vec_id AS question_id, embedding AS vector FROM embeddings)"
 
 
 def fx(spark, d):

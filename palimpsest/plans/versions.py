@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import dates as D
 from palimpsest.operators import versions as V
-from palimpsest.operators.core import best_row
+from palimpsest.operators.core import number_rows
 from palimpsest.plans import standins as S
 from palimpsest.plans.registry import REGISTRY
 
@@ -310,15 +310,9 @@ def currency_status(spark, d):
     cand = S.laws(spark, d).select("law_id").join(cur.select("law_id", "ver_id"), "law_id", "left")
     pages = cur.where("ver_id % 6 <> 1").select("ver_id", F.when(F.col("ver_id") % 4 == 0, F.col("ver_id") + 1).alias("next_ver"), "law_id")
     listed = pages.select("ver_id", "law_id").join(k.select("law_id", F.col("ver_id").alias("hist_ver_id"), "date_in_force"), "law_id")
-    # newest first: the position is the number of days back, then the id
-    pos = F.struct(-F.unix_date("date_in_force"), -F.col("hist_ver_id"))
-    top = best_row(listed.select("ver_id", "hist_ver_id", "date_in_force"), ["ver_id"], ["date_in_force", "hist_ver_id"]).select("ver_id", F.col("hist_ver_id").alias("_top"))
-    hist = listed.join(top, "ver_id").select(
-        "ver_id",
-        F.when(F.col("hist_ver_id") == F.col("_top"), 0).otherwise((pos["col1"] + 100000) * 10000000000 - F.col("hist_ver_id")).alias("pos"),
-        "hist_ver_id",
-        text_day("date_in_force").alias("hist_date"),
-    )
+    newest_first = [F.desc("date_in_force"), F.desc("hist_ver_id")]
+    placed = number_rows(listed, ["ver_id"], newest_first, -F.unix_date("date_in_force"))
+    hist = placed.select("ver_id", (F.col("rn") - 1).alias("pos"), "hist_ver_id", text_day("date_in_force").alias("hist_date"))
     out = V.currency_status(cand, pages.drop("law_id"), hist, v)
     return out.select("law_id", "currency_status", F.col("official_latest_ver_id").cast("string").alias("official_latest_ver_id"), "official_latest_date")
 
