@@ -302,7 +302,7 @@ def word_variants(q: DataFrame, most: int = 3) -> DataFrame:
     return top_k(once, ["query_id"], [F.asc("_i"), F.asc("_f")], most).select("query_id", "variant", "rank")
 
 
-# Endings a definite form may carry, in the order they are tried.
+# Endings a definite form may carry; the shortest that fits is cut.
 ENDINGS = ("ul", "a", "ea", "ua", "ului", "ei", "iei", "elor")
 # Words a query may start with that name a kind of act.
 ACT_WORDS = (
@@ -313,15 +313,8 @@ ACT_WORDS = (
 
 def bare_words(col: Column) -> Column:
     """Words without definite endings and diacritics, for comparing short names."""
-
-    def bare(w: Column) -> Column:
-        out = w
-        for end in reversed(ENDINGS):
-            fits = F.endswith(w, F.lit(end)) & (F.length(w) > len(end) + 1)
-            out = F.when(fits, F.substring(w, F.lit(1), F.length(w) - len(end))).otherwise(out)
-        return out
-
-    return F.array_join(F.transform(X.words(X.fold(col)), bare), " ")
+    form = "^(.{2,})(?:" + "|".join(ENDINGS) + ")$"
+    return F.array_join(F.transform(X.words(X.fold(col)), lambda w: F.regexp_replace(w, form, "$1")), " ")
 
 
 def expand_aliases(q: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -332,9 +325,7 @@ def expand_aliases(q: DataFrame, aliases: DataFrame) -> DataFrame:
     aliases' word starts, as equal keys.
     """
     low = X.strip_space(F.lower("text"))
-    cut = low
-    for head in reversed(ACT_WORDS):
-        cut = F.when(F.startswith(low, F.lit(head)), F.trim(F.substring(low, F.lit(len(head) + 1), F.length(low)))).otherwise(cut)
+    cut = F.trim(F.regexp_replace(low, "^(?:" + "|".join(ACT_WORDS) + ")", ""))
     asks = q.select("query_id", low.alias("_q"), cut.alias("_s"))
     asks = asks.withColumn("_qn", bare_words(F.col("_q"))).withColumn("_sn", bare_words(F.col("_s")))
     named = aliases.withColumn("_an", bare_words(F.col("alias")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "versions", "answer", "rates", "logs")
+MODULES = ("retrieval", "versions", "answer", "rates", "logs", "library")
 
 
 def load_all():
