@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.functions.text import strip_space
 
@@ -43,7 +44,7 @@ def _json_or_none(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _salvage(col: pd.Series) -> pd.Series:
     def one(raw):
         if raw is None:
