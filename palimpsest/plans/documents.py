@@ -10,6 +10,7 @@ from palimpsest.functions import text as X
 from palimpsest.operators import documents as D
 from palimpsest.plans import standins as S
 from palimpsest.plans.registry import REGISTRY
+from palimpsest.session import cut_lineage
 from palimpsest.sources import documents as P
 
 add = REGISTRY.add
@@ -48,7 +49,7 @@ def nested(spark, d):
 
 
 def tables(spark, d):
-    return P.shred_documents(nested(spark, d))
+    return P.shred_documents(cut_lineage(nested(spark, d)))
 
 
 BASE = S.with_(S.ARTICLES)
