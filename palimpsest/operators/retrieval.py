@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions import text as X
 from palimpsest.functions.terms import ENTITY_KEYWORDS, EXPANSIONS, expansion_of
-from palimpsest.operators.core import first_seen, fits, top_k, top_k_by
+from palimpsest.operators.core import first_seen, fits, spread, top_k, top_k_by
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -39,15 +39,14 @@ def query_terms(q: DataFrame, expansions: dict[str, list[str]] = EXPANSIONS) ->
 def build_postings(corpus: DataFrame) -> DataFrame:
     """(doc_type, doc_id, version_id, doc_len, term): one row per token, to be stored once for many
     searches. A blank document has one row without a term, which no question meets."""
-    toks = corpus.select("doc_type", "doc_id", "version_id", X.tokens(F.col("text")).alias("_t"))
+    toks = spread(corpus).select("doc_type", "doc_id", "version_id", X.tokens(F.col("text")).alias("_t"))
     return toks.select("doc_type", "doc_id", "version_id", F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term"))
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """(doc_type, n_docs, avg_len): articles and annexes are two indexes."""
-    return corpus.groupBy("doc_type").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(X.tokens(F.col("text")))).alias("avg_len")
-    )
+    size = F.regexp_count(X.fold(F.coalesce("text", F.lit(""))), F.lit(X.TOKEN))
+    return spread(corpus).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(size).alias("avg_len"))
 
 
 def bm25_scores(
