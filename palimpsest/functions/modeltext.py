@@ -63,9 +63,9 @@ def json_object(col: Column) -> Column:
     braces. Clean text never leaves the JVM; only the rest goes through Python."""
     s = strip_space(col)
     inner = strip_space(F.regexp_extract(s, FENCE, 1))
-    clean = F.when(F.try_parse_json(s).isNotNull(), s).when(
-        s.rlike(FENCE) & (inner != "") & F.try_parse_json(inner).isNotNull(), inner
-    )
+    # the parser reads the first value and ignores what follows it, so it is written out again
+    first = lambda c: F.when(F.startswith(c, F.lit("{")), F.to_json(F.try_parse_json(c)))
+    clean = F.coalesce(first(s), first(inner))
     return F.coalesce(clean, _salvage(F.when(clean.isNull(), col)))
 
 

@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import group, strip_space
 from palimpsest.functions.dates import slashed_to_iso
-from palimpsest.operators.core import best_row, first_seen
+from palimpsest.functions.text import group, strip_space
+from palimpsest.operators.core import best_row, first_seen, spread
+from palimpsest.session import cut_lineage
 
 ELEMENTS = "page_id long, seq int, parent int, last int, tag string, id string, cls string, href string, text string"
 # tags that never hold others
@@ -85,16 +86,23 @@ def _flatten(html: str | None) -> list[list]:
 def page_elements(pages: DataFrame) -> DataFrame:
     """(page_id, seq, parent, last, tag, id, cls, href, text) for pages (page_id, html)."""
 
+    columns = ["page_id", "seq", "parent", "last", "tag", "id", "cls", "href", "text"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[list] = []
         for batch in batches:
             for page, html in zip(batch["page_id"], batch["html"]):
                 try:
-                    rows = _flatten(html)
+                    rows.extend([page, *r] for r in _flatten(html))
                 except Exception:  # one unreadable page never fails the job
                     continue
-                yield pd.DataFrame([[page, *r] for r in rows], columns=["page_id", "seq", "parent", "last", "tag", "id", "cls", "href", "text"])
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(run, ELEMENTS)
+    return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "html")).mapInPandas(run, ELEMENTS)
 
 
 def broken_pages(pages: DataFrame, elements: DataFrame) -> DataFrame:
@@ -150,6 +158,8 @@ def parse_pages(elements: DataFrame) -> dict[str, DataFrame]:
     Each line belongs to the last article heading before it, each article to the last division
     heading before it, each unlabelled line to the labelled paragraph before it.
     """
+    # parsed once: every part below reads the elements again
+    elements = cut_lineage(elements)
     marks = _marks(elements)
     before = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     number = F.when(F.col("part") == "article", group(F.col("text"), ARTICLE_HEAD, 1))
