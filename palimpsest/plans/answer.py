@@ -206,7 +206,7 @@ def _askers(spark, d):
 @add("relevance_gate", S.with_(S.LAWS, REFS, FOUND, CAND, ASKERS, SCORES) + """, t AS (SELECT question_id, max(reranker_score) AS top, avg(reranker_score) AS av FROM rankedq GROUP BY 1),
  p AS (SELECT question_id, count(*) FILTER (law_id IS NULL) AS missing, count(*) FILTER (law_id IS NOT NULL) AS held FROM cand WHERE tier = 'tier1_primary' GROUP BY 1),
  j AS (SELECT question_id, top, av, least(1.0, greatest(0.0, top)) AS s, coalesce(missing, 0) AS missing, coalesce(held, 0) AS held FROM askers LEFT JOIN t USING (question_id) LEFT JOIN p USING (question_id))
- SELECT question_id, CASE WHEN top IS NOT NULL THEN round(s, 3) END AS relevance_score, round(top, 3) AS top_reranker_score, round(av, 3) AS avg_reranker_score,
+ SELECT question_id, CASE WHEN top IS NOT NULL THEN round(s, 3) END AS relevance_score, round(top, 3) + 0.0 AS top_reranker_score, round(av, 3) + 0.0 AS avg_reranker_score,
  top IS NOT NULL AND s < 0.3 AS gate_triggered, top IS NOT NULL AND s >= 0.3 AND s < 0.5 AS gate_warning,
  CASE WHEN top IS NULL THEN 'skipped' WHEN s >= 0.5 THEN 'ok' WHEN s >= 0.3 THEN 'warning' WHEN held > 0 AND missing = 0 THEN 'proceed' WHEN missing > 0 THEN 'needs_import' ELSE 'clarification' END AS outcome FROM j""")
 def relevance_gate(spark, d):
