@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -29,18 +31,42 @@ def local_session(cores: str = "8", name: str = "palimpsest", **conf: str) -> Sp
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    Only where ``spark.checkpoint.dir`` is unset and the master is local (tests) is a folder made.
+    Only where it is unset and the master is local (tests, bench) is a folder made, and it goes
+    when the session's JVM ends.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL.clear()
+        _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="run-shared-")
+        _drop_on_exit(spark, _LOCAL[spark.sparkContext.applicationId])
+    return _LOCAL[spark.sparkContext.applicationId]
+
+
+def _drop_on_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: cuts lineage, outlives
+    executors, and tells Spark the table's size. The table goes when the session's JVM ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(folder)
+    _drop_on_exit(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="run-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
