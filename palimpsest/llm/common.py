@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,12 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE_BYTES`` of ``column`` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes)))
+        step = max(1, int(batch.num_rows * most / max(1, batch.column(column).nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
@@ -34,3 +35,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as their UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for numbers that rarely repeat, sorting beats hashing."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if values.size else values
