@@ -181,7 +181,6 @@ def _set_apart(root: Node) -> None:
 
 
 def _densities(root: Node, body: Node) -> None:
-    base = math.log(max(1, body.links) / max(1, body.chars) * body.chars + math.e) if body.chars else 1.0
     share = max(1, body.links) / max(1, body.chars)
     order = [root]
     for node in order:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, decontamination, html_text, licenses, ngram_join, quality, sharding, token_counts
+from palimpsest.llm import bpe, chat, decontamination, embedding_dedup, html_text, licenses, ngram_join, quality, sharding, token_counts
 from palimpsest.llm.common import table
 from palimpsest.plans.registry import Registry
 from palimpsest.session import shared_folder
@@ -52,6 +52,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.add("op4_near_vectors")
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @REGISTRY.add("op5_html_text")
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
