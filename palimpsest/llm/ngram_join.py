@@ -27,6 +27,7 @@ component's id is its smallest id that is not null.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,41 +44,81 @@ from palimpsest.session import written
 N = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: Growth of the size bands; cost of an empty segment in index rows; words that a task remembers.
+#: Growth of the size bands; cost of an empty segment in index rows; nodes that a task remembers.
 BAND = 1.6
-EMPTY_COST = 30.0
-REMEMBERED_WORDS = 1 << 20
+EMPTY_COST = 3.0
+REMEMBERED = 1 << 20
 PIVOT_ROUNDS = 2
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 20
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_GAP = re.compile(rb"[ \t-\r]")
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of 64-bit numbers."""
-    x = (x ^ np.uint64(salt & 0xFFFFFFFFFFFFFFFF)) * _MIX[0]
-    x = (x ^ (x >> np.uint64(29))) * _MIX[1]
+    x = (x ^ np.uint64(salt & 0xFFFFFFFFFFFFFFFF)) * _ODD[0]
+    x = (x ^ (x >> np.uint64(29))) * _ODD[1]
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def shingles(text: bytes, known: _Words, n: int = N) -> np.ndarray:
+class _Powers:
+    """Powers of the base of the words' hash, and of its inverse modulo two to the 64th."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, size: int) -> None:
+        if self.up.size < size:
+            base = int(_ODD[2])
+            both = []
+            for factor in (base, pow(base, -1, 1 << 64)):
+                steps = np.full(2 * size, factor, np.uint64)
+                steps[0] = 1
+                both.append(np.multiply.accumulate(steps))
+            self.up, self.down = both
+
+
+def word_hashes(text: bytes, powers: _Powers) -> np.ndarray:
+    """Hashes of the words of a text, lower-cased, from running sums over its bytes; long texts by pieces."""
+    out, at = [], 0
+    while at < len(text) or not out:
+        end = at + PIECE
+        if end < len(text):
+            gap = _GAP.search(text, end)  # never inside a word
+            end = gap.start() if gap else len(text)
+        out.append(_piece_hashes(np.frombuffer(text[at:end], np.uint8), powers))
+        at = end
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def _piece_hashes(raw: np.ndarray, powers: _Powers) -> np.ndarray:
+    powers.reach(raw.size + 1)
+    low = _LOWER[raw]
+    gap = np.ones(raw.size + 2, bool)
+    gap[1:-1] = _SPACE[low]
+    change = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = change[::2], change[1::2]
+    sums = np.zeros(raw.size + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers.up[: raw.size], out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers.down[start] + (end - start).astype(np.uint64))
+
+
+def shingles(text: bytes, powers: _Powers, n: int = N) -> np.ndarray:
     """The set of a text, as sorted digests."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
+    ids = word_hashes(text, powers)
+    if not ids.size:
+        return ids
+    size = min(n, ids.size)
+    last = ids.size - size + 1
+    out = np.full(last, size, np.uint64)
     for k in range(size):
-        out = mix(out + ids[k : len(words) - size + 1 + k], k)
-    return distinct(out)
+        out = out * _ODD[3] + ids[k : last + k] * _ODD[k % 5]
+    return distinct(mix(out))
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -123,10 +164,10 @@ class Schemes:
     @staticmethod
     def segments_for(units: int, double: int, rate: float) -> int:
         """Segments, the first ``double`` of two levels, whose levels add up to ``units`` although a share
-        ``rate`` of them is likely empty (the mean and two deviations). Grows with ``units``."""
+        ``rate`` of them is likely empty (the mean, seven deviations and two). Grows with ``units``."""
         count = units
         for _ in range(5):
-            levels = units + rate * count + 2 * math.sqrt(rate * count)
+            levels = units + rate * count + 7 * math.sqrt(rate * count) + 2
             count = math.ceil(levels / 2) if levels <= 2 * double else math.ceil(levels - double)
         return max(1, count)
 
@@ -175,11 +216,13 @@ class Schemes:
 
 def _segments(tokens: np.ndarray, scheme: Scheme, taken: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the tokens in the segments taken: segments, in order; values; where segments begin; their sizes."""
-    at = (mix(tokens, (scheme.number + 1) * 0x5851F42D) >> np.uint64(16)) % np.uint64(scheme.segments)
-    keep = at < taken
-    at, value = at[keep].astype(np.int64), mix(tokens[keep], -scheme.number - 1)
+    spread = tokens * (_ODD[4] + np.uint64(2 * scheme.number)) >> np.uint64(32)
+    at = (spread * np.uint64(scheme.segments) >> np.uint64(32)).astype(np.uint16 if scheme.segments < 1 << 16 else np.int64)
+    if taken < scheme.segments:
+        keep = at < taken
+        at, tokens = at[keep], tokens[keep]
     order = np.argsort(at, kind="stable")
-    at, value = at[order], value[order]
+    at, value = at[order].astype(np.int64), tokens[order]
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if at.size else np.zeros(0, np.int64)
     return at, value, first, np.diff(np.append(first, at.size))
 
@@ -210,11 +253,11 @@ def empty_rows(tokens: np.ndarray, scheme: Scheme, taken: int) -> tuple[np.ndarr
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], schemes: Schemes, n: int) -> Iterator[pa.RecordBatch]:
-    known = _Words()
+    powers = _Powers()
     for batch in slices(batches, "_text"):
         nodes, sizes, spare = [], [], []
         for text in utf8(batch.column("_text")):
-            tokens = shingles(text, known, n)
+            tokens = shingles(text, powers, n)
             nodes.append(node_of(tokens) if tokens.size else None)
             sizes.append(tokens.size)
             spare.append(schemes.spare(tokens) if tokens.size else 1)
@@ -224,14 +267,14 @@ def _set_rows(batches: Iterator[pa.RecordBatch], schemes: Schemes, n: int) -> It
 
 
 def _index_rows(batches: Iterator[pa.RecordBatch], schemes: Schemes, n: int, empty: bool) -> Iterator[pa.RecordBatch]:
-    known, seen = _Words(), set()
+    powers, seen = _Powers(), set()
     for batch in slices(batches, "_text"):
         parts = []
         for text in utf8(batch.column("_text")):
-            tokens = shingles(text, known, n)
+            tokens = shingles(text, powers, n)
             if not tokens.size or (node := node_of(tokens)) in seen:
                 continue
-            if len(seen) > REMEMBERED_WORDS:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             seen.add(node)
             for scheme, taken in schemes.plan(tokens.size):
@@ -274,10 +317,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch], n: int, least: int) -> Iterator[pa.RecordBatch]:
-    known = _Words()
+    powers = _Powers()
     for batch in slices(batches, "_text_a"):
         a, b = (utf8(batch.column(c)) for c in ("_text_a", "_text_b"))
-        found = [links(shingles(x, known, n), shingles(y, known, n), least) for x, y in zip(a, b)]
+        found = [links(shingles(x, powers, n), shingles(y, powers, n), least) for x, y in zip(a, b)]
         yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
@@ -303,10 +346,10 @@ def drop_near_copies(
     best = written(marked.groupBy("root").agg(F.min_by("_row", first).alias("_best")), "best")
     gone = written(marked.join(best, "root").where("_row <> _best").select("_row").distinct(), "gone")
     again = written(marked.groupBy("_row").count().where("count > 1").select("_row"), "again")
-    left = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(gone, "_row", "left_anti")
+    left = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(id_col, text_col).alias("_row")).join(gone, "_row", "left_anti")
     if not again.isEmpty():
         left = left.join(again, "_row", "left_anti").unionByName(left.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
-    return left.select(*docs.columns)
+    return left.select("doc.*")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, n: int, least: int) -> DataFrame:
@@ -380,7 +423,7 @@ def _empty_groups(texts: DataFrame, nodes: DataFrame, schemes: Schemes, n: int,
     table = F.broadcast(_scheme_table(nodes, schemes))
     rows = rows.join(table, "scheme").withColumn("asks", (F.col("spare") <= 0) & F.col("n").between(F.col("low"), F.col("high")))
     rows = rows.withColumn("segment", (F.col("place") / 2).cast("int")).withColumn("units", F.when(F.col("segment") < F.col("double"), 2).otherwise(1))
-    rows = rows.select("key", "node", "place", "scheme", "segment", "n", "spare", "asks", "units")
+    rows = written(rows.select("key", "node", "place", "scheme", "segment", "n", "spare", "asks", "units"), "empty")
     return rows.join(written(rows.where("asks").select("key").distinct(), "keys"), "key", "left_semi")
 
 

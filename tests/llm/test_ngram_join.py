@@ -133,3 +133,15 @@ def test_shared_rows_in_any_batches():
                 first = min(run, key=lambda r: r[1:])
                 want += [r for r in run if r[2] != first[2] or r == first]
         assert {(r["key"], r["place"], r["node"]) for r in got} == set(want)
+
+
+def test_word_hashes_follow_the_words(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["a", "B", "é", " ", "\t", "\n", "\u00a0", "x y", "word "]) for _ in range(3000))
+    whole = J.word_hashes(text.encode(), J._Powers())
+    words = text.encode().lower().split()
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    assert {w: h for w, h in zip(words, whole.tolist())} == {w: J.word_hashes(b"  " + w, J._Powers())[0] for w in words}
+    monkeypatch.setattr(J, "PIECE", 7)
+    assert (J.word_hashes(text.encode(), J._Powers()) == whole).all()
+    assert J.word_hashes(b"", J._Powers()).size == J.word_hashes(b" \n", J._Powers()).size == 0
