@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontamination, ngram_join, quality
-from palimpsest.llm.common import table
+from palimpsest.llm.common import table, unused
 from palimpsest.llm.queries import QUALITY, quality_model
 from palimpsest.session import written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality.score(docs, quality_model(spark, sf_dir), score_col="_score")
-    return scored.where(F.col("_score") >= QUALITY).select(*docs.columns)
+    score = unused(docs.columns, "score")
+    scored = quality.score(docs, quality_model(spark, sf_dir), score_col=score)
+    return scored.where(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,11 @@ def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values; for numbers that rarely repeat, sorting beats hashing."""
     values = np.sort(values)
     return values[np.append(True, values[1:] != values[:-1])] if values.size else values
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -287,8 +287,9 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no phrase occurs, as they were."""
-    found = _scan(docs.withColumn("_text", F.col(text_col)), benchmark, **options)
-    return found.where("_n_hit = 0").select(*docs.columns)
+    # as one struct, so that columns of any name come through
+    found = _scan(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("_text")), benchmark, **options)
+    return found.where("_n_hit = 0").select("doc.*")
 
 
 def _scan(

@@ -80,6 +80,9 @@ RULES = (
 #: Each known sentence has one of these.
 KEY_WORDS = ("licen", "permission", "copyright", "redistribut", "warrant", "rights reserved", "public domain", "cc0")
 
+#: Characters of the longest stretch that is looked up as one sentence; the known ones are far shorter.
+LONGEST = 4000
+
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES.items()]
 _END = re.compile(r"[.!?:;](?=\s|$)|[\"')\]](?<=[.!?][\"')\]])(?=\s|$)")
 _COMMENT = re.compile(r"^[\s#/*;%!<>-]+", re.M)
@@ -104,28 +107,40 @@ def recognise(text: str) -> list[tuple[int, str]]:
     low = text.lower()
     if not any(w in low for w in KEY_WORDS):
         return []
-    found = set()
+    found = []
     for stretch in re.finditer(r"[^\n]+", text):
         _look(stretch, found, 1)
     for stretch in re.finditer(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*", text):
         _look(stretch, found, 3)
-    return sorted(found)
-
-
-def _look(stretch: re.Match, found: set, joined: int) -> None:
-    """Looks up the sentences of a stretch, and up to ``joined`` neighbours as one."""
+    last: dict[str, list[int]] = {}
+    out = []
+    for begin, end, name in sorted(found):
+        if name in last and begin < last[name][1]:  # read both ways
+            last[name][1] = max(end, last[name][1])
+        else:
+            last[name] = place = [begin, end]
+            out.append((place, name))
+    return sorted((end, name) for (_, end), name in out)
+
+
+def _look(stretch: re.Match, found: list, joined: int) -> None:
+    """Looks up the sentences of a stretch, and up to ``joined`` neighbours as one; what is found is not
+    looked at again."""
     parts = list(_cut(stretch.group(), stretch.start()))
-    for k, (begin, _, _) in enumerate(parts):
+    k = 0
+    while k < len(parts):
+        begin, next_ = parts[k][0], k + 1
         for last in range(k, min(len(parts), k + joined)):
-            end = parts[last][1]
-            raw = stretch.string[begin:end]
-            if len(raw) > 4000 or not any(w in raw.lower() for w in KEY_WORDS):
+            raw = stretch.string[begin : parts[last][1]]
+            if len(raw) > LONGEST or not any(w in raw.lower() for w in KEY_WORDS):
                 continue
             sentence = normalise(_COMMENT.sub(" ", raw))
-            for name, pattern in _KNOWN:
-                if pattern.fullmatch(sentence):
-                    found.add((begin + len(raw.rstrip()), name))
-                    break
+            name = next((name for name, pattern in _KNOWN if pattern.fullmatch(sentence)), None)
+            if name:
+                found.append((begin, begin + len(raw.rstrip()), name))
+                next_ = last + 1
+                break
+        k = next_
 
 
 def apply_rules(names: Sequence[str]) -> list[str]:

@@ -57,12 +57,12 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def assign_shards(rows: DataFrame, key_col: str, shards: Sequence[str], *, slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """``rows`` with their slot and shard."""
-    table = table_frame(rows.sparkSession, shards, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
     kept = [c for c in rows.columns if c not in (slot_col, shard_col)]
-    placed = rows.select(*kept, slot_of(F.col(key_col), slots).alias("_at"))
+    placed = rows.select(F.struct(*kept).alias("row"), slot_of(F.col(key_col), slots).alias("at"))
     # ``slots`` rows, whatever the data
-    joined = placed.join(F.broadcast(table), F.col("_at") == F.col("_slot"))
-    return joined.select(*kept, F.col("_at").alias(slot_col), F.col("_shard").alias(shard_col))
+    table = F.broadcast(table_frame(rows.sparkSession, shards, slots))
+    joined = placed.join(table, F.col("at") == F.col("slot"))
+    return joined.select("row.*", F.col("at").alias(slot_col), F.col("shard").alias(shard_col))
 
 
 def write_shards(rows: DataFrame, path: str, key_col: str, shards: Sequence[str], *, pieces: int = 1, rows_per_file: int = 1_000_000) -> None:
