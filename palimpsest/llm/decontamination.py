@@ -227,6 +227,8 @@ def find(texts: list[list[bytes]], block: tuple) -> tuple[list[np.ndarray], list
     index = FmIndex(own[text], words.size)
     low, high = index.search(own[phrases[able]], lengths[able])
     found = high > low
+    if not found.any():
+        return spans, items
     able, low, count = able[found], low[found], (high - low)[found]
     which = np.repeat(able, count)
     rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)

@@ -112,3 +112,9 @@ def test_query(spark):
         want[key] = (words, hit, len(items), hashlib.sha256(names.encode()).hexdigest(), hit > 0)
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in REGISTRY.queries["op2_decontamination"](spark, folder).collect()}
     assert got == want and any(v[4] for v in got.values())
+
+
+def test_known_words_without_a_phrase(spark):
+    docs, items = [(1, "c b a c b a"), (2, "a")], [(1, "a b c"), (2, "b a b")]
+    got = D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=3)
+    assert order(rows(got)) == order(brute(docs, items, 3)) and all(r[2] == 0 for r in rows(got))
