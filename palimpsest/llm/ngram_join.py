@@ -10,13 +10,16 @@ A set is indexed under the scheme of its band, and under the scheme below if a s
 lie there; the smaller set of a pair asks. Sets are nested: a set of ``n`` tokens needs only the first
 segments that cover its own bound. What is shared by nobody costs nothing; where a set shares
 segments with sets of other components, it asks by its cheapest segments only, by the sizes they
-really have, until the levels add up. Empty segments are asked for last: a set that cannot do
-without them sends its empty segments in a pass of their own.
+really have, until the levels add up. Small sets index their empty segments too; a larger set that
+cannot do without them (it would have to lose far more segments than chance allows) sends its empty
+segments in a pass of their own.
 
-Equal sets are one node from the start. Before the exact step, each group of equal segments is
-compared with a pivot in a few rounds, and segments whose sets all lie in one component are left
-out: a group of thousands of near copies costs a comparison per copy and round, not one per pair.
-Every candidate is verified on the texts. The result is the components of all links.
+Equal sets are one node from the start. First each set is compared with a pivot that shares most
+segments with it, and segments whose sets all lie in one component are left out. What is still asked
+for falls into families: sets that share a segment asked for with the same first set. A family is cut into blocks by hash; a
+task takes two blocks, counts all shared tokens at once, and hands on only links that join components.
+So a large group of near copies costs neither a row per pair nor a task that holds all of it. The
+result is the components of all links.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with fewer words than ``n`` is one
 shingle; a text without words (or null) has no shingles and links with nothing. Shingles stand as
@@ -44,11 +47,16 @@ from palimpsest.session import written
 N = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: Growth of the size bands; cost of an empty segment in index rows; nodes that a task remembers.
+#: Growth of the size bands; cost of an indexed empty segment in index rows; nodes that a task remembers.
 BAND = 1.6
-EMPTY_COST = 3.0
+EMPTY_COST = 30.0
 REMEMBERED = 1 << 20
-PIVOT_ROUNDS = 2
+#: Bands up to this many tokens index empty segments; a larger set lacks levels with this chance at most.
+SMALL = 150
+RARE = 1e-9
+#: Sets of a block, and tokens that a task counts at a time.
+BLOCK = 512
+COLUMNS = 4096
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
 
@@ -143,10 +151,23 @@ class Scheme:
     double: int
 
 
+def _most(mean: float) -> int:
+    """The number that a count with this mean (of rare events) passes with a chance of ``RARE`` at most."""
+    if mean > 30:
+        return math.ceil(mean + 6.5 * math.sqrt(mean) + 4)
+    term = total = math.exp(-mean)
+    k = 0
+    while 1 - total > RARE and k < 200:
+        k += 1
+        term *= mean / k
+        total += term
+    return k
+
+
 class Schemes:
     def __init__(self, least: int, band: float = BAND) -> None:
         self.least, self.band = least, band
-        self.edges, self.made = [1], {}
+        self.edges, self.made, self.enough = [1], {}, {}
 
     def partner(self, n: int) -> int:
         """The most tokens that a partner of a set of ``n`` can have."""
@@ -161,46 +182,60 @@ class Schemes:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * self.band)))
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
-    @staticmethod
-    def segments_for(units: int, double: int, rate: float) -> int:
-        """Segments, the first ``double`` of two levels, whose levels add up to ``units`` although a share
-        ``rate`` of them is likely empty (the mean, seven deviations and two). Grows with ``units``."""
-        count = units
-        for _ in range(5):
-            levels = units + rate * count + 7 * math.sqrt(rate * count) + 2
-            count = math.ceil(levels / 2) if levels <= 2 * double else math.ceil(levels - double)
-        return max(1, count)
+    def levels(self, count: int, double: int, load: float) -> int:
+        """Levels of ``count`` segments, the first ``double`` of two, that are there for sure but for a rare
+        chance, if a segment has ``load`` tokens in the mean."""
+        two = min(count, double)
+        none, one = math.exp(-load), load * math.exp(-load)
+        lost = _most(none * (count - two)) + 2 * _most(none * two) + _most(one * two)
+        return count + two - lost
 
     def scheme(self, number: int) -> Scheme:
         if number not in self.made:
             while len(self.edges) < number + 2:
                 self.number(self.edges[-1])
             low, high = self.edges[number], self.edges[number + 1] - 1
-            units, middle = self.bound(high) + 2, math.sqrt(low * high)
-
-            def cost(double: int) -> tuple[float, int]:
-                segments = self.segments_for(units, double, math.exp(-high / max(1, units - double)))
-                load = middle / segments
-                return segments + double * load + EMPTY_COST * segments * math.exp(-load), segments
-
-            choices = sorted({units * k // 64 for k in range(33)})
-            double = min(choices, key=lambda d: cost(d)[0])
-            segments = max(cost(double)[1], double)
-            self.made[number] = Scheme(number, low, high, segments, double)
+            need, middle = self.bound(high) + 2, math.sqrt(low * high)
+
+            def segments_with(double: int) -> int:
+                count = max(1, double, need - double)
+                if high <= SMALL:
+                    return count
+                while self.levels(count, double, high / count) < need and count < 4 * need:
+                    count += max(1, need // 100)
+                return count
+
+            def cost(double: int) -> float:
+                load = middle / segments_with(double)
+                empty = EMPTY_COST * math.exp(-load) if high <= SMALL else 0  # only these are rows, in large groups
+                return segments_with(double) * (1 + empty) + double * load
+
+            double = min(sorted({need * k // 64 for k in range(33)}), key=cost)
+            self.made[number] = Scheme(number, low, high, segments_with(double), double)
         return self.made[number]
 
     def taken(self, n: int) -> int:
         """How many of its band's segments a set of ``n`` takes; never fewer for a larger set."""
-        scheme = self.scheme(self.number(n))
-        rate = math.exp(-scheme.low / scheme.segments)
-        return min(scheme.segments, self.segments_for(self.bound(n) + 2, scheme.double, rate))
+        scheme, need = self.scheme(self.number(n)), self.bound(n) + 2
+        if (scheme.number, need) not in self.enough:
+            count = min(scheme.segments, max(1, need - scheme.double))
+            while count < scheme.segments:
+                sure = count + min(count, scheme.double) if scheme.high <= SMALL else self.levels(count, scheme.double, scheme.low / scheme.segments)
+                if sure >= need:
+                    break
+                count += 1
+            self.enough[scheme.number, need] = count
+        return self.enough[scheme.number, need]
 
     def spare(self, tokens: np.ndarray) -> int:
         """By how much the levels of a set's segments pass its bound; where by none, it needs its empty ones."""
         scheme = self.scheme(self.number(tokens.size))
         if not self.bound(scheme.high):
             return 1
-        at, _, first, size = _segments(tokens, scheme, self.taken(tokens.size))
+        taken = self.taken(tokens.size)
+        if scheme.high <= SMALL:
+            return taken + min(taken, scheme.double) - self.bound(tokens.size)
+        at, _, first, size = _segments(tokens, scheme, taken)
         return first.size + int(((size > 1) & (at[first] < scheme.double)).sum()) - self.bound(tokens.size)
 
     def plan(self, n: int) -> list[tuple[Scheme, int]]:
@@ -278,8 +313,11 @@ def _index_rows(batches: Iterator[pa.RecordBatch], schemes: Schemes, n: int, emp
                 seen.clear()
             seen.add(node)
             for scheme, taken in schemes.plan(tokens.size):
-                keys, places = (empty_rows if empty else segment_rows)(tokens, scheme, taken)
-                parts.append((keys, np.full(keys.size, node), places.astype(np.int32), np.full(keys.size, scheme.number, np.int32)))
+                if empty and scheme.high <= SMALL:
+                    continue  # these are in the main pass
+                makers = [empty_rows] if empty else [segment_rows, empty_rows][: 1 + (scheme.high <= SMALL)]
+                for keys, places in (make(tokens, scheme, taken) for make in makers):
+                    parts.append((keys, np.full(keys.size, node), places.astype(np.int32), np.full(keys.size, scheme.number, np.int32)))
         if parts:
             columns = [np.concatenate(c) for c in zip(*parts)]
             yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "place", "scheme"])
@@ -378,12 +416,11 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, n: int, least: int) ->
 
     label = docs.sparkSession.createDataFrame([], "node long, root long")
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
-    for step in range(PIVOT_ROUNDS + 1):
+    for find in (lambda mixed: _verify(_pivot_pairs(mixed, least), known, n, least), lambda mixed: _block_links(_families(mixed), label, known, n, least)):
         mixed = _mixed(groups, label)
         if mixed.isEmpty():
             break
-        pairs = _pivot_pairs(mixed, step, least) if step < PIVOT_ROUNDS else _asked(mixed, least)
-        edges = edges.unionByName(written(_verify(pairs, known, n, least), "links"))
+        edges = edges.unionByName(written(find(mixed), "links"))
         label = written(components(edges), "labels")
 
     marked = sets.join(label, "node", "left").select("_id", "_row", "n", F.coalesce("root", "node").alias("root"))
@@ -438,34 +475,100 @@ def _fits(least: int):
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * least
 
 
-def _pivot_pairs(mixed: DataFrame, seed: int, least: int) -> DataFrame:
+def _pivot_pairs(mixed: DataFrame, least: int) -> DataFrame:
     """Each node with the pivot of another component that it shares most segments with."""
-    order = F.xxhash64("node", F.lit(seed))
+    order = F.xxhash64("node")
     pivots = mixed.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("b"), F.col("root").alias("_root_b"), F.col("n").alias("n_b")), order).alias("p"))
     pairs = mixed.select("key", F.col("node").alias("a"), "root", F.col("n").alias("n_a")).join(written(pivots.select("key", "p.*"), "pivots"), "key")
     pairs = pairs.where((F.col("root") != F.col("_root_b")) & _fits(least)).groupBy("a", "b").agg(F.count("*").alias("together"))
     return pairs.groupBy("a").agg(F.max_by("b", F.struct("together", "b")).alias("b"))
 
 
-def _asked(mixed: DataFrame, least: int) -> DataFrame:
-    """Candidate pairs of different components, by each asking set's cheapest segments.
+def _families(mixed: DataFrame) -> DataFrame:
+    """``(node, family)``: the sets that share a segment, of those that asking sets must ask by, belong to
+    the family of its first set. Segments with the same first set make one family, so that a group of
+    near copies, which share most segments, is a few families and not one per segment.
 
-    ``spare`` is what its non-empty segments have beyond its bound, so it must ask by segments whose
-    levels, with those of the segments it shares with no other component, pass the bound.
+    ``spare`` is what a set's segments have beyond its bound, so it must ask by segments whose levels,
+    with those of the segments it shares with no other component, pass the bound.
     """
     per_segment = mixed.where("asks").groupBy("node", "segment").agg(
         F.max("units").alias("units"), F.sum("cost").alias("cost"), F.first("spare").alias("spare")
     )
     dear = Window.partitionBy("node").orderBy(F.desc("cost"), "segment").rowsBetween(Window.unboundedPreceding, 0)
     asked = per_segment.withColumn("left_out", F.sum("units").over(dear)).where("left_out >= spare").select("node", "segment")
-    asking = mixed.where("asks").join(written(asked, "asked"), ["node", "segment"])
-    left = asking.select("key", F.col("node").alias("a"), F.col("root").alias("_root_a"), F.col("n").alias("n_a"), F.col("place").alias("_place_a"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("root").alias("_root_b"), F.col("n").alias("n_b"), F.col("place").alias("_place_b"))
-    pairs = written(left, "asking").join(right, "key").where(
-        (F.col("_root_a") != F.col("_root_b")) & (F.col("n_a") <= F.col("n_b")) & _fits(least)
-        & (F.col("_place_a") % 2 + F.col("_place_b") % 2 < 2)
-    )
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = mixed.where("asks").join(written(asked, "asked"), ["node", "segment"]).select("key").distinct()
+    members = written(mixed.select("key", "node").join(written(keys, "keys"), "key", "left_semi"), "members")
+    first = written(members.groupBy("key").agg(F.min("node").alias("family")), "first")
+    return members.join(first, "key").select("node", "family").distinct()
+
+
+def _block_links(families: DataFrame, label: DataFrame, texts: DataFrame, n: int, least: int) -> DataFrame:
+    """Links within families that join components: each pair of blocks is one small group of rows."""
+    families = written(families, "families")
+    blocks = written(families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = families.join(blocks, "family").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "_text")
+    placed = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return placed.mapInArrow(lambda batches: _linked_blocks(batches, n, least), "a long, b long")
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch], n: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by pair of blocks; one pair is in memory at a time."""
+    powers, now, held = _Powers(), None, []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        pairs = _joining_links(held, least) if held else []
+        if pairs:
+            yield pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+    for batch in slices(batches, "_text"):
+        for family, i, j, own, node, root, text in zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "own", "node", "root")), utf8(batch.column("_text"))):
+            if (family, i, j) != now:
+                yield from found()
+                now, held = (family, i, j), []
+            held.append((node, root, own == i, own == j, shingles(text, powers, n)))
+    yield from found()
+
+
+def _joining_links(rows: list[tuple], least: int) -> list[tuple[int, int]]:
+    """Of the links between the two sides, as many as it takes to join the components that they join."""
+    left, right = [r for r in rows if r[2]], [r for r in rows if r[3]]
+    if not left or not right:
+        return []
+    sizes = [np.array([r[4].size for r in side], float) for side in (left, right)]
+    tokens = [np.concatenate([r[4] for r in side]) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), size.astype(int)) for side, size in zip((left, right), sizes)]
+    shared = np.intersect1d(*(distinct(t) for t in tokens), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, shared.size, COLUMNS):
+        part, counts = shared[at : at + COLUMNS], []
+        for t, o, side in zip(tokens, owner, (left, right)):
+            column = np.searchsorted(part, t)
+            here = part[np.minimum(column, part.size - 1)] == t
+            matrix = np.zeros((len(side), part.size), np.float32)
+            matrix[o[here], column[here]] = 1
+            counts.append(matrix)
+        both += counts[0] @ counts[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - both
+    roots = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+    link = (100 * both.astype(float) >= least * union) & (roots[0][:, None] != roots[1][None, :])
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for x, y in np.argwhere(link).tolist():
+        a, b = find(left[x][1]), find(right[y][1])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((left[x][0], right[y][0]))
+    return out
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, least: int) -> DataFrame:

@@ -96,6 +96,7 @@ def test_no_set_lacks_levels():
         scheme, taken = schemes.scheme(schemes.number(n)), schemes.taken(n)
         assert scheme.low <= n <= scheme.high and taken <= scheme.segments
         assert taken + min(taken, scheme.double) > schemes.bound(n)
+        assert scheme.double <= scheme.segments
         assert last[0] != scheme.number or taken >= last[1]
         last = (scheme.number, taken)
         for s in range(-(-n * 80 // 100), n):
@@ -108,7 +109,8 @@ def test_no_set_lacks_levels():
 
 def test_sets_that_lack_segments_send_their_empty_ones(spark, monkeypatch):
     """With far too few tokens a segment, nearly every set needs its empty segments."""
-    monkeypatch.setattr(J.Schemes, "segments_for", staticmethod(lambda units, double, rate: units))
+    monkeypatch.setattr(J, "RARE", 1.0)
+    monkeypatch.setattr(J, "SMALL", 0)
     rng = random.Random(9)
     docs = []
     for size in (8, 12, 20, 35, 60):
@@ -145,3 +147,12 @@ def test_word_hashes_follow_the_words(monkeypatch):
     monkeypatch.setattr(J, "PIECE", 7)
     assert (J.word_hashes(text.encode(), J._Powers()) == whole).all()
     assert J.word_hashes(b"", J._Powers()).size == J.word_hashes(b" \n", J._Powers()).size == 0
+
+
+@pytest.mark.parametrize("block,columns", [(3, 5), (512, 4096)])
+def test_blocks_find_all_links(spark, monkeypatch, block, columns):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "COLUMNS", columns)
+    rng = random.Random(4)
+    docs = [d for k in range(3) for d in family(rng, 80, 30, 6, 100 * k)]
+    check(spark, docs)
