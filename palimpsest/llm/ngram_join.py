@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import distinct, slices, utf8
@@ -54,6 +54,8 @@ REMEMBERED = 1 << 20
 #: Bands up to this many tokens index empty segments; a larger set lacks levels with this chance at most.
 SMALL = 150
 RARE = 1e-9
+#: A row's place: 1 for a deletion, twice the segment, and from this bit on the scheme.
+SCHEME_BIT = 25
 #: Sets of a block, and tokens that a task counts at a time.
 BLOCK = 512
 COLUMNS = 4096
@@ -317,10 +319,10 @@ def _index_rows(batches: Iterator[pa.RecordBatch], schemes: Schemes, n: int, emp
                     continue  # these are in the main pass
                 makers = [empty_rows] if empty else [segment_rows, empty_rows][: 1 + (scheme.high <= SMALL)]
                 for keys, places in (make(tokens, scheme, taken) for make in makers):
-                    parts.append((keys, np.full(keys.size, node), places.astype(np.int32), np.full(keys.size, scheme.number, np.int32)))
+                    parts.append((keys, np.full(keys.size, node), (places + (scheme.number << SCHEME_BIT)).astype(np.int32)))
         if parts:
             columns = [np.concatenate(c) for c in zip(*parts)]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "place", "scheme"])
+            yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "place"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +333,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, nodes, places, schemes = (batch.column(c).to_numpy() for c in ("key", "node", "place", "scheme"))
+        keys, nodes, places = (batch.column(c).to_numpy() for c in ("key", "node", "place"))
         new = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
         start = np.flatnonzero(new)
         run = np.cumsum(new) - 1  # -1: the run that goes on
@@ -401,7 +403,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, n: int, least: int) ->
     sets = written(sets, "sets")
     nodes = written(sets.where("node is not null").groupBy("node").agg(*(F.min(c).alias(c) for c in ("n", "spare", "_row"))), "nodes")
 
-    index = "key long, node long, place int, scheme int"
+    index = "key long, node long, place int"
     keyed = texts.select("_text").mapInArrow(lambda b: _index_rows(b, schemes, n, False), index)
     ordered = keyed.repartition("key").sortWithinPartitions("key", F.col("place").bitwiseAND(1), "node")
     shared = written(ordered.mapInArrow(_shared, index), "shared")
@@ -434,6 +436,12 @@ def _scheme_table(like: DataFrame, schemes: Schemes) -> DataFrame:
     return like.sparkSession.createDataFrame([(s.number, s.low, s.high, s.double) for s in made], "scheme int, low long, high long, double int")
 
 
+def _parts_of_place() -> tuple[Column, Column]:
+    """Scheme and segment of a row's place."""
+    scheme, segment = F.shiftright("place", SCHEME_BIT), F.shiftright("place", 1).bitwiseAND((1 << SCHEME_BIT - 1) - 1)
+    return scheme.alias("scheme"), segment.alias("segment")
+
+
 def _askable(shared: DataFrame, nodes: DataFrame, schemes: Schemes) -> DataFrame:
     """Groups in which some set may ask: ``(key, node, place, scheme, n, spare, asks, units)``.
 
@@ -441,9 +449,8 @@ def _askable(shared: DataFrame, nodes: DataFrame, schemes: Schemes) -> DataFrame
     levels of its non-empty segments beyond its bound; all must be shared with a partner.
     """
     table = F.broadcast(_scheme_table(nodes, schemes))
-    segment = F.col("place").bitwiseAND(-2) / 2
-    units = F.when((segment < F.col("double")) & (F.col("place").bitwiseAND(1) == 0), 2).otherwise(1)
-    rows = shared.join(table, "scheme").withColumn("units", units).withColumn("segment", segment.cast("int"))
+    units = F.when((F.col("segment") < F.col("double")) & (F.col("place").bitwiseAND(1) == 0), 2).otherwise(1)
+    rows = shared.select("key", "node", "place", *_parts_of_place()).join(table, "scheme").withColumn("units", units)
     rows = rows.join(nodes.select("node", "n", "spare"), "node").withColumn("own", F.col("n").between(F.col("low"), F.col("high")))
     per_segment = rows.where("own").groupBy("node", "segment").agg(F.max("units").alias("units"), F.first("spare").alias("spare"))
     asking = per_segment.groupBy("node").agg(F.sum("units").alias("shared"), F.first("spare").alias("spare"))
@@ -456,10 +463,10 @@ def _askable(shared: DataFrame, nodes: DataFrame, schemes: Schemes) -> DataFrame
 def _empty_groups(texts: DataFrame, nodes: DataFrame, schemes: Schemes, n: int, index: str) -> DataFrame:
     """Empty segments of the sets that cannot do without them, and of all that share these."""
     rows = texts.select("_text").mapInArrow(lambda b: _index_rows(b, schemes, n, True), index).dropDuplicates(["key", "node", "place"])
-    rows = rows.join(nodes.select("node", "n", "spare"), "node")
+    rows = rows.select("key", "node", "place", *_parts_of_place()).join(nodes.select("node", "n", "spare"), "node")
     table = F.broadcast(_scheme_table(nodes, schemes))
     rows = rows.join(table, "scheme").withColumn("asks", (F.col("spare") <= 0) & F.col("n").between(F.col("low"), F.col("high")))
-    rows = rows.withColumn("segment", (F.col("place") / 2).cast("int")).withColumn("units", F.when(F.col("segment") < F.col("double"), 2).otherwise(1))
+    rows = rows.withColumn("units", F.when(F.col("segment") < F.col("double"), 2).otherwise(1))
     rows = written(rows.select("key", "node", "place", "scheme", "segment", "n", "spare", "asks", "units"), "empty")
     return rows.join(written(rows.where("asks").select("key").distinct(), "keys"), "key", "left_semi")
 

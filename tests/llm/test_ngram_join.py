@@ -125,7 +125,7 @@ def test_shared_rows_in_any_batches():
 
     for _ in range(200):
         rows = sorted({(int(k), int(n) % 2, int(n)) for k, n in rng.integers(0, 5, (rng.integers(1, 40), 2))})
-        table = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[1] for r in rows]), pa.array([0] * len(rows))], names=["key", "node", "place", "scheme"])
+        table = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[1] for r in rows])], names=["key", "node", "place"])
         cuts = sorted({0, len(rows), *rng.integers(0, len(rows) + 1, 4).tolist()})
         got = [r for b in J._shared(table.slice(a, z - a) for a, z in zip(cuts, cuts[1:])) for r in b.to_pylist()]
         want = []
