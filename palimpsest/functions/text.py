@@ -55,23 +55,34 @@ def repair_letters(col: Column) -> Column:
     return F.translate(F.when(F.contains(col, F.lit("?")), fixed).otherwise(col), "şŞţŢ", "șȘțȚ")
 
 
-# Start and end of an inline change annotation, and how far the end may lie.
+# Start and end of an inline change annotation, and how far from the start the end may lie.
 NOTE_START = r"\(la \d{1,2}[-./]\d{1,2}[-./]\d{2,4}"
+NOTE_END = r"(?i:MONITORUL\s+OFICIAL)[^)]*\)"
 NOTE_REACH = 1500
-NOTE_REST = rf"[\s\S]{{0,{NOTE_REACH}}}?(?i:MONITORUL\s+OFICIAL)[^)]*\)"
 
 
 def strip_annotations(col: Column) -> Column:
-    """Drop inline annotations up to their closing marker; from the first start without a marker
-    in reach on, the text stays as it is. Blanks left behind are collapsed."""
-    open_end = F.regexp_instr(col, F.lit(rf"{NOTE_START}(?!{NOTE_REST})"))
-    size = F.length(col)
-    head = F.when(open_end > 0, F.substring(col, F.lit(1), open_end - 1)).otherwise(col)
-    tail = F.when(open_end > 0, F.substring(col, open_end, size)).otherwise(F.lit(""))
-    out = F.concat(F.regexp_replace(head, NOTE_START + NOTE_REST, ""), tail)
+    """Drop inline annotations, marker and closing bracket included, if they close within reach of
+    their start; from the first that does not on, the text stays as it is. Blanks left behind are
+    collapsed."""
+    parts = F.split(col, rf"(?={NOTE_START})")
+    # at: where the part begins; gone: up to where notes are dropped; open: a note without an end was met
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("gone"), F.lit(False).alias("open"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, part: Column) -> Column:
+        head = F.length(F.regexp_extract(part, f"^{NOTE_START}", 0))
+        reach = F.substring(col, state["at"] + head + 1, F.lit(NOTE_REACH))
+        rest = F.length(F.regexp_extract(reach, rf"^[\s\S]*?{NOTE_END}", 0))
+        begins = (head > 0) & (state["at"] >= state["gone"]) & ~state["open"]
+        gone = F.when(begins & (rest > 0), state["at"] + head + rest).otherwise(state["gone"])
+        open_ = state["open"] | (begins & (rest == 0))
+        left = F.substring(part, F.greatest(F.lit(0), gone - state["at"]) + 1, F.length(part))
+        return F.struct((state["at"] + F.length(part)).alias("at"), gone.alias("gone"), open_.alias("open"), F.concat(state["kept"], F.array(left)).alias("kept"))
+
+    out = F.aggregate(parts, start, step, lambda state: F.array_join(state["kept"], ""))
     out = F.regexp_replace(out, r"[ \t]{2,}", " ")
     out = F.regexp_replace(out, r" +([.,;:])", "$1")
-    return F.when(size == 0, col).otherwise(strip_space(out))
+    return F.when(F.length(col) == 0, col).otherwise(strip_space(out))
 
 
 def strip_space(col: Column) -> Column:

@@ -45,18 +45,6 @@ def top_k_by(df: DataFrame, keys: Cols, order: Sequence[Column], k: Column, ceil
     return top_k(df, keys, order, ceiling, rank).where(F.col(rank) <= k)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a small input in few files a task per core; large inputs, which come in
-    many splits, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def null_safe(left: DataFrame, right: DataFrame, keys: Cols) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 

@@ -11,15 +11,19 @@ from palimpsest.functions.text import strip_space
 from palimpsest.operators.core import best_row, top_k
 
 ACTIVE = ("pending", "running")
+# Rows of a page at most; asking for more is an error.
+PAGE = 200
 
 
 def list_runs(df: DataFrame, limit: int = 50, offset: int = 0, **equal: str | None) -> DataFrame:
-    """newest runs first, filters by equality where given, one page (at most 200 rows)."""
+    """newest runs first, filters by equality where given, one page of 200 rows at most."""
+    if not 0 <= limit <= PAGE or offset < 0:
+        raise ValueError(f"a page has 0 to {PAGE} rows and a non-negative offset")
     out = df
     for name, value in equal.items():
         if value:
             out = out.where(F.col(name) == value)
-    return out.orderBy(F.desc("started_at"), F.desc("run_id")).offset(offset).limit(min(limit, 200))
+    return out.orderBy(F.desc("started_at"), F.desc("run_id")).offset(offset).limit(limit)
 
 
 def notifications(df: DataFrame, unread_only: bool = False, limit: int = 50) -> DataFrame:
@@ -53,12 +57,13 @@ def has_active(df: DataFrame, kind=None, entity_kind=None, entity_id=None) -> Da
     return _jobs(df, kind, entity_kind, entity_id).where(F.col("status").isin(*ACTIVE)).limit(1).agg((F.count(F.lit(1)) > 0).alias("active"))
 
 
-def check_feed(logs: DataFrame, laws: DataFrame, users: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest checks with the law they were about and who asked, 1 to 200 rows.
+def check_feed(logs: DataFrame, laws: DataFrame, users: DataFrame, limit: int = 20, most: int = PAGE) -> DataFrame:
+    """Newest checks with the law they were about and who asked; a ``limit`` outside 1 to ``most``
+    is taken as the nearer of both, as the feed's rule has it.
 
     The page is cut before the lookups: laws are checked for existence first, names come after.
     """
-    page = logs.join(laws.select("law_id"), "law_id", "left_semi").orderBy(F.desc("checked_at"), F.desc("id")).limit(max(1, min(limit, 200)))
+    page = logs.join(laws.select("law_id"), "law_id", "left_semi").orderBy(F.desc("checked_at"), F.desc("id")).limit(max(1, min(limit, most)))
     label = F.concat("title", F.lit(" ("), "law_number", F.lit("/"), F.col("law_year").cast("string"), F.lit(")"))
     return (
         page.join(laws.select("law_id", label.alias("law_label")), "law_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,13 +12,14 @@ from pyspark.sql import types as T
 
 from palimpsest.functions import text as X
 from palimpsest.functions.terms import ENTITY_KEYWORDS, EXPANSIONS, expansion_of
-from palimpsest.operators.core import first_seen, fits, spread, top_k, top_k_by
+from palimpsest.operators.core import first_seen, top_k, top_k_by
+from palimpsest.session import written
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
-DIGITS = 6
-# Question terms up to this many rows go to every task; beyond that the joins shuffle by term.
-TERM_ROWS = 500_000
+# Scores and distances are ranked in full; this many digits only take away what the order of a sum
+# leaves behind, so that equal documents tie and the smaller id wins.
+DIGITS = 12
 
 
 # --- BM25 ------------------------------------------------------------------------------------
@@ -36,17 +39,27 @@ def query_terms(q: DataFrame, expansions: dict[str, list[str]] = EXPANSIONS) ->
     )
 
 
-def build_postings(corpus: DataFrame) -> DataFrame:
-    """(doc_type, doc_id, version_id, doc_len, term): one row per token, to be stored once for many
-    searches. A blank document has one row without a term, which no question meets."""
-    toks = spread(corpus).select("doc_type", "doc_id", "version_id", X.tokens(F.col("text")).alias("_t"))
-    return toks.select("doc_type", "doc_id", "version_id", F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term"))
+def build_postings(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(doc_type, doc_id, version_id, doc_len, term): a row per token and one without a term per
+    document, which carries its length. Store it once for many searches.
 
+    With a ``vocabulary`` (term) other tokens are left out while the text is read.
+    """
+    found = X.tokens(F.coalesce("text", F.lit("")))
+    toks = corpus.select("doc_type", "doc_id", "version_id", found.alias("_t"))
+    rows = toks.select(
+        "doc_type", "doc_id", "version_id", F.size("_t").alias("doc_len"),
+        F.explode(F.concat(F.array(F.lit(None).cast("string")), "_t")).alias("term"),
+    )
+    if vocabulary is None:
+        return rows
+    marked = rows.join(vocabulary.select(F.col("term"), F.lit(True).alias("_known")), "term", "left")
+    return marked.where("term IS NULL OR _known").select("doc_type", "doc_id", "version_id", "doc_len", "term")
 
-def corpus_stats(corpus: DataFrame) -> DataFrame:
+
+def postings_stats(postings: DataFrame) -> DataFrame:
     """(doc_type, n_docs, avg_len): articles and annexes are two indexes."""
-    size = F.regexp_count(X.fold(F.coalesce("text", F.lit(""))), F.lit(X.TOKEN))
-    return spread(corpus).groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(size).alias("avg_len"))
+    return postings.where("term IS NULL").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
 def bm25_scores(
@@ -58,34 +71,40 @@ def bm25_scores(
 ) -> DataFrame:
     """(question_id, doc_type, doc_id, version_id, score) for every match.
 
-    Tokens outside the questions' vocabulary go first. What is left is placed by document, so term
-    counts, phrase checks and the per-question sums all run without another shuffle: (question,
-    document) pairs are summed where they arise and never travel. Statistics cover the whole
-    corpus; ``scope`` (question_id, version_id) limits only what is scored.
+    The corpus is read and cut into tokens once; of it only the questions' vocabulary and a row per
+    document are written, statistics come from there. Term counts, phrase checks and the sums per
+    (question, document) run on rows placed by document: pairs are summed where they arise and never
+    travel. Statistics cover the whole corpus; ``scope`` (question_id, version_id) limits what is
+    scored: versions outside it go before any pair is made. The small sides are written tables, so
+    Spark's own size check decides whether they are broadcast.
     """
-    terms = query_terms(q, expansions)
-    ship = F.broadcast if fits(terms, TERM_ROWS) else (lambda df: df)
-    rows = (postings if postings is not None else build_postings(corpus)).join(
-        ship(terms.select("term").distinct()), "term", "left_semi"
-    )
-    placed = rows.repartition("doc_type", "doc_id")
+    terms = written(query_terms(q, expansions), "terms")
+    vocabulary = written(terms.select("term").distinct(), "vocabulary")
+    if postings is None:
+        rows = written(build_postings(corpus, vocabulary), "postings")
+    else:
+        rows = postings.where("term IS NULL").unionByName(postings.join(vocabulary, "term", "left_semi").select(*postings.columns))
+    placed = rows.where("term IS NOT NULL").repartition("doc_type", "doc_id")
     tf = placed.groupBy("doc_type", "doc_id", "version_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("doc_type", "term").agg(F.count(F.lit(1)).alias("n_hits"))
+    df_ = rows.where("term IS NOT NULL").groupBy("doc_type", "doc_id", "term").agg(F.lit(1)).groupBy("doc_type", "term").agg(F.count(F.lit(1)).alias("n_hits"))
     weights = (
-        df_.join(corpus_stats(corpus), "doc_type")
+        df_.join(postings_stats(rows), "doc_type")
         .withColumn("_idf", F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5)))
         .select(
             "doc_type", "term", "avg_len",
             F.when(F.col("_idf") <= 0, F.lit(IDF_FLOOR)).otherwise(F.col("_idf")).alias("idf"),
         )
     )
-    ask = terms.join(weights, "term")
+    # a row per question term and kind of document
+    ask = written(terms.join(weights, "term"), "ask")
     f = F.col("tf")
     part = F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    # at most one row per term and kind of document, so as small as ``terms``
-    matches = tf.join(ship(ask), ["doc_type", "term"])
     if scope is not None:
-        matches = matches.join(scope.select("question_id", "version_id").distinct(), ["question_id", "version_id"], "left_semi")
+        scope = written(scope.select("question_id", "version_id").distinct(), "scope")
+        tf = tf.join(scope.select("version_id").distinct(), "version_id", "left_semi")
+    matches = tf.join(ask, ["doc_type", "term"])
+    if scope is not None:
+        matches = matches.join(scope, ["question_id", "version_id"], "left_semi")
     whole = (
         matches.groupBy("doc_type", "doc_id", "version_id", "question_id", "phrase", "phrase_size", "weight")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(part).alias("_s"))
@@ -114,10 +133,9 @@ def bm25_topk(
 
 # --- vectors ---------------------------------------------------------------------------------
 
-# Question vectors up to this many bytes go to every task; more are met block by block.
-QUERY_BYTES = 64 * 1024 * 1024
-BLOCK = 8192
-QUERY_BLOCK = 1024
+# Question vectors go to the tasks in blocks of at most this many bytes; each block is one pass over
+# the corpus, which stays where it is.
+BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def _unit(rows) -> np.ndarray:
@@ -127,129 +145,104 @@ def _unit(rows) -> np.ndarray:
     return m / norm
 
 
-def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row positions of the k smallest distances, ties by id."""
-    if len(dist) > k:
-        cut = np.partition(dist, k - 1)[k - 1]
-        keep = np.flatnonzero(dist <= cut)
-    else:
-        keep = np.arange(len(dist))
-    return keep[np.lexsort((ids[keep], dist[keep]))][:k]
-
-
-def _vector_schema(corpus: DataFrame, queries: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("question_id", queries.schema["question_id"].dataType),
-            T.StructField("version_id", corpus.schema["version_id"].dataType),
-            T.StructField("vec_id", corpus.schema["vec_id"].dataType),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-
-
-def _score_block(q: pd.DataFrame, c: pd.DataFrame, k: int, scoped: bool) -> pd.DataFrame:
-    """Cosine distances of one block of questions and one block of vectors, best k per question."""
-    if q.empty or c.empty:
-        return pd.DataFrame({"question_id": [], "version_id": [], "vec_id": [], "distance": []})
-    qm = _unit(q["vector"])
-    out = []
-    for version, part in c.groupby("version_id", sort=False) if scoped else [(None, c)]:
-        cm, ids = _unit(part["vector"]), part["vec_id"].to_numpy()
-        dist = np.round(1.0 - cm @ qm.T, DIGITS) + 0.0
-        vers = part["version_id"].to_numpy()
-        for j, qid in enumerate(q["question_id"].tolist()):
-            best = _nearest(dist[:, j], ids, k)
-            out.append(
-                pd.DataFrame({"question_id": qid, "version_id": vers[best], "vec_id": ids[best], "distance": dist[best, j]})
-            )
-    return pd.concat(out, ignore_index=True)
-
-
-def _shipped(queries: DataFrame, corpus: DataFrame, k: int, per_version: bool) -> DataFrame:
-    """Few questions: their matrix (size checked by the caller) goes to each task, the corpus stays put."""
-    schema = _vector_schema(corpus, queries)
-    rows = queries.select("question_id", "vector").collect()
-    mine = queries.sparkSession.sparkContext.broadcast(
-        pd.DataFrame({"question_id": [r[0] for r in rows], "vector": [r[1] for r in rows]})
-    )
-
-    def scan(batches):
-        q = mine.value
-        best = None
-        for batch in batches:
-            if batch.empty or q.empty:
-                continue
-            found = _score_block(q, batch, k, per_version)
-            best = found if best is None else pd.concat([best, found], ignore_index=True)
-            keys = ["question_id", "version_id"] if per_version else ["question_id"]
-            best = best.sort_values(["distance", "vec_id"]).groupby(keys, sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return corpus.select("version_id", "vec_id", "vector").mapInPandas(scan, schema)
+def _best(found: tuple[np.ndarray, ...], k: int, by: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Of rows (question, version, vector, kind, distance) the ``k`` nearest per key ``by``; ties by
+    vector, then kind."""
+    question, version, vector, kind, distance = found
+    order = np.lexsort((kind, vector, distance, *(found[c] for c in reversed(by))))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([found[c][order][1:] != found[c][order][:-1] for c in by], axis=0)
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return tuple(c[order[place < k]] for c in (question, version, vector, kind, distance))
 
 
-def _grid(queries: DataFrame, corpus: DataFrame, k: int, scope: DataFrame | None) -> DataFrame:
-    """Many questions: blocks of questions meet blocks of vectors, each pair of blocks one small task.
-
-    Blocks are cut by a hash inside each version (one constant key without a scope), so neither a
-    version with a third of the corpus nor a version asked for by a third of the questions ends up
-    in one task. Only the best k per question leave a block.
-    """
-    schema = _vector_schema(corpus, queries)
-    keyed_c = corpus.select("version_id", "vec_id", "vector")
-    if scope is None:
-        keyed_c = keyed_c.withColumn("_key", F.lit(0).cast("long"))
-        keyed_q = queries.select("question_id", "vector").withColumn("_key", F.lit(0).cast("long"))
-    else:
-        keyed_c = keyed_c.withColumn("_key", F.col("version_id"))
-        keyed_q = queries.select("question_id", "vector").join(
-            scope.select("question_id", F.col("version_id").alias("_key")).distinct(), "question_id"
-        )
-    n_c = keyed_c.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_nc"))
-    n_q = keyed_q.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_nq"))
-    sizes = n_c.join(n_q, "_key")
-    sizes_c = sizes.select(*[F.col(c).alias(c) for c in sizes.columns])
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cut = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = keyed_q.join(sizes, "_key").withColumn("_q", cut("question_id", "_nq")).withColumn("_c", span("_nc"))
-    right = keyed_c.join(sizes_c, "_key").withColumn("_c", cut("vec_id", "_nc")).withColumn("_q", span("_nq"))
-    keys = ["_key", "_q", "_c"]
-    left, right = left.drop("_nc", "_nq"), right.drop("_nc", "_nq")
-    scoped = scope is not None
-    return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(lambda q, c: _score_block(q, c, k, scoped)[["question_id", "version_id", "vec_id", "distance"]], schema)
-    )
+def _question_blocks(queries: DataFrame, scope: DataFrame | None, block_bytes: int):
+    """Blocks of (ids, unit vectors, versions asked for), each within ``block_bytes``."""
+    rows = queries.select("question_id", "vector")
+    if scope is not None:
+        asked = scope.select("question_id", "version_id").distinct().groupBy("question_id").agg(F.collect_list("version_id").alias("versions"))
+        rows = rows.join(asked, "question_id")
+    ids, vectors, versions, size = [], [], [], 0
+    for row in rows.toLocalIterator():
+        more = 8 * (len(row[1]) + (len(row[2]) if scope is not None else 0) + 1)
+        if ids and size + more > block_bytes:
+            yield ids, _unit(vectors), versions
+            ids, vectors, versions, size = [], [], [], 0
+        ids.append(row[0])
+        vectors.append(row[1])
+        versions.append(row[2] if scope is not None else None)
+        size += more
+    if ids:
+        yield ids, _unit(vectors), versions
 
 
 def vector_candidates(
-    queries: DataFrame, corpus: DataFrame, k: int, scope: DataFrame | None = None, query_bytes: int = QUERY_BYTES
+    queries: DataFrame, corpus: DataFrame, k: int, scope: DataFrame | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Exact best-k candidates per block of work: a superset of every question's best k.
+    """Exact best-k candidates per task: a superset of every question's best k.
 
-    With a ``scope`` (question_id, version_id) the best k of each (question, version) are kept.
+    ``corpus`` is (version_id, vec_id, vector), with ``doc_type`` where kinds share numbers; the kind
+    is part of a vector's key and comes back. With a ``scope`` (question_id, version_id) the best k of
+    each (question, version) are kept.
     """
-    width = queries.limit(1).select(F.size("vector")).first()
-    dims = max(1, width[0]) if width else 1
-    few = fits(queries, query_bytes // (dims * 8))
-    if few and scope is None:
-        return _shipped(queries, corpus, k, per_version=False)
-    if few:
-        allowed = scope.select("question_id", "version_id").distinct()
-        wanted = corpus.join(allowed.select("version_id").distinct(), "version_id", "left_semi")
-        return _shipped(queries, wanted, k, per_version=True).join(allowed, ["question_id", "version_id"], "left_semi")
-    return _grid(queries, corpus, k, scope)
+    typed = "doc_type" in corpus.columns
+    kinds = ["doc_type"] if typed else []
+    schema = T.StructType(
+        [
+            T.StructField("question_id", queries.schema["question_id"].dataType),
+            *[corpus.schema[c] for c in ("version_id", *kinds, "vec_id")],
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    rows = corpus.select("version_id", *kinds, "vec_id", "vector")
+    scoped = scope is not None
+    by = (0, 1) if scoped else (0,)
+
+    def search(block):
+        sent = queries.sparkSession.sparkContext.broadcast(block)
+
+        def scan(batches):
+            ids, matrix, versions = sent.value
+            asks: dict = {}
+            for i, of in enumerate(versions):
+                for v in of or ():
+                    asks.setdefault(v, []).append(i)
+            best = None
+            for batch in batches:
+                parts = batch.groupby("version_id", sort=False) if scoped else [(None, batch)]
+                for version, part in parts:
+                    mine = np.array(asks.get(version, ()), int) if scoped else np.arange(len(ids))
+                    if not len(mine) or part.empty:
+                        continue
+                    distance = np.round(1.0 - matrix[mine] @ _unit(part["vector"]).T, DIGITS) + 0.0
+                    vector, kind = part["vec_id"].to_numpy(), part["doc_type"].to_numpy(str) if typed else np.zeros(len(part), int)
+                    if len(part) > k:
+                        near = distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+                    else:
+                        near = np.ones(distance.shape, bool)
+                    q, c = np.nonzero(near)
+                    found = (mine[q], part["version_id"].to_numpy()[c], vector[c], kind[c], distance[q, c])
+                    best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found))
+                if best is not None:
+                    best = _best(best, k, by)
+            if best is not None:
+                names = np.array(ids, dtype=object)[best[0]]
+                out = {"question_id": names, "version_id": best[1], "doc_type": best[3], "vec_id": best[2], "distance": best[4]}
+                yield pd.DataFrame({c: out[c] for c in schema.names})
+
+        return rows.mapInPandas(scan, schema)
+
+    found = [search(block) for block in _question_blocks(queries, scope, block_bytes)]
+    return reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], schema)
 
 
 def vector_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, scope: DataFrame | None = None, query_bytes: int = QUERY_BYTES
+    queries: DataFrame, corpus: DataFrame, k: int, scope: DataFrame | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """K2: nearest ``k`` vectors per question by cosine distance, exact."""
-    found = vector_candidates(queries, corpus, k, scope, query_bytes)
-    return top_k(found, ["question_id"], [F.asc("distance"), F.asc("vec_id")], k)
+    """K2: nearest ``k`` vectors per question by cosine distance, exact; ties by id, then kind."""
+    found = vector_candidates(queries, corpus, k, scope, block_bytes)
+    kinds = [F.asc("doc_type")] if "doc_type" in found.columns else []
+    return top_k(found, ["question_id"], [F.asc("distance"), F.asc("vec_id"), *kinds], k)
 
 
 # --- hybrid ----------------------------------------------------------------------------------
@@ -296,12 +289,10 @@ def hybrid_retrieve(
         F.when(F.col("doc_type") == "article", 0).otherwise(1).alias("_src"),
         (-F.col("score")).alias("bm25_rank"), F.lit(None).cast("double").alias("distance"), F.lit("bm25").alias("source"),
     )
-    kinds = vectors.select(F.col("vec_id").alias("doc_id"), "doc_type")
     semantic = vector_candidates(queries, vectors, ceiling, versions).join(plan, ["question_id", "version_id"])
     semantic = (
-        top_k_by(semantic, group, [F.asc("distance"), F.asc("vec_id")], F.col("budget"), ceiling)
+        top_k_by(semantic, group, [F.asc("distance"), F.asc("vec_id"), F.asc("doc_type")], F.col("budget"), ceiling)
         .withColumnRenamed("vec_id", "doc_id")
-        .join(kinds, "doc_id")
         .select(
             *group, "law_order", "doc_type", "doc_id", "version_id", "rank", F.lit(2).alias("_src"),
             F.lit(None).cast("double").alias("bm25_rank"), "distance", F.lit("semantic").alias("source"),
@@ -365,7 +356,6 @@ def cap_hits(hits: DataFrame, n: int = EXPANSION_INPUT) -> DataFrame:
 
 # --- rerank ----------------------------------------------------------------------------------
 
-SCORED_AT_MOST = 60
 ROLE_BOOST = 0.15
 
 
@@ -389,17 +379,15 @@ def rerank(
 ) -> DataFrame:
     """K8: given scores where present, else the fallback; primary laws get a boost; best k stay.
 
-    ``scores`` (question_id, doc_type, doc_id, model_score) applies to the first 60 hits by arrival,
-    as a scorer sees no more. ``k`` may be a column of ``hits``, at most ``ceiling``.
+    Every score given in ``scores`` (question_id, doc_type, doc_id, model_score) counts. ``k`` may be a
+    column of ``hits``, at most ``ceiling``.
     """
     keys = ["question_id", "doc_type", "doc_id"]
     base = fallback_score(F.col("distance"), F.col("bm25_rank"))
     if scores is None:
         scored = hits.withColumn("_s", base)
     else:
-        head = top_k(hits.select(*keys, "arrival"), ["question_id"], [F.asc("arrival")], SCORED_AT_MOST, "_r")
-        given = head.select(*keys).join(scores.select(*keys, "model_score"), keys)
-        scored = hits.join(given, keys, "left").withColumn("_s", F.coalesce("model_score", base)).drop("model_score")
+        scored = hits.join(scores.select(*keys, "model_score"), keys, "left").withColumn("_s", F.coalesce("model_score", base)).drop("model_score")
     boosted = scored.withColumn(
         "reranker_score", F.round(F.col("_s") + F.when(F.col("role") == "PRIMARY", boost).otherwise(0.0), DIGITS)
     ).drop("_s")
@@ -417,10 +405,8 @@ def fetch_governing_norm(needs: DataFrame, exact: DataFrame, queries: DataFrame,
     """
     hit = exact.select("question_id", "doc_type", "doc_id", F.lit("exact").alias("strategy"))
     rest = needs.select("question_id").distinct().join(hit.select("question_id").distinct(), "question_id", "left_anti")
-    kinds = vectors.select(F.col("vec_id"), "doc_type")
     near = (
         vector_topk(queries.join(rest, "question_id", "left_semi"), vectors, 5, scope)
-        .join(kinds, "vec_id")
         .select("question_id", "doc_type", F.col("vec_id").alias("doc_id"), F.lit("semantic").alias("strategy"))
     )
     last = rest.join(queries.select("question_id").distinct(), "question_id", "left_anti")

@@ -214,34 +214,37 @@ def relevance_gate(spark, d):
     return A.relevance_gate(_askers(spark, d), ranked, _cand(spark, d))
 
 
-AVAIL = """avail AS (SELECT c.*, CASE WHEN (SELECT count(*) FROM versions v WHERE v.law_id = c.law_id) = 0 THEN 'missing' ELSE 'available' END AS availability,
+# two thirds of the candidates are asked for on a day early in the history
+AVAIL = """avail AS (SELECT c.*, CASE WHEN (SELECT count(*) FROM versions v WHERE v.law_id = c.law_id) = 0 THEN 'missing'
+  WHEN c.ref_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.law_id = c.law_id AND v.date_in_force <= DATE '1996-06-01') THEN 'wrong_version' ELSE 'available' END AS availability,
  k.ver_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM versions v WHERE v.law_id = k.law_id AND v.ver_id = k.ver_id) AS stale,
- CAST((SELECT min(date_in_force) FROM versions v WHERE v.law_id = c.law_id) AS VARCHAR) AS have, CAST(k.date_in_force AS VARCHAR) AS official
+ CAST(coalesce((SELECT max(date_in_force) FROM versions v WHERE v.law_id = c.law_id AND c.ref_id % 3 <> 0 AND v.date_in_force <= DATE '1996-06-01'),
+  (SELECT min(date_in_force) FROM versions v WHERE v.law_id = c.law_id)) AS VARCHAR) AS have, CAST(k.date_in_force AS VARCHAR) AS official
  FROM cand c LEFT JOIN (SELECT * FROM known WHERE is_current) k ON k.law_id = c.law_id)"""
 
 
 def _covered(spark, d):
     none = F.lit(None)
-    c = _cand(spark, d).withColumn("relevant_date", none.cast("date"))
+    c = _cand(spark, d).withColumn("relevant_date", F.when(F.col("ref_id") % 3 != 0, F.lit("1996-06-01").cast("date")))
     c = V.version_availability(c, S.versions(spark, d))
     return V.version_status(c, S.known(spark, d), S.versions(spark, d)).withColumn("currency_status", none.cast("string"))
 
 
-@add("coverage_gate", S.with_(S.LAWS, S.VERSIONS, REFS, FOUND, CAND, ASKERS, AVAIL) + """, s AS (SELECT question_id, count(*) FILTER (availability = 'missing') AS missing, count(*) FILTER (stale) AS stale FROM avail GROUP BY 1)
- SELECT question_id, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS wrong_version, CAST(coalesce(s.stale, 0) AS BIGINT) AS stale,
- CASE WHEN missing IS NULL THEN 'clarification' WHEN missing > 0 OR s.stale > 0 THEN 'pause' ELSE 'continue' END AS outcome FROM askers LEFT JOIN s USING (question_id)""")
+@add("coverage_gate", S.with_(S.LAWS, S.VERSIONS, REFS, FOUND, CAND, ASKERS, AVAIL) + """, s AS (SELECT question_id, count(*) FILTER (availability = 'missing') AS missing, count(*) FILTER (availability = 'wrong_version') AS wrong, count(*) FILTER (stale) AS stale FROM avail GROUP BY 1)
+ SELECT question_id, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(wrong, 0) AS BIGINT) AS wrong_version, CAST(coalesce(s.stale, 0) AS BIGINT) AS stale,
+ CASE WHEN missing IS NULL THEN 'clarification' WHEN missing > 0 OR wrong > 0 OR s.stale > 0 THEN 'pause' ELSE 'continue' END AS outcome FROM askers LEFT JOIN s USING (question_id)""")
 def coverage_gate(spark, d):
     return A.coverage_gate(_askers(spark, d), _covered(spark, d))
 
 
-@add("coverage_recheck", S.with_(S.LAWS, S.VERSIONS, REFS, FOUND, CAND, ASKERS, AVAIL) + """, s AS (SELECT question_id, count(*) FILTER (availability = 'missing') AS missing FROM avail WHERE role = 'PRIMARY' GROUP BY 1)
- SELECT question_id, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS wrong_version, CAST(0 AS BIGINT) AS stale, CASE WHEN missing > 0 THEN 'error_missing' ELSE 'continue' END AS outcome FROM askers LEFT JOIN s USING (question_id)""")
+@add("coverage_recheck", S.with_(S.LAWS, S.VERSIONS, REFS, FOUND, CAND, ASKERS, AVAIL) + """, s AS (SELECT question_id, count(*) FILTER (availability = 'missing') AS missing, count(*) FILTER (availability = 'wrong_version') AS wrong FROM avail WHERE role = 'PRIMARY' GROUP BY 1)
+ SELECT question_id, CAST(coalesce(missing, 0) AS BIGINT) AS missing, CAST(coalesce(wrong, 0) AS BIGINT) AS wrong_version, CAST(0 AS BIGINT) AS stale, CASE WHEN missing > 0 THEN 'error_missing' WHEN wrong > 0 THEN 'error_wrong_version' ELSE 'continue' END AS outcome FROM askers LEFT JOIN s USING (question_id)""")
 def coverage_recheck(spark, d):
     return A.coverage_gate(_askers(spark, d), _covered(spark, d), recheck=True)
 
 
 @add("coverage_lines", S.with_(S.LAWS, S.VERSIONS, REFS, FOUND, CAND, AVAIL) + """, n AS (SELECT *, coalesce(title, '') || ' (' || law_number || '/' || law_year || ')' AS name FROM avail)
- SELECT question_id, 'missing' AS reason, name AS line FROM n WHERE availability = 'missing' UNION ALL
+ SELECT question_id, availability AS reason, name AS line FROM n WHERE availability IN ('missing', 'wrong_version') UNION ALL
  SELECT question_id, 'stale', name || ' — ' || coalesce(have, '?') || ' < ' || coalesce(official, '?') FROM n WHERE stale""")
 def coverage_lines(spark, d):
     return A.coverage_lines(_covered(spark, d))

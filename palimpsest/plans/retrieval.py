@@ -47,16 +47,21 @@ def bm25_sql(questions: str = "questions", scope: str | None = None, prefix: str
  {p}grp AS (SELECT a.question_id, tf.doc_type, tf.doc_id, tf.version_id, a.phrase, a.phrase_size, a.weight, count(*) AS n,
    sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
    FROM {p}tf tf JOIN {p}terms a USING (term) JOIN {p}idf i ON i.doc_type = tf.doc_type AND i.term = tf.term {where} GROUP BY ALL),
- {p}scores AS (SELECT question_id, doc_type, doc_id, version_id, round(sum(s * weight), 6) AS score FROM {p}grp WHERE n = phrase_size GROUP BY ALL)"""
+ {p}scores AS (SELECT question_id, doc_type, doc_id, version_id, round(sum(s * weight), 12) AS score FROM {p}grp WHERE n = phrase_size GROUP BY ALL)"""
+
+
+def shown(df):
+    """Ranked in full, shown with six digits, as the sums differ in the last ones."""
+    return df.withColumns({c: F.round(c, 6) for c in ("score", "bm25_rank", "distance", "reranker_score") if c in df.columns})
 
 
 TOPK = "row_number() OVER (PARTITION BY question_id, doc_type ORDER BY score DESC, doc_id)"
 
 
 @add("bm25_topk", S.with_(S.QUESTIONS, S.CORPUS, bm25_sql()) + f"""
-SELECT *, -score AS bm25_rank FROM (SELECT question_id, doc_type, doc_id, version_id, score, {TOPK} AS rank FROM scores) WHERE rank <= 10""")
+SELECT * REPLACE (round(score, 6) AS score), round(-score, 6) AS bm25_rank FROM (SELECT question_id, doc_type, doc_id, version_id, score, {TOPK} AS rank FROM scores) WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    return R.bm25_topk(S.questions(spark, d), S.corpus(spark, d), 10)
+    return shown(R.bm25_topk(S.questions(spark, d), S.corpus(spark, d), 10))
 
 
 SCOPE = "scope AS (SELECT DISTINCT question_id, (question_id + j) % 20 AS version_id FROM questions, range(4) t(j))"
@@ -70,19 +75,19 @@ def _scope(spark, d):
 
 
 @add("bm25_topk_versions", S.with_(S.QUESTIONS, S.CORPUS, SCOPE, bm25_sql(scope="scope")) + f"""
-SELECT *, -score AS bm25_rank FROM (SELECT question_id, doc_type, doc_id, version_id, score, {TOPK} AS rank FROM scores) WHERE rank <= 10""")
+SELECT * REPLACE (round(score, 6) AS score), round(-score, 6) AS bm25_rank FROM (SELECT question_id, doc_type, doc_id, version_id, score, {TOPK} AS rank FROM scores) WHERE rank <= 10""")
 def bm25_topk_versions(spark, d):
-    return R.bm25_topk(S.questions(spark, d), S.corpus(spark, d), 10, version_filter=_scope(spark, d))
+    return shown(R.bm25_topk(S.questions(spark, d), S.corpus(spark, d), 10, version_filter=_scope(spark, d)))
 
 
-DIST = "round(1 - list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 6)"
+DIST = "round(1 - list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(v.vector AS DOUBLE[])), 12)"
 
 
 @add("vector_topk", S.with_(S.VECTORS, S.QUERY_VECTORS) + f"""
-SELECT * FROM (SELECT question_id, version_id, vec_id, {DIST} AS distance,
+SELECT * REPLACE (round(distance, 6) AS distance) FROM (SELECT question_id, version_id, vec_id, {DIST} AS distance,
  row_number() OVER (PARTITION BY question_id ORDER BY {DIST}, vec_id) AS rank FROM qvec q, vectors v) WHERE rank <= 10""")
 def vector_topk(spark, d):
-    return R.vector_topk(S.query_vectors(spark, d), S.vectors(spark, d), 10)
+    return shown(R.vector_topk(S.query_vectors(spark, d), S.vectors(spark, d), 10))
 
 
 VSCOPE = "vscope AS (SELECT DISTINCT question_id, (question_id + j) % 20 AS version_id FROM qvec, range(5) t(j))"
@@ -95,20 +100,20 @@ def _vscope(spark, d):
 
 
 VECTOR_SCOPED = S.with_(S.VECTORS, S.QUERY_VECTORS, VSCOPE) + f"""
-SELECT * FROM (SELECT q.question_id, v.version_id, vec_id, {DIST} AS distance,
+SELECT * REPLACE (round(distance, 6) AS distance) FROM (SELECT q.question_id, v.version_id, vec_id, {DIST} AS distance,
  row_number() OVER (PARTITION BY q.question_id ORDER BY {DIST}, vec_id) AS rank
  FROM qvec q JOIN vscope s ON s.question_id = q.question_id JOIN vectors v ON v.version_id = s.version_id) WHERE rank <= 10"""
 
 
 @add("vector_topk_versions", VECTOR_SCOPED)
 def vector_topk_versions(spark, d):
-    return R.vector_topk(S.query_vectors(spark, d), S.vectors(spark, d), 10, _vscope(spark, d))
+    return shown(R.vector_topk(S.query_vectors(spark, d), S.vectors(spark, d), 10, _vscope(spark, d)))
 
 
 @add("vector_topk_blocks", VECTOR_SCOPED)
 def vector_topk_blocks(spark, d):
-    """The same search as if the question vectors were too many to ship."""
-    return R.vector_topk(S.query_vectors(spark, d), S.vectors(spark, d), 10, _vscope(spark, d), query_bytes=0)
+    """The same search with the question vectors in several blocks."""
+    return shown(R.vector_topk(S.query_vectors(spark, d), S.vectors(spark, d), 10, _vscope(spark, d), block_bytes=150_000))
 
 
 # law scope of the questions: two laws in the first tier, one in the second, versions by number
@@ -136,47 +141,40 @@ def question_vectors(spark, d):
     return S.query_vectors(spark, d).join(S.questions(spark, d).select("question_id"), "question_id", "left_semi")
 
 
-def doc_vectors(spark, d):
-    """Vectors of the corpus: the vector id is the document id."""
-    kinds = S.corpus(spark, d).select(F.col("doc_id").alias("vec_id"), "doc_type")
-    return S.vectors(spark, d).join(kinds, "vec_id")
-
-
 def _hybrid(spark, d):
     q = S.questions(spark, d)
-    return R.hybrid_retrieve(q, law_scope(spark, d), S.corpus(spark, d), question_vectors(spark, d), doc_vectors(spark, d))
+    return R.hybrid_retrieve(q, law_scope(spark, d), S.corpus(spark, d), question_vectors(spark, d), S.doc_vectors(spark, d))
 
 
 HYBRID = [
-    S.QUESTIONS, S.CORPUS, S.VECTORS, S.QUERY_VECTORS, LAW_SCOPE,
+    S.QUESTIONS, S.CORPUS, S.DOC_VECTORS, S.QUERY_VECTORS, LAW_SCOPE,
     bm25_sql("questions", "lawscope"),
     """plan AS (SELECT *, greatest(5, CASE tier WHEN 'tier1_primary' THEN 30 ELSE 15 END // (SELECT count(DISTINCT law_id)
  FROM lawscope b WHERE b.question_id = a.question_id AND b.tier = a.tier)) AS budget FROM lawscope a)""",
     """lex AS (SELECT * FROM (SELECT question_id, tier, law_id, law_order, doc_type, doc_id, version_id, -score AS bm25_rank, budget,
  row_number() OVER (PARTITION BY question_id, tier, law_id, doc_type ORDER BY score DESC, doc_id) AS rank
  FROM scores JOIN plan USING (question_id, version_id)) WHERE rank <= budget)""",
-    f"""sem AS (SELECT * FROM (SELECT question_id, tier, law_id, law_order, vec_id AS doc_id, version_id, budget, distance,
- row_number() OVER (PARTITION BY question_id, tier, law_id ORDER BY distance, vec_id) AS rank FROM
- (SELECT q.question_id, p.tier, p.law_id, p.law_order, p.budget, v.vec_id, v.version_id, {DIST} AS distance
-  FROM qvec q JOIN plan p ON p.question_id = q.question_id JOIN vectors v ON v.version_id = p.version_id
-  JOIN corpus c ON c.doc_id = v.vec_id)) WHERE rank <= budget)""",
+    f"""sem AS (SELECT * FROM (SELECT question_id, tier, law_id, law_order, doc_type, vec_id AS doc_id, version_id, budget, distance,
+ row_number() OVER (PARTITION BY question_id, tier, law_id ORDER BY distance, vec_id, doc_type) AS rank FROM
+ (SELECT q.question_id, p.tier, p.law_id, p.law_order, p.budget, v.doc_type, v.vec_id, v.version_id, {DIST} AS distance
+  FROM qvec q JOIN plan p ON p.question_id = q.question_id JOIN docvec v ON v.version_id = p.version_id)) WHERE rank <= budget)""",
     """arrived AS (SELECT question_id, tier, law_id, doc_type, doc_id, version_id, bm25_rank, CAST(NULL AS DOUBLE) AS distance, 'bm25' AS source,
  law_order, CASE WHEN doc_type = 'article' THEN 0 ELSE 1 END AS src, rank FROM lex
- UNION ALL SELECT question_id, tier, law_id, c.doc_type, doc_id, sem.version_id, NULL, distance, 'semantic', law_order, 2, rank FROM sem JOIN corpus c USING (doc_id))""",
+ UNION ALL SELECT question_id, tier, law_id, doc_type, doc_id, version_id, NULL, distance, 'semantic', law_order, 2, rank FROM sem)""",
     """hits AS (SELECT * EXCLUDE (rank, src, law_order, seen), CASE WHEN tier = 'tier1_primary' THEN 'PRIMARY' ELSE 'SECONDARY' END AS role,
  row_number() OVER (PARTITION BY question_id ORDER BY tier, law_order, law_id, src, rank) AS arrival FROM
  (SELECT *, row_number() OVER (PARTITION BY question_id, doc_type, doc_id ORDER BY tier, law_order, law_id, src, rank) AS seen FROM arrived) WHERE seen = 1)""",
 ]
-HIT_COLS = "question_id, tier, law_id, doc_type, doc_id, version_id, bm25_rank, distance, source, role"
+HIT_COLS = "question_id, tier, law_id, doc_type, doc_id, version_id, round(bm25_rank, 6) AS bm25_rank, round(distance, 6) AS distance, source, role"
 
 
 @add("hybrid_retrieve", S.with_(*HYBRID) + f"SELECT {HIT_COLS} FROM hits")
 def hybrid_retrieve(spark, d):
-    return _hybrid(spark, d).drop("arrival")
+    return shown(_hybrid(spark, d).drop("arrival"))
 
 
 @add("hybrid_duplicates", S.with_(*HYBRID) + """SELECT question_id, CAST(count(*) AS BIGINT) AS found,
- CAST(count(DISTINCT doc_id) AS BIGINT) AS kept FROM arrived GROUP BY 1""")
+ CAST(count(DISTINCT (doc_type, doc_id)) AS BIGINT) AS kept FROM arrived GROUP BY 1""")
 def hybrid_duplicates(spark, d):
     """How many hits the union brought and how many are left once seen twice is removed."""
     q = S.questions(spark, d)
@@ -184,10 +182,10 @@ def hybrid_duplicates(spark, d):
     plan = R.law_budgets(scope, R.FULL_BUDGETS)
     lex = R.bm25_scores(q, S.corpus(spark, d), scope=scope).join(plan, ["question_id", "version_id"])
     lex = R.top_k_by(lex, ["question_id", "tier", "law_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], F.col("budget"), 30)
-    sem = R.vector_candidates(question_vectors(spark, d), doc_vectors(spark, d), 30, scope).join(plan, ["question_id", "version_id"])
-    sem = R.top_k_by(sem, ["question_id", "tier", "law_id"], [F.asc("distance"), F.asc("vec_id")], F.col("budget"), 30)
-    both = lex.select("question_id", "doc_id").unionByName(sem.select("question_id", F.col("vec_id").alias("doc_id")))
-    return both.groupBy("question_id", "doc_id").count().groupBy("question_id").agg(
+    sem = R.vector_candidates(question_vectors(spark, d), S.doc_vectors(spark, d), 30, scope).join(plan, ["question_id", "version_id"])
+    sem = R.top_k_by(sem, ["question_id", "tier", "law_id"], [F.asc("distance"), F.asc("vec_id"), F.asc("doc_type")], F.col("budget"), 30)
+    both = lex.select("question_id", "doc_type", "doc_id").unionByName(sem.select("question_id", "doc_type", F.col("vec_id").alias("doc_id")))
+    return both.groupBy("question_id", "doc_type", "doc_id").count().groupBy("question_id").agg(
         F.sum("count").alias("found"), F.count(F.lit(1)).alias("kept")
     )
 
@@ -197,7 +195,7 @@ KEYWORDS = _values((e, i, w) for e, ks in ENTITY_KEYWORDS.items() for i, w in en
 
 
 @add("entity_retrieve", S.with_(
-    S.QUESTIONS, "corpus AS (SELECT CASE WHEN lang = 'en' THEN 'article' ELSE 'annex' END AS doc_type, doc_id, doc_id % 20 AS version_id, 'capital social ' || text AS text FROM documents)",
+    S.QUESTIONS, S.CORPUS.replace("text FROM", "'capital social ' || text AS text FROM"),
     S.VECTORS, S.QUERY_VECTORS, LAW_SCOPE, ENTITIES,
     f"derived AS (SELECT ents.*, kw_order, kw, question_id * 10000 + entity_order * 100 + kw_order AS sub FROM ents JOIN (VALUES {KEYWORDS}) k(e, kw_order, kw) ON k.e = upper(ents.entity))",
     "asks AS (SELECT sub AS question_id, kw AS text FROM derived)",
@@ -206,26 +204,26 @@ KEYWORDS = _values((e, i, w) for e, ks in ENTITY_KEYWORDS.items() for i, w in en
 ) + f"""SELECT question_id, doc_type, doc_id, version_id, source, tier, role, bm25_rank FROM (
  SELECT *, row_number() OVER (PARTITION BY question_id, doc_type, doc_id ORDER BY entity_order, kw_order, CASE WHEN doc_type = 'article' THEN 0 ELSE 1 END, rank) AS seen FROM (
   SELECT derived.question_id, doc_type, doc_id, version_id, 'entity:' || entity AS source, 'entity_targeted' AS tier, 'PRIMARY' AS role,
-   -score AS bm25_rank, entity_order, kw_order, rank FROM (SELECT *, {TOPK} AS rank FROM scores) s JOIN derived ON derived.sub = s.question_id WHERE rank <= 10)) WHERE seen = 1""")
+   round(-score, 6) AS bm25_rank, entity_order, kw_order, rank FROM (SELECT *, {TOPK} AS rank FROM scores) s JOIN derived ON derived.sub = s.question_id WHERE rank <= 10)) WHERE seen = 1""")
 def entity_retrieve(spark, d):
     corpus = S.corpus(spark, d).withColumn("text", F.concat(F.lit("capital social "), "text"))
     ents = law_scope(spark, d).select("question_id").distinct().select(
         "question_id", F.posexplode(F.array(F.lit("sa"), F.lit("SRL"), F.lit("none"))).alias("entity_order", "entity")
     )
     primary = law_scope(spark, d).where("tier = 'tier1_primary'")
-    return R.entity_retrieve(ents, corpus, primary)
+    return shown(R.entity_retrieve(ents, corpus, primary))
 
 
 @add("cap_hits", S.with_(*HYBRID) + f"""SELECT {HIT_COLS} FROM (SELECT *, row_number() OVER
  (PARTITION BY question_id ORDER BY coalesce(distance, 1.0), arrival) AS r FROM hits) WHERE r <= 30""")
 def cap_hits(spark, d):
-    return R.cap_hits(_hybrid(spark, d)).drop("arrival")
+    return shown(R.cap_hits(_hybrid(spark, d)).drop("arrival"))
 
 
 RERANKED = """ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY reranker_score DESC, arrival) AS rank FROM
- (SELECT h.*, least(20, 5 + 5 * (h.question_id % 4)) AS k, round(coalesce(CASE WHEN arrival <= 60 THEN CAST(l.quality AS DOUBLE) END,
+ (SELECT h.*, least(20, 5 + 5 * (h.question_id % 4)) AS k, round(coalesce(CAST(l.quality AS DOUBLE),
    CASE WHEN distance IS NOT NULL THEN greatest(0.0, 1 - distance / 2) WHEN bm25_rank IS NOT NULL THEN greatest(-bm25_rank, 0) / (1 + greatest(-bm25_rank, 0)) ELSE 0.5 END)
-   + CASE WHEN role = 'PRIMARY' THEN 0.15 ELSE 0.0 END, 6) AS reranker_score
+   + CASE WHEN role = 'PRIMARY' THEN 0.15 ELSE 0.0 END, 12) AS reranker_score
   FROM hits h LEFT JOIN labels l USING (doc_id))) WHERE rank <= k)"""
 
 
@@ -240,9 +238,9 @@ def reranked(spark, d):
     return R.rerank(hits, asked, F.col("k"))
 
 
-@add("rerank", S.with_(*HYBRID, RERANKED) + f"SELECT {HIT_COLS}, k, reranker_score, rank FROM ranked")
+@add("rerank", S.with_(*HYBRID, RERANKED) + f"SELECT {HIT_COLS}, k, round(reranker_score, 6) AS reranker_score, rank FROM ranked")
 def rerank(spark, d):
-    return reranked(spark, d).drop("arrival")
+    return shown(reranked(spark, d).drop("arrival"))
 
 
 @add("amendment_lines", S.with_(*HYBRID) + """SELECT h.question_id, h.doc_id AS article_id, l_orderkey * 10 + l_linenumber AS note_id,
@@ -284,7 +282,7 @@ def group_topk(spark, d):
 
 
 GOVERNING = S.with_(
-    S.QUESTIONS, S.CORPUS, S.VECTORS, S.QUERY_VECTORS,
+    S.QUESTIONS, S.CORPUS, S.DOC_VECTORS, S.QUERY_VECTORS,
     "need AS (SELECT * FROM questions)",
     "nvec AS (SELECT * FROM qvec WHERE question_id IN (SELECT question_id FROM need) AND vector[1] > 0)",
     "gscope AS (SELECT DISTINCT question_id, (question_id + j) % 20 AS version_id FROM need, range(6) t(j))",
@@ -292,8 +290,8 @@ GOVERNING = S.with_(
     "lastq AS (SELECT * FROM need WHERE question_id NOT IN (SELECT question_id FROM exact) AND question_id NOT IN (SELECT question_id FROM nvec))",
     bm25_sql("lastq", "gscope"),
 ) + f"""SELECT *, 'exact' AS strategy FROM exact UNION ALL
- SELECT question_id, doc_type, vec_id, 'semantic' FROM (SELECT q.question_id, c.doc_type, vec_id, row_number() OVER (PARTITION BY q.question_id ORDER BY {DIST}, vec_id) AS r
-  FROM nvec q JOIN gscope s ON s.question_id = q.question_id JOIN vectors v ON v.version_id = s.version_id JOIN corpus c ON c.doc_id = v.vec_id
+ SELECT question_id, doc_type, vec_id, 'semantic' FROM (SELECT q.question_id, v.doc_type, vec_id, row_number() OVER (PARTITION BY q.question_id ORDER BY {DIST}, vec_id, doc_type) AS r
+  FROM nvec q JOIN gscope s ON s.question_id = q.question_id JOIN docvec v ON v.version_id = s.version_id
   WHERE q.question_id NOT IN (SELECT question_id FROM exact)) WHERE r <= 5 UNION ALL
  SELECT question_id, doc_type, doc_id, 'bm25' FROM (SELECT *, {TOPK} AS r FROM scores) WHERE r <= 5"""
 
@@ -310,4 +308,4 @@ def governing_norm(spark, d):
         "question_id", ((F.col("question_id") + F.col("j")) % 20).alias("version_id")
     )
     known = question_vectors(spark, d).where(F.element_at("vector", 1) > 0)
-    return R.fetch_governing_norm(need, exact, known, doc_vectors(spark, d), need, corpus, scope)
+    return R.fetch_governing_norm(need, exact, known, S.doc_vectors(spark, d), need, corpus, scope)

@@ -135,17 +135,36 @@ ISSUES = """issues AS (SELECT c_custkey % 40 AS question_id, 'ISSUE-' || (c_cust
 
 
 def corpus(spark, d):
-    """Search corpus: English documents stand for articles, the others for annexes."""
+    """Search corpus: English documents stand for articles, the others for annexes. Annexes are numbered
+    one up, so that many share a number with an article."""
+    article = F.col("lang") == "en"
     return load(spark, d, "documents").select(
-        F.when(F.col("lang") == "en", "article").otherwise("annex").alias("doc_type"),
-        "doc_id",
+        F.when(article, "article").otherwise("annex").alias("doc_type"),
+        F.when(article, F.col("doc_id")).otherwise(F.col("doc_id") + 1).alias("doc_id"),
         (F.col("doc_id") % 20).alias("version_id"),
         "text",
     )
 
 
-CORPUS = """corpus AS (SELECT CASE WHEN lang = 'en' THEN 'article' ELSE 'annex' END AS doc_type, doc_id,
- doc_id % 20 AS version_id, text FROM documents)"""
+CORPUS = """corpus AS (SELECT CASE WHEN lang = 'en' THEN 'article' ELSE 'annex' END AS doc_type,
+ CASE WHEN lang = 'en' THEN doc_id ELSE doc_id + 1 END AS doc_id, doc_id % 20 AS version_id, text FROM documents)"""
+
+
+def doc_vectors(spark, d):
+    """Vectors of the corpus, keyed by kind and number as it is."""
+    article = F.col("lang") == "en"
+    kinds = load(spark, d, "documents").select(
+        F.col("doc_id").alias("_id"),
+        F.when(article, "article").otherwise("annex").alias("doc_type"),
+        F.when(article, F.col("doc_id")).otherwise(F.col("doc_id") + 1).alias("_number"),
+    )
+    found = vectors(spark, d).withColumnRenamed("vec_id", "_id").join(kinds, "_id")
+    return found.select("doc_type", F.col("_number").alias("vec_id"), "vector", "version_id")
+
+
+DOC_VECTORS = """docvec AS (SELECT CASE WHEN lang = 'en' THEN 'article' ELSE 'annex' END AS doc_type,
+ CASE WHEN lang = 'en' THEN vec_id ELSE vec_id + 1 END AS vec_id, vec_id % 20 AS version_id, embedding AS vector
+ FROM embeddings JOIN documents ON doc_id = vec_id)"""
 
 
 def questions(spark, d):

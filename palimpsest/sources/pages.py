@@ -9,6 +9,7 @@ and is reported by ``broken_pages``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,18 +18,24 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import slashed_to_iso
 from palimpsest.functions.text import group, strip_space
-from palimpsest.operators.core import best_row, first_seen, spread
-from palimpsest.session import cut_lineage
+from palimpsest.operators.core import first_seen
+from palimpsest.session import written
+from palimpsest.sources.structured import footnotes, parse_structured
 
-ELEMENTS = "page_id long, seq int, parent int, last int, tag string, id string, cls string, href string, text string"
+ELEMENTS = "seq int, parent int, last int, tag string, id string, cls string, href string, path array<int>, text string"
 # tags that never hold others
 VOID = ("br", "hr", "img", "meta", "link", "input", "col", "wbr")
-# tags whose text is read; blocks above them would only repeat it
-TEXT_TAGS = ("p", "td", "th", "span", "a", "div")
+# tags whose text is read; blocks above them would only repeat it, so of blocks only a few kinds are
+TEXT_TAGS = ("p", "td", "th", "span", "a")
+TEXT_BLOCKS = ("inline-element", "norm", "grid-list-column-1")
+
+
+def _reads(tag: str, ident: str, cls: str) -> bool:
+    return tag in TEXT_TAGS or tag == "div" and (ident.startswith("cit_") or not set(TEXT_BLOCKS).isdisjoint(cls.split()))
 
 
 class _Flat(HTMLParser):
-    """Open and close events to rows [seq, parent, last, tag, id, class, href, pieces]."""
+    """Open and close events to rows [seq, parent, last, tag, id, class, href, path, pieces]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -43,7 +50,7 @@ class _Flat(HTMLParser):
             self.handle_endtag("p")  # an open paragraph ends where the next one starts
         a = dict(attrs)
         seq = len(self.rows)
-        self.rows.append([seq, self.open[-1] if self.open else -1, seq, tag, a.get("id") or "", a.get("class") or "", a.get("href") or "", []])
+        self.rows.append([seq, self.open[-1] if self.open else -1, seq, tag, a.get("id") or "", a.get("class") or "", a.get("href") or "", list(self.open), []])
         if tag not in VOID:
             self.open.append(seq)
 
@@ -67,8 +74,8 @@ class _Flat(HTMLParser):
         piece = " ".join(data.split())
         if piece and not self.skip:
             for i in self.open:
-                if self.rows[i][3] in TEXT_TAGS:
-                    self.rows[i][7].append(piece)
+                if _reads(*self.rows[i][3:6]):
+                    self.rows[i][8].append(piece)
 
     def finish(self) -> list[list]:
         for seq in self.open:
@@ -80,13 +87,15 @@ def _flatten(html: str | None) -> list[list]:
     parser = _Flat()
     parser.feed(html or "")
     parser.close()
-    return [[*r[:7], " ".join(r[7])] for r in parser.finish()]
+    return [[*r[:8], " ".join(r[8])] for r in parser.finish()]
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, seq, parent, last, tag, id, cls, href, text) for pages (page_id, html)."""
+    """(page_id, seq, parent, last, tag, id, cls, href, path, text) for pages (page_id, html); ``path`` lists
+    the places of the elements around one. Page ids are kept as they are, numbers or texts."""
 
-    columns = ["page_id", "seq", "parent", "last", "tag", "id", "cls", "href", "text"]
+    columns = ["page_id", "seq", "parent", "last", "tag", "id", "cls", "href", "path", "text"]
+    kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[list] = []
@@ -102,7 +111,7 @@ def page_elements(pages: DataFrame) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "html")).mapInPandas(run, ELEMENTS)
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, {ELEMENTS}")
 
 
 def broken_pages(pages: DataFrame, elements: DataFrame) -> DataFrame:
@@ -116,7 +125,6 @@ def has_class(name: str, col: str = "cls") -> Column:
 
 # Classes of the parts in each layout, and the forms of headings and labels.
 LAYOUTS = {
-    "structured": {"article": "oj-ti-art", "subtitle": "oj-sti-art", "text": "oj-normal", "division": "oj-ti-section-1", "division_title": "oj-ti-section-2", "title": "oj-doc-ti"},
     "legacy": {"article": "ti-art", "subtitle": "sti-art", "text": "normal", "division": "ti-section-1", "division_title": "ti-section-2", "title": "doc-ti"},
     "flat": {"article": "title-article-norm", "subtitle": "stitle-article-norm", "text": "norm", "division": "title-division-1", "division_title": "title-division-2", "title": "title-doc-first"},
 }
@@ -142,7 +150,7 @@ def page_layout(elements: DataFrame) -> DataFrame:
 
 def _marks(elements: DataFrame) -> DataFrame:
     """Paragraph-like elements with the part they play in their page's layout."""
-    role = None
+    role = None  # of pages whose lines follow one another; others name their parts by blocks
     for layout, classes in LAYOUTS.items():
         for part, cls in classes.items():
             fits = (F.col("layout") == layout) & has_class(cls)
@@ -153,13 +161,23 @@ def _marks(elements: DataFrame) -> DataFrame:
 
 def parse_pages(elements: DataFrame) -> dict[str, DataFrame]:
     """Titles, structure, articles, paragraphs, sub-clauses, preamble, annexes and footnotes of the
-    pages behind ``elements``. A page is one input row, so its parts fit one window.
+    pages behind ``elements``, whatever their layout."""
+    # parsed once: every part below reads the elements again
+    elements = written(elements, "elements")
+    kinds = page_layout(elements).withColumn("blocks", F.col("layout") == "structured").select("page_id", "blocks")
+    kinds = written(kinds, "layouts")
+    named = [parse(elements.join(kinds.where(F.col("blocks") == which).select("page_id"), "page_id", "left_semi"))
+             for which, parse in ((True, parse_structured), (False, _parse_lines)) if not kinds.where(F.col("blocks") == which).isEmpty()]
+    named = named or [_parse_lines(elements.limit(0))]
+    return {part: reduce(DataFrame.unionByName, [tables[part] for tables in named]) for part in named[0]}
+
+
+def _parse_lines(elements: DataFrame) -> dict[str, DataFrame]:
+    """The layouts whose lines follow one another. A page is one input row, so its parts fit one window.
 
     Each line belongs to the last article heading before it, each article to the last division
     heading before it, each unlabelled line to the labelled paragraph before it.
     """
-    # parsed once: every part below reads the elements again
-    elements = cut_lineage(elements)
     marks = _marks(elements)
     before = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     number = F.when(F.col("part") == "article", group(F.col("text"), ARTICLE_HEAD, 1))
@@ -189,7 +207,8 @@ def parse_pages(elements: DataFrame) -> dict[str, DataFrame]:
     sub = inside.where("part = 'subtitle'").groupBy("page_id", "article_at").agg(F.min_by("text", "seq").alias("article_title"))
     # lines inside table cells are sub-clauses, read from the cells below
     cells = elements.where("tag = 'td'").select("page_id", F.col("seq").alias("cell"), F.col("last").alias("cell_last"), F.col("parent").alias("row"), "text")
-    in_cell = elements.where("tag = 'td'").select("page_id", F.explode(F.sequence("seq", "last")).alias("seq")).distinct()
+    around_it = elements.select("page_id", "seq", F.explode("path").alias("cell"))
+    in_cell = around_it.join(cells.select("page_id", "cell"), ["page_id", "cell"]).select("page_id", "seq").distinct()
     lines = inside.where("part = 'text'").join(in_cell, ["page_id", "seq"], "left_anti")
     label = group(F.col("text"), PARAGRAPH_LABEL, 1)
     in_article = Window.partitionBy("page_id", "article_at").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -219,16 +238,15 @@ def parse_pages(elements: DataFrame) -> dict[str, DataFrame]:
     )
 
     div = elements.where("tag = 'div'")
-    recital_cells = cells.join(div.where(F.col("id").rlike(r"^rct_\d+")).select("page_id", F.col("seq").alias("rct"), F.col("last").alias("rct_last"), "id"), "page_id").where("cell > rct AND cell <= rct_last")
+    recital_blocks = div.where(F.col("id").rlike(r"^rct_\d+")).select("page_id", F.col("seq").alias("rct"), "id")
+    recital_cells = cells.join(around_it.select("page_id", F.col("seq").alias("cell"), F.col("cell").alias("rct")), ["page_id", "cell"]).join(recital_blocks, ["page_id", "rct"])
     order = Window.partitionBy("page_id", "rct").orderBy("cell")
     recitals = recital_cells.withColumn("_n", F.row_number().over(order)).groupBy("page_id", "rct", "id").agg(F.max(F.when(F.col("_n") == 1, F.col("text"))).alias("_l"), F.max(F.when(F.col("_n") == 2, F.col("text"))).alias("text"))
     recitals = recitals.select("page_id", F.col("rct").alias("seq"), F.lit("recital").alias("kind"), F.coalesce(group(F.col("_l"), r"^\(?(\d+)\)?", 1), F.regexp_replace("id", "^rct_", "")).alias("number"), F.coalesce("text", F.lit("")).alias("text"))
     citations = div.where(F.col("id").rlike(r"^cit_\d+")).select("page_id", "seq", F.lit("citation").alias("kind"), F.col("id").alias("number"), "text")
-    notes = elements.where(F.col("tag") == "p").where(has_class("oj-note") | has_class("note")).where("text <> ''")
-    footnotes = notes.select("page_id", "seq", group(F.col("text"), r"^\(?\s*(\d+)", 1).alias("number"), "text")
     return {
         "titles": titles, "structure": structure, "articles": articles, "paragraphs": paragraphs, "subclauses": subclauses,
-        "preamble": citations.unionByName(recitals), "annexes": page_annexes(elements), "footnotes": footnotes,
+        "preamble": citations.unionByName(recitals), "annexes": page_annexes(elements), "footnotes": footnotes(elements),
     }
 
 
@@ -255,14 +273,12 @@ RESULT_HEAD = r"^\d+\.\s+(\S+)\s+(\S+)\s+(\S+)"
 def parse_listings(elements: DataFrame) -> DataFrame:
     """Results of listing pages: numbered links with the description and issuer that follow them;
     the first of each id per page stays."""
-    p = elements.where("tag = 'p'").select("page_id", F.col("seq").alias("p_seq"), F.col("last").alias("p_last"), F.col("text").alias("p_text"))
-    links = elements.where("tag = 'a'").where(F.col("href").rlike(RESULT_LINK)).where(F.col("text").rlike(r"^\d+\.\s+\S+\s+"))
-    hit = links.select("page_id", "seq", "parent", F.regexp_extract("href", RESULT_LINK, 1).alias("ver_id"), "text")
-    once = first_seen(hit, ["page_id", "ver_id"], ["seq"])
-    # the paragraph after the one that holds the link
-    held = once.join(p, "page_id").where("p_seq > seq")
-    after = best_row(held.select("page_id", "ver_id", "p_seq", "p_text"), ["page_id", "ver_id"], ["p_seq"], lowest=True)
-    out = once.join(after, ["page_id", "ver_id"], "left")
+    # the paragraph after the one that holds the link, found by one walk back over the page
+    back = Window.partitionBy("page_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = elements.where("tag IN ('p', 'a')").withColumn("p_text", F.last(F.when(F.col("tag") == "p", F.col("text")), ignorenulls=True).over(back))
+    links = rows.where("tag = 'a'").where(F.col("href").rlike(RESULT_LINK)).where(F.col("text").rlike(r"^\d+\.\s+\S+\s+"))
+    hit = links.select("page_id", "seq", "parent", F.regexp_extract("href", RESULT_LINK, 1).alias("ver_id"), "text", "p_text")
+    out = first_seen(hit, ["page_id", "ver_id"], ["seq"])
     head = lambda i: F.regexp_extract("text", RESULT_HEAD, i)
     raw = F.coalesce("p_text", F.lit(""))
     cut = F.instr(raw, "EMITENT:")

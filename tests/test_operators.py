@@ -63,7 +63,7 @@ def test_vector_paths_agree(spark):
     c = spark.createDataFrame([(i, i % 3, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, version_id long, vector array<float>")
     q = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(20)], "question_id long, vector array<float>")
     key = lambda df: sorted((r.question_id, r["rank"], r.vec_id) for r in df.collect())
-    assert key(R.vector_topk(q, c, 7)) == key(R.vector_topk(q, c, 7, query_bytes=0))
+    assert key(R.vector_topk(q, c, 7)) == key(R.vector_topk(q, c, 7, block_bytes=100))
     assert len(key(R.vector_topk(q, c, 7))) == 140
 
 

@@ -94,12 +94,33 @@ def test_flat_layout(spark):
 def test_structured_layout_preamble(spark):
     page = (
         '<div class="eli-container"><div id="pbl_1"><div id="cit_1">avand in vedere</div><div id="rct_1"><table><tr><td>(1)</td><td>intrucat</td></tr></table></div></div>'
-        '<p class="oj-ti-art">Articolul 5</p><p class="oj-sti-art">Principii</p><p class="oj-normal">text</p><p class="oj-note">(3) nota</p></div>'
+        '<div id="enc_1"><div id="art_5"><p class="oj-ti-art">Articolul 5</p><p class="oj-sti-art">Principii</p><p class="oj-normal">text</p></div></div>'
+        '<p class="oj-note"><a id="ntr3">3</a> nota</p><p class="note">mai veche</p></div>'
     )
     out = P.parse_pages(P.page_elements(spark.createDataFrame([(1, page)], "page_id long, html string")))
     assert {(r.kind, r.number, r.text) for r in out["preamble"].collect()} == {("citation", "cit_1", "avand in vedere"), ("recital", "1", "intrucat")}
     assert [(r.number, r.full_text) for r in out["articles"].collect()] == [("5", "Articolul 5\nPrincipii\ntext")]
-    assert [r.number for r in out["footnotes"].collect()] == ["3"]
+    assert [(r.number, r.text) for r in out["footnotes"].collect()] == [("3", "3 nota")]
+
+
+def test_blocks_name_their_parts(spark):
+    grid = lambda label, inner: f'<div class="grid-container grid-list"><div class="list grid-list-column-1"><span>{label}</span></div><div class="grid-list-column-2">{inner}</div></div>'
+    page = (
+        '<div class="eli-container"><div class="eli-main-title"><p class="oj-doc-ti">REGULAMENT</p></div><div id="enc_1"><div id="cpt_I"><div class="eli-title"><p class="oj-ti-section-2">Capitol</p></div>'
+        '<div id="cpt_I.sct_1"><p class="title-division-2">Sectiune</p><div id="art_1"><div class="norm"><span class="no-parag">(1)</span><div class="norm inline-element"><p class="norm">unu</p>'
+        + grid("(a)", '<p class="norm">prima</p>' + grid("(i)", '<div class="inline-element"><p>adanc</p></div>'))
+        + '</div></div><div class="norm"><span class="no-parag">(2)</span><div class="inline-element">fara p</div></div></div></div>'
+        '<div id="art_2a"><p class="oj-normal">direct</p><table><tr><td>(a)</td><td><p class="oj-normal">tabel</p></td></tr></table></div></div>'
+        '<div id="art_9"><p class="oj-normal">in afara capitolelor</p></div></div><div id="anx_I"><p class="oj-ti-section-1">ANEXA I</p><p class="oj-normal">corp</p></div></div>'
+    )
+    out = P.parse_pages(P.page_elements(spark.createDataFrame([("x", page)], "page_id string, html string")))
+    take = lambda part, *cols: sorted(tuple(r[c] for c in cols) for r in out[part].collect())
+    assert take("structure", "level", "number", "title") == [("chapter", "I", "Capitol"), ("section", "1", "Sectiune")]
+    assert [n for n, in take("articles", "number")] == ["1", "2a"]
+    assert take("paragraphs", "label", "text") == [("", "direct"), ("(1)", "unu prima adanc"), ("(2)", "fara p")]
+    assert take("subclauses", "label", "text") == [("(a)", "(a) prima\n(i) adanc"), ("(a)", "(a) tabel"), ("(i)", "(i) adanc")]
+    assert take("annexes", "annex_id", "title", "text") == [("anx_I", "ANEXA I", "corp")]
+    assert take("titles", "title") == [("REGULAMENT",)]
 
 
 def test_annotations(spark):
