@@ -53,7 +53,7 @@ EMPTY_COST = 30.0
 REMEMBERED = 1 << 20
 #: Bands up to this many tokens index empty segments; a larger set lacks levels with this chance at most.
 SMALL = 150
-RARE = 1e-9
+RARE = 1e-7
 #: A row's place: 1 for a deletion, twice the segment, and from this bit on the scheme.
 SCHEME_BIT = 25
 #: Sets of a block, and tokens that a task counts at a time.
@@ -156,7 +156,8 @@ class Scheme:
 def _most(mean: float) -> int:
     """The number that a count with this mean (of rare events) passes with a chance of ``RARE`` at most."""
     if mean > 30:
-        return math.ceil(mean + 6.5 * math.sqrt(mean) + 4)
+        spread = math.sqrt(2 * math.log(1 / RARE))
+        return math.ceil(mean + spread * math.sqrt(mean) + spread * spread / 6)
     term = total = math.exp(-mean)
     k = 0
     while 1 - total > RARE and k < 200:
