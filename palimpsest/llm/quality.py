@@ -35,7 +35,7 @@ SMOOTHING = 1.0
 BLEND = 0.75
 COST = 1.0
 EPOCHS = 15
-REMEMBERED_TOKENS = 1 << 20
+REMEMBERED_TOKENS = 1 << 17
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import slices, text_of
 
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1 << 20
+REMEMBERED_WORDS = 1 << 18
 
 CACHE = "tokenizer string, content binary, n_tokens long"
 
