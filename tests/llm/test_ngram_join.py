@@ -65,7 +65,7 @@ def test_edge_cases(spark):
     check(spark, [(1, None), (2, "")])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_families_at_every_size(spark, seed):
     rng = random.Random(seed)
     docs = []
