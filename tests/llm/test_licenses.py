@@ -85,3 +85,40 @@ def test_query_against_plain_search(spark):
     for row in docs:
         found = sorted((row.text.find(x), name) for x, name in lines.items() if x in (row.text or ""))
         assert got[row.doc_id] == ",".join(name for _, name in found)
+
+
+#: Notices in other words than the tables'.
+USUAL = {
+    "This project is licensed under the MIT License.": ["MIT"],
+    "This file is licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "Licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+    "This project is licensed under the MIT License - see the [LICENSE](LICENSE.md) file for details.": ["MIT"],
+    "The source code in this folder is released under the terms of the MIT licence": ["MIT"],
+    "It is made available under the Apache 2.0 license.": ["Apache-2.0"],
+    "All files are distributed under the terms of the GNU GPL v3.": ["GPL-3.0"],
+    "This program is licensed under GPLv3+.": ["GPL-3.0-or-later"],
+    "This library is licensed under the GNU General Public License, version 2 or (at your option) any later version.": ["GPL-2.0-or-later"],
+    "The documentation is licensed under a\nCreative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+    "These texts are published under CC BY 4.0.": ["CC-BY-4.0"],
+    "This work is licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
+    "// This package is licensed under the BSD 3-Clause License.": ["BSD-3-Clause"],
+    "The data set has been placed in the public domain.": ["Public-Domain"],
+    "This project is not licensed under the MIT License.": [],
+    "This is not to say that it is licensed under the MIT License.": [],
+    "Licensed under the MIT Licenses of old.": [],
+    "The river is under the bridge.": [],
+}
+
+
+@pytest.mark.parametrize("text", USUAL)
+def test_usual_words(text):
+    assert L.apply_rules([n for _, n in L.recognise(text)]) == USUAL[text]
+
+
+@pytest.mark.parametrize("key_word", ["zlib", None])
+def test_sentences_and_rules_are_tables(spark, key_word):
+    docs = spark.createDataFrame([(1, "Use follows the zlib terms."), (2, "Released under the MIT License.")], "doc_id long, text string")
+    sentences = L.known_sentences(spark).unionByName(spark.createDataFrame([("zlib-short", "use follows the zlib terms", key_word)], "sentence string, pattern string, key_word string"))
+    rules = L.known_rules(spark).unionByName(spark.createDataFrame([(99, "Zlib", ["zlib-short"])], "place int, license string, sentences array<string>"))
+    assert {r.doc_id: r.licenses for r in L.scan(docs, sentences=sentences, rules=rules).collect()} == {1: ["Zlib"], 2: ["MIT"]}
+    assert {r.doc_id: r.licenses for r in L.scan(docs).collect()} == {1: [], 2: ["MIT"]}
