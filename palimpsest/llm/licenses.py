@@ -10,12 +10,14 @@ Recognised sentences that no rule uses are reported as they are.
 Sentences are read twice: from single lines, and from paragraphs whose lines are joined, so that both
 one-line notices and wrapped licence texts are met; a sentence read both ways counts once, at the place
 where it ends. Null and empty texts have none. Texts are read whole, but those without any of the key
-words, of which each known sentence has one, are not cut.
+words, of which each known sentence has one, are not cut. Sentences may be of any length; inside of
+very long ones, as texts without punctuation have, the known ones are looked for as well.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -103,12 +105,14 @@ RULES = (
     ("All-Rights-Reserved", ("all-rights",)),
 )
 
-#: Each known sentence has one of these.
-KEY_WORDS = ("licen", "under", "permission", "copyright", "redistribut", "warrant", "rights reserved", "public domain", "cc0")
+#: Each known sentence has one of these; single words, as white space and comment marks may stand between two.
+KEY_WORDS = ("licen", "under", "permission", "copyright", "redistribut", "warrant", "reserved", "domain", "cc0")
 
-#: Characters of the longest stretch that is looked up as one sentence; the known ones are far shorter.
+#: A longer stretch without a sentence's end is no sentence alone: known ones are also looked for inside it.
 LONGEST = 4000
 
+_WORDS = re.compile(r"[a-z0-9]+(?:(?<=[0-9])\+)?")
+_OPEN = r"\.\*|\([^()]*\.\*[^()]*\)\?"
 _END = re.compile(r"[.!?:;](?=\s|$)|[\"')\]](?<=[.!?][\"')\]])(?=\s|$)")
 _COMMENT = re.compile(r"^[\s#/*;%!<>-]+", re.M)
 _OTHER = re.compile(r"(?:[^a-z0-9+]|(?<![0-9])\+)+")  # a plus after a number says: or later
@@ -121,6 +125,7 @@ class Known:
     def __init__(self, sentences: Mapping[str, str], key_words: Sequence[str] = ()) -> None:
         self.patterns = [(name, re.compile(pattern)) for name, pattern in sentences.items()]
         self.key_words = tuple(w.lower() for w in key_words)
+        self.inside = [(name, _pieces(pattern)) for name, pattern in sentences.items()]
 
     def worth(self, low: str) -> bool:
         return not self.key_words or any(w in low for w in self.key_words)
@@ -128,6 +133,51 @@ class Known:
     def name(self, sentence: str) -> str | None:
         return next((name for name, pattern in self.patterns if pattern.fullmatch(sentence)), None)
 
+    def search(self, raw: str) -> list[tuple[int, int, str]]:
+        """Where known sentences stand inside a text; of those that overlap the first, then the longest."""
+        low = raw.lower()
+        if len(low) != len(raw):  # a few letters become two
+            low = "".join(c.lower()[0] for c in raw)
+        words = [m.span() for m in _WORDS.finditer(low)]
+        sentence, begins, ends, size = [], [], [], 0
+        for begin, end in words:
+            sentence.append(low[begin:end])
+            begins.append(size)
+            ends.append(size + end - begin)
+            size += end - begin + 1
+        joined, found = " ".join(sentence), []
+        for name, pieces in self.inside:
+            at = 0
+            while (span := _span(joined, pieces, at)) is not None:
+                found.append((words[bisect_left(begins, span[0])][0], words[bisect_left(ends, span[1])][1], name))
+                at = max(span[1], span[0] + 1)
+        out: list[tuple[int, int, str]] = []
+        for begin, end, name in sorted(found, key=lambda f: (f[0], -f[1])):
+            if not out or begin >= out[-1][1]:
+                out.append((begin, end, name))
+        return out
+
+
+def _pieces(pattern: str) -> list[re.Pattern]:
+    """A sentence's pattern without what stands open at its edges, parted where anything may stand between."""
+    pattern = re.sub(rf"^(?:{_OPEN})|(?:{_OPEN})$", "", pattern)
+    parts = re.split(r" ?\.\* ?", pattern)
+    try:
+        return [re.compile(rf"(?<![a-z0-9])(?<!not )(?:{p.strip()})(?![a-z0-9+])") for p in parts]
+    except re.error:  # the parts are not patterns of their own
+        return [re.compile(rf"(?<![a-z0-9])(?:{pattern})(?![a-z0-9+])")]
+
+
+def _span(text: str, pieces: list[re.Pattern], at: int) -> tuple[int, int] | None:
+    """The first place from ``at`` where the pieces stand one after the other."""
+    begin = None
+    for piece in pieces:
+        m = piece.search(text, at)
+        if m is None or m.end() == m.start():
+            return None
+        begin, at = m.start() if begin is None else begin, m.end()
+    return begin, at
+
 
 KNOWN = Known(SENTENCES, KEY_WORDS)
 
@@ -186,7 +236,7 @@ def _look(stretch: re.Match, found: list, joined: int, known: Known) -> None:
         begin, next_ = parts[k][0], k + 1
         for last in range(k, min(len(parts), k + joined)):
             raw = stretch.string[begin : parts[last][1]]
-            if len(raw) > LONGEST or not known.worth(raw.lower()):
+            if not known.worth(raw.lower()):
                 continue
             sentence = normalise(_COMMENT.sub(" ", raw))
             name = known.name(sentence)
@@ -194,6 +244,8 @@ def _look(stretch: re.Match, found: list, joined: int, known: Known) -> None:
                 found.append((begin, begin + len(raw.rstrip()), name))
                 next_ = last + 1
                 break
+            if last == k and len(raw) > LONGEST:
+                found += [(begin + a, begin + b, name) for a, b, name in known.search(raw)]
         k = next_
 
 

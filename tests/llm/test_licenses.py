@@ -122,3 +122,25 @@ def test_sentences_and_rules_are_tables(spark, key_word):
     rules = L.known_rules(spark).unionByName(spark.createDataFrame([(99, "Zlib", ["zlib-short"])], "place int, license string, sentences array<string>"))
     assert {r.doc_id: r.licenses for r in L.scan(docs, sentences=sentences, rules=rules).collect()} == {1: ["Zlib"], 2: ["MIT"]}
     assert {r.doc_id: r.licenses for r in L.scan(docs).collect()} == {1: [], 2: ["MIT"]}
+
+
+@pytest.mark.parametrize("text,want", [
+    ("This software is in the public\n * domain.", ["Public-Domain"]),
+    ("All rights\n * reserved.", ["All-Rights-Reserved"]),
+    ("All  rights  reserved.", ["All-Rights-Reserved"]),
+    ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, " + "word " * 2000, ["mit-no-warranty"]),
+    ("Copyright " + "word " * 2000 + "all rights reserved", ["All-Rights-Reserved"]),
+    ("word " * 2000 + "is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", ["GPL-3.0-or-later"]),
+    ("word " * 2000 + "this software is released under the MIT License " + "word " * 2000 + "all rights reserved " + "word " * 9, ["MIT", "All-Rights-Reserved"]),
+    ("word " * 2000 + "neither the name of " + "word " * 2000 + "may be used to endorse or promote products derived from this software without specific prior written permission", ["bsd-endorse"]),
+    ("word " * 2000 + "not licensed under the MIT License", []),
+])
+def test_parted_words_and_long_stretches(text, want):
+    names = [n for _, n in L.recognise(text)]
+    assert (L.apply_rules(names) or names) == want
+
+
+def test_places_inside_long_stretches():
+    text = "İ " + "word " * 2000 + "released under the MIT License, then"
+    assert L.recognise(text) == [(text.index(", then"), "mit-short")]
+    assert L.recognise("neither the name of " * 20000 + "copyright " * 20000) == []
