@@ -8,9 +8,10 @@ while the parent's density stays above the threshold, which is a share of the le
 path from the body to the core, or while it stays in the same ``article`` or ``main``.
 
 What is no article is left out before densities are taken and when the text is read: menus, headers
-(their headings stay inside an article), footers, sidebars, forms, scripts, styles, media, hidden
-parts, and by role, class or id also notices, adverts and reader comments. A class or id says so only
-of parts that hold less than half of the page's text.
+(their headings stay inside an article), footers, sidebars, scripts, styles, media, hidden parts, and by
+role, class or id also cookie notices, adverts and reader comments, whatever their length. A part named
+so stays only if no paragraphs are left outside it. Words that articles use as well (related, share,
+notice) say so of parts that are mostly links, have no paragraphs or lie outside the chosen node.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by
 one space. A null or empty page has an empty text. Pages are read whole, whatever their length.
@@ -43,14 +44,23 @@ SCOPES = frozenset("ul ol dl table td th select html body article main section d
 #: Elements, roles and words of classes and ids of what is no article.
 APART = frozenset("nav aside footer form button select textarea script style noscript template iframe svg canvas object video audio map menu dialog head title input datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion sidebar sidenav aside menu submenu nav navbar"
-    " navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter"
-    " subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies"
-    " widget widgets pagination pager skip copyright disclaimer".split()
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+WORDS = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo sidebar sidenav aside menu submenu nav navbar"
+    " navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr popup modal overlay newsletter"
+    " pagination pager".split()
 )
+#: Words that say so only together with links, or outside the article.
+GENERIC = frozenset(
+    "notice notices notification alert promotion subscribe subscription signup login share sharing social related recommended recommendations"
+    " widget widgets skip copyright disclaimer".split()
+)
+#: Beginnings of class names that speak of the page or its subject.
+ABOUT = ("has", "with", "no", "without", "category", "tag")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: Characters of running text, links apart, that make a block a paragraph.
+PARAGRAPH = 50
 #: Share of the least density on the body's path that a wider choice must keep.
 WIDEN = 0.5
 
@@ -62,36 +72,45 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
 _WORD = re.compile(r"[a-z]+")
+#: Kinds of parts by class or id.
+PART, COMMENT, MAYBE = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "apart", "weak", "children", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "apart", "kind", "children", "chars", "links", "tags", "link_tags", "density", "total", "running", "prose", "lines")
 
-    def __init__(self, tag: str, parent: Node | None, apart: bool = False, weak: bool = False) -> None:
-        self.tag, self.parent, self.apart, self.weak = tag, parent, apart, weak
+    def __init__(self, tag: str, parent: Node | None, apart: bool = False, kind: int = 0) -> None:
+        self.tag, self.parent, self.apart, self.kind = tag, parent, apart, kind
         self.children: list[Node | str] = []
         if parent is not None:
             parent.children.append(self)
 
 
-def _says_apart(tag: str, raw: str, above: Node) -> tuple[bool, bool]:
-    """Whether an element is no article for sure, or by its class or id."""
+def _kind(names: str) -> int:
+    """What class names or an id say of a part."""
+    words = {w for name in names.lower().split() if (of := _WORD.findall(name)) and (len(of) == 1 or of[0] not in ABOUT) for w in of}
+    if not COMMENTS.isdisjoint(words):
+        return COMMENT
+    return PART if not WORDS.isdisjoint(words) else MAYBE if not GENERIC.isdisjoint(words) else 0
+
+
+def _says_apart(tag: str, raw: str) -> tuple[bool, int]:
+    """Whether an element is no article for sure, and what its class or id says."""
     if tag in APART or tag == "header":
-        return True, False
+        return True, 0
     if not raw or "=" not in raw and "hidden" not in raw:
-        return False, False
+        return False, 0
     found = {}
     for name, a, b, c, bare in _ATTRIBUTE.findall(raw):
         found.setdefault((name or bare).lower(), entities.unescape(a or b or c))
     style = found.get("style", "").lower().replace(" ", "")
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-        return True, False
+        return True, 0
     if tag in ("html", "body", "main", "article"):
-        return False, tag == "article" and not WORDS.isdisjoint(_WORD.findall(found.get("class", "").lower()))
+        return False, _kind(found.get("class", "")) if tag == "article" else 0
     if found.get("role", "").lower() in ROLES:
-        return True, False
-    words = _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
-    return False, not WORDS.isdisjoint(words)
+        return True, 0
+    return False, _kind(f"{found.get('class', '')} {found.get('id', '')}")
 
 
 def parse(page: str) -> Node:
@@ -130,7 +149,7 @@ def parse(page: str) -> Node:
                 del open_nodes[-1:]
             if tag in CLOSES:
                 close(CLOSES[tag], frozenset(("ul", "ol", "dl", "select")) if tag in ("li", "dt", "dd", "option") else frozenset(("table",)))
-            node = Node(tag, open_nodes[-1], *_says_apart(tag, raw, open_nodes[-1]))
+            node = Node(tag, open_nodes[-1], *_says_apart(tag, raw))
             if tag in VOID:
                 continue
             if tag in RAW:
@@ -155,7 +174,8 @@ def parse(page: str) -> Node:
 
 
 def _measure(root: Node) -> None:
-    """Characters, link characters, tags and link tags of each node, without what is apart."""
+    """Characters, link characters, tags and link tags of each node, without what is apart; of these also
+    the characters of running text (of the node's own block), of paragraphs and of ``p`` elements, links apart."""
     order = [root]
     for node in order:
         order.extend(c for c in node.children if isinstance(c, Node))
@@ -166,18 +186,57 @@ def _measure(root: Node) -> None:
         node.links = node.chars if node.tag == "a" else sum(c.links for c in below)
         node.tags = sum(c.tags + 1 for c in below)
         node.link_tags = node.tags if node.tag == "a" else sum(c.link_tags + (c.tag == "a") for c in below)
+        node.running = 0 if node.tag == "a" else own + sum(c.running for c in below if c.tag in INLINE)
+        node.prose, node.lines = sum(c.prose for c in below), sum(c.lines for c in below)
+        if node.tag not in INLINE:
+            node.prose += node.running if node.running >= PARAGRAPH else 0
+            node.lines += node.running if node.tag == "p" else 0
+        if node.tag in ("article", "main") and not node.prose:
+            node.prose = node.chars - node.links
 
 
 def _set_apart(root: Node) -> None:
-    """Settles the parts named by class or id: those with less than half of the text that is left."""
+    """Settles the parts named by class or id: all are apart, but if no paragraphs are left outside them,
+    the outermost one that has some; reader comments are the last choice, and only if nothing else is left."""
+    named, stack = [], [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if node.kind:
+            named.append((depth, node))
+            node.apart, depth = True, depth + 1
+        stack.extend((c, depth) for c in reversed(node.children) if isinstance(c, Node) and (c.kind or not c.apart))
     _measure(root)
-    whole, stack = root.chars, [root]
+    if not named or root.prose:
+        return
+    choices = [(n.kind == COMMENT, d, -n.prose, k) for k, (d, n) in enumerate(named) if n.prose and (n.kind != COMMENT or not root.lines)]
+    if not choices:
+        choices = [(n.kind == COMMENT, d, n.links - n.chars, k) for k, (d, n) in enumerate(named) if n.chars and not root.chars]
+    if choices:
+        node = named[min(choices)[-1]][1]
+        while node is not None:
+            node.apart, node = False, node.parent
+        _measure(root)
+
+
+def _readmit(core: Node) -> None:
+    """Parts of the chosen node whose class or id may be the article's own: with paragraphs, and not mostly links."""
+    for node in [n for n in _below(core) if n.kind == MAYBE and n.apart][::-1]:
+        node.apart = not (node.prose or node.lines) or 2 * node.links >= node.chars
+        above = node
+        while not node.apart and above is not core and (above := above.parent) is not None:
+            above.prose, above.lines = above.prose + node.prose, above.lines + node.lines
+            above.chars, above.links = above.chars + node.chars, above.links + node.links
+            if above.kind == MAYBE and above.apart:
+                break
+
+
+def _below(node: Node) -> Iterator[Node]:
+    """A node and all below it, without what is apart for other reasons than a generic word."""
+    stack = [node]
     while stack:
         node = stack.pop()
-        if node.weak and not node.apart and 2 * node.chars < whole:
-            node.apart = True
-        stack.extend(c for c in node.children if isinstance(c, Node) and not c.apart)
-    _measure(root)
+        yield node
+        stack.extend(c for c in node.children if isinstance(c, Node) and (not c.apart or c.kind == MAYBE))
 
 
 def _densities(root: Node, body: Node) -> None:
@@ -253,7 +312,9 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     _set_apart(root)
-    return _text(_core(root))
+    core = _core(root)
+    _readmit(core)
+    return _text(core)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text") -> DataFrame:

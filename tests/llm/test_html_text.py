@@ -88,3 +88,32 @@ def test_rows(spark):
     got = sorted(map(tuple, H.extract(rows).collect()), key=repr)
     assert got == [(1, 1, ""), (1, 1, ""), (None, 2, "x y")]
     assert H.extract(rows.limit(0)).collect() == []
+
+
+REMARKS = "".join(f"<div><p>{k} {'A reader says what readers say of it. ' * 5}</p></div>" for k in range(12))
+THREE = "".join(f"<p>{LONG} {k}</p>" for k in range(3))
+ALL_THREE = " ".join(f"{LONG} {k}" for k in range(3))
+
+PARTS = {
+    "long comments": (f"<div>{THREE}</div><div class='comments'>{REMARKS}</div>", ALL_THREE),
+    "long comments in body": (f"{THREE}<div class='comments'>{REMARKS}</div>", ALL_THREE),
+    "long comments in article": (f"<article>{THREE}<section id='comments'>{REMARKS}</section></article>", ALL_THREE),
+    "long comments, short article": (f"<h1>Head</h1><p>Short.</p><div class='comments'>{REMARKS}</div>", "Head Short."),
+    "long sidebar": (f"<div>{THREE}</div><div class='sidebar'>{REMARKS}{REMARKS}</div>", ALL_THREE),
+    "long advert": (f"<article>{THREE}<div class='advert'><p>{MORE * 9}</p></div></article>", ALL_THREE),
+    "long cookie notice": (f"<div>{THREE}</div><div class='cookie-notice'><p>{MORE * 9}</p></div>", ALL_THREE),
+    "related work": (f"<article>{THREE}<section id='related-work'><h2>Related work</h2><p>Little.</p></section></article>", f"{ALL_THREE} Related work Little."),
+    "notice": (f"<div>{THREE}<div class='notice'><p>{MORE}</p></div></div>", f"{ALL_THREE} {MORE}"),
+    "notice in related": (f"<article>{THREE}<div class='related'><div><div class='notice'><p>{MORE}</p></div></div></div></article>", f"{ALL_THREE} {MORE}"),
+    "related links": (f"<article>{THREE}<div class='related'><p>Read: <a href='x'>another long headline</a></p></div><div class='share'>Share</div></article>", ALL_THREE),
+    "notice outside": (f"<article>{THREE}</article><div class='notice'><p>{MORE * 9}</p></div>", ALL_THREE),
+    "sidebar around all": (f"<div class='sidebar-layout'>{THREE}<div class='comments'>{REMARKS}</div></div><p>Us.</p>", f"{ALL_THREE} Us."),
+    "article with words": (f"<article class='post category-advertising has-sidebar'>{THREE}</article><p>{MORE}</p>", ALL_THREE),
+    "comments only": (f"<div class='comments'><p>{LONG}</p></div>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_parts_by_class_or_id(name):
+    body, want = PARTS[name]
+    assert H.main_text(page(body)) == tidy(want)
