@@ -12,6 +12,8 @@ What is no article is left out before densities are taken and when the text is r
 role, class or id also cookie notices, adverts and reader comments, whatever their length. A part named
 so stays only if no paragraphs are left outside it. Words that articles use as well (related, share,
 notice) say so of parts that are mostly links, have no paragraphs or lie outside the chosen node.
+A form's controls and labels go; the form goes too unless it holds paragraphs: enough of them for the
+fields it has, or all that the page has.
 
 Character references are decoded; white space inside a block becomes one space; blocks are joined by
 one space. A null or empty page has an empty text. Pages are read whole, whatever their length.
@@ -42,7 +44,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opt
 SCOPES = frozenset("ul ol dl table td th select html body article main section div".split())
 
 #: Elements, roles and words of classes and ids of what is no article.
-APART = frozenset("nav aside footer form button select textarea script style noscript template iframe svg canvas object video audio map menu dialog head title input datalist".split())
+APART = frozenset("nav aside footer button select textarea script style noscript template iframe svg canvas object video audio map menu dialog head title input datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 COMMENTS = frozenset("comment comments disqus respond replies".split())
 WORDS = COMMENTS | frozenset(
@@ -61,6 +63,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Characters of running text, links apart, that make a block a paragraph.
 PARAGRAPH = 50
+#: Elements that are no article unless they hold paragraphs, and controls that are filled in.
+FORMS = frozenset(("form", "label"))
+NO_FIELDS = frozenset("hidden submit button image reset".split())
+#: Characters of paragraphs that make a form a part of the article, and more for each of its fields.
+FORM_TEXT = 100
 #: Share of the least density on the body's path that a wider choice must keep.
 WIDEN = 0.5
 
@@ -77,10 +84,11 @@ PART, COMMENT, MAYBE = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "apart", "kind", "children", "chars", "links", "tags", "link_tags", "density", "total", "running", "prose", "lines")
+    __slots__ = ("tag", "parent", "apart", "kind", "children", "chars", "links", "tags", "link_tags", "density", "total", "running", "prose", "lines", "fields", "field")
 
     def __init__(self, tag: str, parent: Node | None, apart: bool = False, kind: int = 0) -> None:
         self.tag, self.parent, self.apart, self.kind = tag, parent, apart, kind
+        self.field = 0
         self.children: list[Node | str] = []
         if parent is not None:
             parent.children.append(self)
@@ -108,11 +116,17 @@ def _says_apart(tag: str, raw: str) -> tuple[bool, int]:
         return True, 0
     if tag in ("html", "body", "main", "article"):
         return False, _kind(found.get("class", "")) if tag == "article" else 0
-    if found.get("role", "").lower() in ROLES:
+    role = found.get("role", "").lower()
+    if role in ROLES and (tag, role) != ("form", "form"):
         return True, 0
     return False, _kind(f"{found.get('class', '')} {found.get('id', '')}")
 
 
+def _is_field(raw: str) -> bool:
+    kind = next((a or b or c for name, a, b, c, _ in _ATTRIBUTE.findall(raw) if name.lower() == "type"), "")
+    return kind.strip().lower() not in NO_FIELDS
+
+
 def parse(page: str) -> Node:
     """The tree of a page; texts are decoded strings among the children."""
     root = Node("#page", None)
@@ -150,6 +164,7 @@ def parse(page: str) -> Node:
             if tag in CLOSES:
                 close(CLOSES[tag], frozenset(("ul", "ol", "dl", "select")) if tag in ("li", "dt", "dd", "option") else frozenset(("table",)))
             node = Node(tag, open_nodes[-1], *_says_apart(tag, raw))
+            node.field = int(tag in ("select", "textarea") or tag == "input" and _is_field(raw))
             if tag in VOID:
                 continue
             if tag in RAW:
@@ -187,6 +202,7 @@ def _measure(root: Node) -> None:
         node.tags = sum(c.tags + 1 for c in below)
         node.link_tags = node.tags if node.tag == "a" else sum(c.link_tags + (c.tag == "a") for c in below)
         node.running = 0 if node.tag == "a" else own + sum(c.running for c in below if c.tag in INLINE)
+        node.fields = node.field + sum(c.fields for c in node.children if isinstance(c, Node) and not c.kind)
         node.prose, node.lines = sum(c.prose for c in below), sum(c.lines for c in below)
         if node.tag not in INLINE:
             node.prose += node.running if node.running >= PARAGRAPH else 0
@@ -218,6 +234,25 @@ def _set_apart(root: Node) -> None:
         _measure(root)
 
 
+def _set_forms_apart(root: Node) -> None:
+    """Forms and labels without paragraphs go; so do forms with too few for their fields, if paragraphs are
+    left outside them. Forms stay if no text is left without them."""
+    forms = [n for n in _walk(root) if n.tag in FORMS]
+    if not forms:
+        return
+    for node in forms:
+        enough = node.prose if node.tag == "label" else node.prose >= FORM_TEXT * (1 + node.fields) or node.prose and node.prose == root.prose
+        node.apart = not enough
+    _measure(root)
+    if not root.prose and not root.lines:
+        gone = [n for n in forms if n.apart and n.tag == "form"]
+        texts = [n for n in gone if n.prose] or [n for n in gone if n.lines]
+        for node in texts:
+            node.apart = False
+        if texts:
+            _measure(root)
+
+
 def _readmit(core: Node) -> None:
     """Parts of the chosen node whose class or id may be the article's own: with paragraphs, and not mostly links."""
     for node in [n for n in _below(core) if n.kind == MAYBE and n.apart][::-1]:
@@ -312,6 +347,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     _set_apart(root)
+    _set_forms_apart(root)
     core = _core(root)
     _readmit(core)
     return _text(core)

@@ -117,3 +117,26 @@ PARTS = {
 def test_parts_by_class_or_id(name):
     body, want = PARTS[name]
     assert H.main_text(page(body)) == tidy(want)
+
+
+FIELDS = "<label for='q'>Search for</label><input id='q' type='text'><select><option>one<option>two</select><textarea>own words</textarea><button>Go</button>"
+HIDDEN = "<input type='hidden' name='__VIEWSTATE' value='x'>" * 20
+
+FORMS = {
+    "page in a form": (f"<form id='aspnetForm' method='post'>{HIDDEN}{NAV}<div id='content'><h1>Head</h1>{THREE}</div>{FIELDS}</form>", f"Head {ALL_THREE}"),
+    "page in a form, by role": (f"<form role='form'><article><h1>Head</h1>{THREE}</article></form>", f"Head {ALL_THREE}"),
+    "short page in a form": (f"<form id='f'>{HIDDEN}<h1>Head</h1><p>Short text.</p>{FIELDS}</form>", "Head Short text."),
+    "article in a form": (f"{NAV}<p>Site</p><form>{FIELDS}<article>{THREE}</article></form><footer>end</footer>", ALL_THREE),
+    "paragraph in a form in an article": (f"<article>{THREE}<form><p>{MORE}</p><button>Next</button></form></article>", f"{ALL_THREE} {MORE}"),
+    "newsletter in an article": (f"<article>{THREE}<form><p>Write your address here, and the letter comes to you each Friday.</p><input type='email'><button>Go</button></form></article>", ALL_THREE),
+    "search in an article": (f"<article>{THREE}<form>Search <input><label>all words</label></form></article>", ALL_THREE),
+    "comments in a page form": (f"<form>{THREE}<div class='comments'>{REMARKS}{FIELDS * 9}</div></form>", ALL_THREE),
+    "label left open": (f"<form><label>Head<p>{LONG}</p><p>{MORE}</p></form>", f"Head {LONG} {MORE}"),
+    "two forms": (f"<form>{FIELDS * 30}<p>{LONG}</p></form><form>{FIELDS * 30}<p>{MORE}</p></form>", f"{LONG} {MORE}"),
+}
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_forms(name):
+    body, want = FORMS[name]
+    assert H.main_text(page(body)) == tidy(want)
