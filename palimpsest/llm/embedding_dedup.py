@@ -4,8 +4,11 @@ A rotation that balances and fits binary codes is learnt on a bounded sample (pr
 alternating signs and rotations); every vector is coded. The code is cut into substrings, one table
 each; vectors meet in a table when their substrings differ in at most two bits, as both sides look up
 their own substring and all with one bit flipped. What meets is reranked with the original vectors, so
-no pair below the threshold is linked; a pair whose substrings all differ in three bits or more would
-be missed (any pair with codes up to ``3 * tables - 1`` bits apart is met for sure).
+no pair below the threshold is linked. A pair is missed if its substrings all differ in more bits, or its
+whole codes in more than a limit. How many are missed depends on the vectors (codes are of centred ones,
+so a strong common direction parts linked vectors): on a sample of rows the links are counted by brute
+force, and bits and limits are widened until at least ``RECALL`` of them are met, in the last step to all
+pairs of a label. A sample without any links says nothing, and nothing is widened.
 
 Links are counted without listing the pairs of a dense group. Equal vectors are one node. Nodes within
 half the linking angle of a leader are surely linked to one another and count as a cluster; a node
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,18 @@ ROUNDS = 40
 TABLES, WIDTH = 4, 16
 #: Bits in which codes may differ: of linked nodes, and of a node and the leader of a cluster it meets.
 APART, APART_LEADER = 20, 26
+#: Steps of widening: tables, bits of their substrings, bits flipped by either side, and bits in which codes
+#: may differ as above; none for all pairs.
+STEPS = (
+    (TABLES, WIDTH, 1, 1, APART, APART_LEADER),
+    (4, 16, 1, 1, 28, 32),
+    (4, 16, 2, 1, 30, 34),
+    (4, 16, 2, 2, 34, 38),
+    (5, 12, 2, 1, 36, 40),
+    None,
+)
+#: Share of the links of sampled rows that must be met, and the rows.
+RECALL, CHECKED = 0.95, 1000
 #: Angles are compared with this much room where rounding could matter.
 ROOM = 1e-7
 
@@ -118,7 +134,8 @@ def link_near_vectors(
     leaders = written(leaders.join(coded.select(F.col("node").alias("leader"), F.col("code").alias("leader_code")), "leader"), "leaders")
     coded = written(coded.join(leaders, "leader"), "members")
 
-    met = written(_angles(_meetings(coded), points, "a", "b"), "met")
+    step = _step(coded, points, least)
+    met = written(_angles(_meetings(coded, step), points, "a", "b"), "met")
     limit = math.acos(least)
     met = met.join(coded.select(F.col("node").alias("a"), F.col("copies").alias("copies_a")), "a").join(
         leaders.select(F.col("leader").alias("b"), "all_copies", "members", "radius"), "b"
@@ -186,14 +203,17 @@ def _coded(nodes: DataFrame, sample: int) -> DataFrame:
     return kept.mapInArrow(code, f"{fields}, code long")
 
 
-def _substrings(flips: bool) -> Column:
-    """``table`` and ``key`` of each substring of ``code``, as it is and with each bit flipped."""
-    out = []
-    for t in range(TABLES):
-        own = F.shiftright("code", t * WIDTH).bitwiseAND((1 << WIDTH) - 1)
-        masks = [0, *(1 << b for b in range(WIDTH))] if flips else [0]
-        out += [F.struct(F.lit(t).alias("table"), own.bitwiseXOR(m).cast("int").alias("key")) for m in masks]
-    return F.array(*out)
+def _substrings(flips: int, tables: int = TABLES, width: int = WIDTH) -> Column:
+    """``table`` and ``mask`` of each substring of ``code``, as it is and with up to ``flips`` bits flipped."""
+    masks = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(width), n)]
+    return F.array(*[F.struct(F.lit(t).alias("table"), F.lit(m).alias("mask")) for t in range(tables) for m in masks])
+
+
+def _keyed(rows: DataFrame, flips: int, tables: int = TABLES, width: int = WIDTH) -> DataFrame:
+    """``rows`` once for each ``table`` and ``key`` that their code looks up."""
+    keyed = rows.withColumn("_s", F.explode(_substrings(flips, tables, width)))
+    own = F.expr(f"shiftright(code, _s.table * {width})").bitwiseAND((1 << width) - 1)
+    return keyed.select(*rows.columns, F.col("_s.table").alias("table"), own.bitwiseXOR(F.col("_s.mask")).cast("int").alias("key"))
 
 
 def _angles(pairs: DataFrame, points: DataFrame, a: str, b: str) -> DataFrame:
@@ -208,7 +228,7 @@ def _clusters(coded: DataFrame, points: DataFrame, least: float) -> DataFrame:
     """``(node, leader, angle)``: a leader leads itself; all others lie within half the linking angle of
     a leader with a smaller node number that shares a substring with them."""
     half = math.acos(least) / 2 - ROOM
-    keyed = written(coded.select("node", "code", "label", "length", F.explode(_substrings(False)).alias("_s")).select("node", "code", "label", "length", "_s.*"), "keyed")
+    keyed = written(_keyed(coded.select("node", "code", "label", "length"), 0), "keyed")
     bucket = ["label", "length", "table", "key"]
 
     def near_pivots(of: DataFrame, pivots_from: DataFrame) -> DataFrame:
@@ -229,12 +249,79 @@ def _clusters(coded: DataFrame, points: DataFrame, least: float) -> DataFrame:
     return led.unionByName(alone)
 
 
-def _meetings(coded: DataFrame) -> DataFrame:
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def _are_met(step: tuple | None, a: np.ndarray, b: np.ndarray, member: np.ndarray, leader: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Whether a step lets pairs of codes meet: ``a`` and ``b`` by a substring, ``member`` and ``leader`` as a whole."""
+    if step is None:
+        return np.ones(a.shape, bool)
+    tables, width, own, other, apart, apart_leader = step
+    differ, near = (a ^ b).view(np.uint64), np.zeros(a.shape, bool)
+    for t in range(tables):
+        part = (differ >> np.uint64(t * width)) & np.uint64((1 << width) - 1)
+        near |= np.bitwise_count(part) <= own + other
+    return near & (_bits(member, leader) <= np.where(alone, apart, apart_leader))
+
+
+def _step(coded: DataFrame, points: DataFrame, least: float) -> tuple | None:
+    """The first step that meets enough of the links that sampled rows have by brute force."""
+    group = F.xxhash64("label", "length")
+    columns = ["node", "code", "leader", "leader_code", "members"]
+    rows = coded.select(*columns, group.alias("group")).join(points.select("node", "vector"), "node")
+    order = F.xxhash64(F.col("node"), F.lit(5))
+    chosen = coded.select("node").orderBy(order).limit(CHECKED)
+    sample = rows.join(F.broadcast(chosen), "node").toArrow()
+    if not sample.num_rows:
+        return STEPS[0]
+    lists = sample.column("vector").combine_chunks()
+    dimensions = max(len(v) for v in lists)
+    vectors = _units(lists, dimensions)
+    names = ("node", "code", "leader", "leader_code", "members", "group")
+    node, code, leader, leader_code, members, groups = (sample.column(n).to_numpy() for n in names)
+    known = set(groups.tolist())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((1 + len(STEPS), len(node)), np.int64)
+        for batch in batches:
+            batch = batch.filter(pa.array([g in known for g in batch.column("group").to_pylist()], pa.bool_()))
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                theirs = [part.column(n).to_numpy() for n in names]
+                same = (theirs[5][:, None] == groups) & (theirs[0][:, None] != node)
+                i, j = np.nonzero(same & (_units(part.column("vector"), dimensions) @ vectors.T >= least))
+                # the one with the greater leader meets the other's leader; a cluster's own are met anyway
+                first = theirs[2][i] > leader[j]
+                member = np.where(first, theirs[1][i], code[j])
+                head = np.where(first, leader_code[j], theirs[3][i])
+                alone = np.where(first, members[j], theirs[4][i]) == 1
+                own = theirs[2][i] == leader[j]
+                totals[0] += np.bincount(j, minlength=len(node))
+                for k, step in enumerate(STEPS):
+                    met = own | _are_met(step, theirs[1][i], code[j], member, head, alone)
+                    totals[k + 1] += np.bincount(j[met], minlength=len(node))
+        yield pa.record_batch([pa.array(np.arange(len(node))), *map(pa.array, totals)], names=["j", "n", *(f"n{k}" for k in range(len(STEPS)))])
+
+    fields = ", ".join(["j long", "n long", *(f"n{k} long" for k in range(len(STEPS)))])
+    sums = rows.mapInArrow(count, fields).where("n > 0").groupBy("j").agg(F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(STEPS))))
+    # by rows as well as by links, so that one large group does not speak for all
+    shares = [F.least(F.avg(F.col(f"n{k}") / F.col("n")), F.sum(f"n{k}") / F.sum("n")) for k in range(len(STEPS))]
+    recall = sums.agg(*shares).first()  # null where the sample has no links
+    return next((step for step, share in zip(STEPS, recall) if share is None or share >= RECALL), None)
+
+
+def _meetings(coded: DataFrame, step: tuple | None) -> DataFrame:
     """Distinct pairs ``(a, b)`` of a node and the leader, smaller than its own, of a cluster it meets."""
-    keyed = coded.select("node", "leader", "leader_code", "members", "code", "label", "length", F.explode(_substrings(True)).alias("_s"))
-    keyed = keyed.select("*", "_s.table", "_s.key").drop("_s")
+    names = ["node", "leader", "leader_code", "members", "code", "label", "length"]
+    if step is None:
+        heads = coded.where("node = leader").select("label", "length", F.col("leader").alias("b"))
+        return coded.select("node", "leader", "label", "length").join(heads, ["label", "length"]).where("leader > b").select(F.col("node").alias("a"), "b")
+    tables, width, own, other, most, most_leader = step
+    keyed = _keyed(coded.select(*names), own, tables, width)
+    theirs = keyed if own == other else _keyed(coded.select(*names), other, tables, width)
     bucket = ["label", "length", "table", "key"]
-    present = keyed.groupBy(*bucket, F.col("leader").alias("b")).agg(F.first("leader_code").alias("_code"), F.first("members").alias("_members"))
+    present = theirs.groupBy(*bucket, F.col("leader").alias("b")).agg(F.first("leader_code").alias("_code"), F.first("members").alias("_members"))
     apart = F.bit_count(F.col("code").bitwiseXOR(F.col("_code")))
-    near = apart <= F.when(F.col("_members") == 1, APART).otherwise(APART_LEADER)
+    near = apart <= F.when(F.col("_members") == 1, most).otherwise(most_leader)
     return keyed.join(present, bucket).where((F.col("leader") > F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()

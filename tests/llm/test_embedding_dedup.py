@@ -72,6 +72,26 @@ def test_groups_and_recall(spark, noise):
         assert have == want
 
 
+@pytest.mark.parametrize("common", [0.76, 0.86])
+def test_recall_with_a_common_direction(spark, common):
+    rng = np.random.default_rng(6)
+
+    def unit(x):
+        return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+
+    direction, rows = unit(rng.standard_normal(64)), []
+    for family in range(150):
+        own = unit(rng.standard_normal(64))
+        for _ in range(4):
+            # members of a family have a cosine of about 0.95
+            share = (0.95 - common) / (1 - common)
+            vector = np.sqrt(common) * direction + np.sqrt(1 - common) * (np.sqrt(share) * own + np.sqrt(1 - share) * unit(rng.standard_normal(64)))
+            rows.append((len(rows), vector.tolist(), 1))
+    want, have = brute(rows), got(spark, rows)
+    assert sum(r[1] for r in have) >= 0.9 * sum(r[1] for r in want) > 1000
+    assert all(h[1] <= w[1] for h, w in zip(have, want))
+
+
 def test_query_finds_all_links(spark):
     from palimpsest.llm.queries import REGISTRY
 
