@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, decontamination, embedding_dedup, hard_negatives, html_text, licenses, ngram_join, quality, sharding, token_counts
+from palimpsest.llm import bpe, chat, decontamination, embedding_dedup, hard_negatives, html_text, licenses, ngram_join, quality, sharding, spelling, token_counts
 from palimpsest.llm.common import table
 from palimpsest.plans.registry import Registry
 from palimpsest.session import shared_folder
@@ -153,9 +153,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NEGATIVES_SQL = """
 with v as (
-    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, x -> floor(256 * cast(x as double))) e
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e
     from embeddings
-    where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
     select a.vec_id a, v.vec_id r, a.l = v.l same, cast(list_inner_product(a.e, v.e) as bigint) score
     from v a join v on a.vec_id <> v.vec_id where a.vec_id % 100 = 0
@@ -174,3 +174,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@REGISTRY.add("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents")).where("n >= 2")
+    return spelling.group_variants(words)
