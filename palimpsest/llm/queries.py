@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, decontamination, embedding_dedup, hard_negatives, html_text, licenses, ngram_join, quality, sharding, spelling, token_counts
+from palimpsest.llm import bpe, chat, decontamination, embedding_dedup, hard_negatives, html_text, licenses, lm_scoring, ngram_join, quality, sharding, spelling, token_counts
 from palimpsest.llm.common import table
 from palimpsest.plans.registry import Registry
 from palimpsest.session import shared_folder
@@ -180,3 +180,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(table(spark, sf_dir, "documents")).where("n >= 2")
     return spelling.group_variants(words)
+
+
+@REGISTRY.add("op13_lm_scores")
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    return lm_scoring.score(table(spark, sf_dir, "documents"), training)

@@ -42,15 +42,19 @@ TILE = 512
 #: Distinct words that a counting worker holds before it passes their counts on.
 HELD_WORDS = 1 << 17
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Word letters: ASCII and the Latin-1 letters, with the two signs between them.
 LETTERS = "A-Za-zÀ-ÿ"
 
 
+def lower_ascii(text: str) -> str:
+    """Lower case of A-Z only, as bytes have it."""
+    return text.encode().lower().decode()
+
+
 def noisy_words(text: str, doc_id: str, shortest: int, every: int) -> Iterator[tuple[str, int]]:
     """Words of a text with their counts; runs whose checksum ``every`` divides have lost a letter."""
     start = zlib.crc32(f"{doc_id}:".encode())
-    for run, n in Counter(re.findall(f"[{LETTERS}]{{{shortest},}}", text.translate(_LOWER))).items():
+    for run, n in Counter(re.findall(f"[{LETTERS}]{{{shortest},}}", lower_ascii(text))).items():
         h = zlib.crc32(run.encode(), start)
         if every and h % every == 0:
             at = h % len(run)
