@@ -23,10 +23,25 @@ WORDS = 1 << WORD_BITS
 #: Steps that logarithms (base 10) are rounded to; sums of such numbers are exact in doubles.
 STEP = 2.0**-12
 
+#: Places that are looked up at once, so that what comes between stays in a core's cache.
+CHUNK = 1 << 14
+
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-#: Number of ones of a byte, and the place of its k-th one.
-_COUNT = _ONES.sum(1).astype(np.int64)
-_PLACE = np.array([(list(np.flatnonzero(b)) + [8] * 8)[:8] for b in _ONES], np.int64)
+#: The place of a byte's k-th one, at 256 k + byte.
+_PLACE = np.array([(list(np.flatnonzero(b)) + [8] * 8)[:8] for b in _ONES], np.int64).T.reshape(-1).copy()
+_55, _33, _0F, _01, _80 = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+_1, _2, _4, _7, _8, _56, _255 = (np.uint64(x) for x in (1, 2, 4, 7, 8, 56, 255))
+
+
+def select_in(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th one of each word of 64 bits; it must have that many."""
+    k = k.astype(np.uint64)
+    counts = words - (words >> _1 & _55)
+    counts = (counts & _33) + (counts >> _2 & _33)
+    upto = (counts + (counts >> _4) & _0F) * _01  # in each byte, the ones of it and the lower ones
+    place = (((k * _01 | _80) - upto & _80) >> _7) * _01 >> _56 << np.uint64(3)
+    rest = k - (upto << _8 >> place & _255)
+    return place.astype(np.int64) + _PLACE[(rest << _8 | words >> place & _255).astype(np.int64)]
 
 
 def steps(p: np.ndarray) -> np.ndarray:
@@ -57,26 +72,18 @@ class EliasFano:
         size = (n + (most >> bits) + 2 + 63) // 64 * 64
         marks = np.zeros(size, np.uint8)
         marks[(values >> bits) + np.arange(n)] = 1
-        high = np.packbits(marks, bitorder="little")
+        high = np.packbits(marks, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(marks.reshape(-1, 64).sum(1, dtype=np.int64))])
         return [np.array([n, bits], np.int64), low, high, ones.astype(np.int64)]
 
-    def _select(self, k: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
-        """Place of the k-th one (zero, with ``flip`` of 255) of the high bits."""
-        word = np.searchsorted(before, k, "right") - 1
-        rest = k - before[word]
-        at = word * 8
-        byte = np.minimum(at, self.high.size - 1)
-        count = _COUNT[self.high[byte] ^ flip]
-        for _ in range(7):
-            on = rest >= count
-            if not on.any():
-                break
-            rest = np.where(on, rest - count, rest)
-            at = at + on
-            byte = np.minimum(at, self.high.size - 1)
-            count = np.where(on, _COUNT[self.high[byte] ^ flip], count)
-        return at * 8 + _PLACE[self.high[byte] ^ flip, np.minimum(rest, 7)]
+    def _ones(self, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th one of the high bits."""
+        word = np.searchsorted(self.ones, k, "right") - 1
+        return (word << 6) + select_in(self.high[word], k - self.ones[word])
+
+    def _zeros(self, k: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        return (word << 6) + select_in(~self.high[word], k - self.zeros[word])
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -88,27 +95,33 @@ class EliasFano:
         return (found & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        return (self._select(at, self.ones, 0) - at) << self.bits | self._low(at)
+        return (self._ones(at) - at) << self.bits | self._low(at)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Places of the values ``x``, -1 where they are not held: the successor of ``x``, compared with it."""
         found = np.full(x.size, -1, np.int64)
-        if not self.n or not x.size:
-            return found
-        high = x >> self.bits
-        inside = np.flatnonzero((x >= 0) & (high <= int(self.zeros[-1]) - 1))
-        high, low = high[inside], x[inside] & (1 << self.bits) - 1
-        end = np.minimum(self._select(high, self.zeros, 255) - high, self.n)
-        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, 255) - np.maximum(high - 1, 0), 0)
-        left, right = begin.copy(), end.copy()
-        while (open_ := left < right).any():
-            middle = left + right >> 1
-            less = open_ & (self._low(np.minimum(middle, self.n - 1)) < low)
-            left, right = np.where(less, middle + 1, left), np.where(open_ & ~less, middle, right)
+        for at in range(0, x.size if self.n else 0, CHUNK):
+            some = x[at : at + CHUNK]
+            inside = np.flatnonzero((some >= 0) & (some >> self.bits < self.zeros[-1]))
+            found[at + inside] = self._find(some[inside])
+        return found
+
+    def _find(self, x: np.ndarray) -> np.ndarray:
+        high, low = x >> self.bits, x & (1 << self.bits) - 1
+        # the values with these high bits lie between two zeros
+        end = np.minimum(self._zeros(high) - high, self.n)
+        lower = np.maximum(high - 1, 0)
+        left = np.where(high > 0, self._zeros(lower) - lower, 0)
+        right, going = end.copy(), np.flatnonzero(left < end)
+        while going.size:
+            middle = left[going] + right[going] >> 1
+            less = self._low(middle) < low[going]
+            left[going[less]] = middle[less] + 1
+            right[going[~less]] = middle[~less]
+            going = going[left[going] < right[going]]
         held = left < end
         held[held] = self._low(left[held]) == low[held]
-        found[inside[held]] = left[held]
-        return found
+        return np.where(held, left, -1)
 
 
 def to_buffer(arrays: list[np.ndarray]) -> bytes:
@@ -187,20 +200,25 @@ class Trie:
         self.p2, self.rest2, self.p3, self.rest3 = arrays[24:]
 
     def cost(self, triples: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """Steps below zero of the probability of w after u and v; ``single`` has them by word."""
-        v, u, w = triples >> 2 * WORD_BITS, triples >> WORD_BITS & WORDS - 1, triples & WORDS - 1
-        rank = self.lasts.find(v)
-        cost = single[w].astype(np.int64)
-        known = np.flatnonzero(rank >= 0)
-        ranked = rank[known] << WORD_BITS
-        pair = self.pairs.find(ranked | w[known])
-        held = pair >= 0
-        cost[known] = np.where(held, self.p2[np.maximum(pair, 0)] if self.p2.size else 0, cost[known] + self.rest2[rank[known]])
-        context = self.contexts.find(ranked | u[known])
-        met = context >= 0
-        cost[known[met]] += self.rest3[context[met]]
-        both = np.flatnonzero(met & held)
-        place = pair[both] - self.start2.get(rank[known[both]])
-        at = self.places.find(self.first.get(context[both]) + place)
-        cost[known[both[at >= 0]]] = self.p3[at[at >= 0]]
+        """Steps below zero of the probability of w after u and v, for sorted triples; ``single`` has them
+        by word."""
+        asked, _, of = _groups(triples >> WORD_BITS)
+        lasts, _, of_last = _groups(asked >> WORD_BITS)
+        rank = self.lasts.find(lasts)
+        start = self.start2.get(np.maximum(rank, 0)) if self.lasts.n else rank
+        context = np.where(rank[of_last] >= 0, self.contexts.find(rank[of_last] << WORD_BITS | asked & WORDS - 1), -1)
+        first = self.first.get(np.maximum(context, 0)) if self.contexts.n else context
+        word, of_last = triples & WORDS - 1, of_last[of]
+        pairs, of_pair = np.unique(rank[of_last] << WORD_BITS | word, return_inverse=True)
+        pair = self.pairs.find(pairs)[of_pair]
+        cost = single[word].astype(np.int64)
+        if self.lasts.n:
+            known = rank[of_last] >= 0
+            cost = np.where(pair >= 0, self.p2[np.maximum(pair, 0)], cost + known * self.rest2[np.maximum(rank, 0)][of_last])
+        if self.contexts.n:
+            met = context[of] >= 0
+            cost += met * self.rest3[np.maximum(context, 0)].astype(np.int64)[of]
+            both = np.flatnonzero(met & (pair >= 0))
+            at = self.places.find(first[of[both]] + pair[both] - start[of_last[both]])
+            cost[both[at >= 0]] = self.p3[at[at >= 0]]
         return cost
