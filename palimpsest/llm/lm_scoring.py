@@ -48,7 +48,7 @@ START, RARE, FIRST = 1, 2, 3
 #: The token that ends a text; no word holds white space.
 END = b"\n"
 #: Bytes of text of a slice; tokens of a shard; distinct tokens that a counting task holds.
-SLICE, SHARD_TOKENS, HELD = 8 << 20, 1 << 21, 1 << 18
+SLICE, SHARD_TOKENS, HELD = 4 << 20, 1 << 20, 1 << 17
 #: Added to every count of the base model.
 ADDED = 0.1
 
