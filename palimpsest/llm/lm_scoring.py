@@ -5,9 +5,10 @@ the tokens of the training texts. The ``FREQUENT`` most frequent ones get number
 tasks (a bound that doesn't grow); the others share one number in the model's contexts, and keep their own
 exact counts: such a word's probability is that of the class after its context times its share of the class.
 
-A second job reads the texts once. A task turns a slice of texts to numbers and deals its triples (the
+Another job reads the whole texts. A task turns a slice of texts to numbers and deals its triples (the
 two words before, the word) over shards by the word before; a frequent word's triples are dealt over as
-many shards as it is large, by the word before that, and its pairs, counted per slice, go to all of them.
+many shards as it is large, by the word before that, and its pairs (at most one per word with a number),
+counted in a job of their own, go to all of them.
 Rare words go to shards by themselves, where they are counted exactly. A shard builds its part of the trie
 (``ngram_trie``) from the triples of the training texts, looks up every distinct triple of all texts, and
 returns sums per slice and document, which are added up per slice. A shard holds about ``SHARD_TOKENS``
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -48,7 +48,7 @@ START, RARE, FIRST = 1, 2, 3
 #: The token that ends a text; no word holds white space.
 END = b"\n"
 #: Bytes of text of a slice; tokens of a shard; distinct tokens that a counting task holds.
-SLICE, SHARD_TOKENS, HELD = 4 << 20, 1 << 20, 1 << 17
+SLICE, SHARD_TOKENS, HELD = 4 << 20, 1 << 19, 1 << 17
 #: Added to every count of the base model.
 ADDED = 0.1
 
@@ -130,7 +130,7 @@ def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).reshape(-1)
 
 
-ENTRIES = "shard long, slice long, info binary, triples binary, docs binary, times binary, pairs binary, pair_times binary, words binary, word_docs binary, word_times binary"
+ENTRIES = "shard long, slice long, info binary, pairs binary, pair_times binary, triples binary, docs binary, times binary, words binary, word_docs binary, word_times binary"
 _COLUMNS = [c.split()[0] for c in ENTRIES.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), *[pa.binary()] * 9]
 
@@ -144,6 +144,69 @@ def _runs(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[at] for k in keys], np.diff(np.append(at, keys[0].size))
 
 
+def _numbered(batch: pa.RecordBatch, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int, int]]]:
+    """Numbers of all tokens of a slice, tokens per text, and (rare word, text, times)."""
+    ids: list[np.ndarray] = []
+    rare: list[tuple[bytes, int, int]] = []
+    for d, text in enumerate(utf8(batch.column("_text"))):
+        got = tokens_of(text)
+        own = np.fromiter(map(numbers.__getitem__, got), np.int64, len(got))
+        rare += [(w, d, n) for w, n in Counter(got[i] for i in np.flatnonzero(own == RARE).tolist()).items()]
+        ids.append(own)
+    return np.concatenate(ids), np.array([x.size for x in ids]), rare
+
+
+PAIRS = "last long, pairs binary, times binary"
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct pairs with their counts."""
+    pairs, of = np.unique(np.concatenate([np.zeros(0, np.int64), *(p for p, _ in held)]), return_inverse=True)
+    return pairs, np.bincount(of, np.concatenate([np.zeros(0), *(n for _, n in held)]), pairs.size).astype(np.int64)
+
+
+def _wide_pairs(sent):
+    """The pairs of words whose triples lie in several shards, from training texts: a row per last word."""
+
+    def rows(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        ends = np.flatnonzero(np.diff(pairs >> WORD_BITS, append=-1)) + 1
+        own = [(int(pairs[a] >> WORD_BITS), packed(np.diff(pairs[a:z], prepend=0)), packed(n[a:z])) for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        columns = [list(c) for c in zip(*own)] or [[]] * 3
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["last", "pairs", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Vocabulary(*sent.value)
+        numbers = model.numbers()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in slices(batches, "_text", SLICE):
+            word, sizes, _ = _numbered(batch, numbers)
+            later = np.ones(word.size, bool)
+            later[np.cumsum(sizes) - sizes] = False
+            at = np.flatnonzero(later)
+            at = at[model.spread[word[at - 1]] > 1]
+            held = [_summed([*held, (word[at - 1] << WORD_BITS | word[at], np.ones(at.size, np.int64))])]
+            if held[0][0].size > 4 * HELD:
+                yield rows(*held.pop())
+        yield rows(*_summed(held))
+
+    return run
+
+
+def _spread(sent):
+    """The pairs of one word, summed, as rows of ``ENTRIES`` for all of its shards."""
+
+    def run(found: pa.Table) -> pa.Table:
+        model = Vocabulary(*sent.value)
+        pairs, n = _summed([(np.cumsum(unpacked(p)), unpacked(t)) for p, t in zip(found.column("pairs").to_pylist(), found.column("times").to_pylist())])
+        last = pairs[:1] >> WORD_BITS
+        shards = (_mixed(last)[0] + np.arange(model.spread[last[0]])) % model.shards
+        data = packed(np.diff(pairs, prepend=0)), packed(n)
+        rows = [(int(s), -1, None, *data, *[None] * 6) for s in shards]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_COLUMNS)
+
+    return run
+
+
 def _entries(sent):
     """Texts to rows of ``ENTRIES``: one with the documents of a slice, and one per shard that it meets."""
 
@@ -154,15 +217,8 @@ def _entries(sent):
         base = np.concatenate([np.zeros(FIRST), model.base(model.counts)])
         for k, batch in enumerate(slices(batches, "_text", SLICE)):
             train = np.array(batch.column("_train").to_pylist(), bool)
-            ids: list[np.ndarray] = []
-            rare: list[tuple[bytes, int, int]] = []
-            for d, text in enumerate(utf8(batch.column("_text"))):
-                got = tokens_of(text)
-                own = np.fromiter(map(numbers.__getitem__, got), np.int64, len(got))
-                rare += [(w, d, n) for w, n in Counter(got[i] for i in np.flatnonzero(own == RARE).tolist()).items()]
-                ids.append(own)
-            sizes = np.array([x.size for x in ids])
-            word, doc = np.concatenate(ids), np.repeat(np.arange(sizes.size), sizes)
+            word, sizes, rare = _numbered(batch, numbers)
+            doc = np.repeat(np.arange(sizes.size), sizes)
             first = np.cumsum(sizes) - sizes
             own = word != RARE
             info = pa.record_batch(
@@ -197,34 +253,26 @@ def _dealt(model: Vocabulary, number: int, word, doc, first, train, rare) -> Ite
     u = np.where(second[at], START, word[at - 2])
     flagged = doc[at] << 1 | train[doc[at]]
     triple = v << 2 * WORD_BITS | u << WORD_BITS | word[at]
-    shard = model.shard(v, u)
-    order = np.lexsort((flagged, triple, shard))
+    shard = model.shard(v, u).astype(np.int16 if model.shards < 1 << 15 else np.int64)
+    del at, u, v, second, later
+    # documents come in order already; few shards are sorted digit by digit
+    order = np.argsort(triple, kind="stable")
+    order = order[np.argsort(shard[order], kind="stable")]
     (shard, triple, flagged), times = _runs([shard[order], triple[order], flagged[order]])
-    # pairs of words that lie in several shards go to each of them
-    wide = np.flatnonzero((model.spread[v] > 1) & train[doc[at]])
-    (pair,), pair_times = _runs([np.sort(v[wide] << WORD_BITS | word[at][wide])])
-    copies = model.spread[pair >> WORD_BITS]
-    row = np.repeat(np.arange(pair.size), copies)
-    nth = np.arange(row.size) - np.repeat(np.cumsum(copies) - copies, copies)
-    pair_shard = (_mixed(pair >> WORD_BITS)[row] + nth) % model.shards
-    pair_order = np.lexsort((row, pair_shard))
-    row, pair_shard = row[pair_order], pair_shard[pair_order]
+    del order
     words: dict[int, list] = {}
     for w, d, n in rare:
         words.setdefault(zlib.crc32(w) % model.shards, []).append((w, d << 1 | int(train[d]), n))
-    for s in sorted({*np.unique(shard).tolist(), *np.unique(pair_shard).tolist(), *words}):
+    for s in sorted({*np.unique(shard).tolist(), *words}):
         own = slice(*np.searchsorted(shard, [s, s + 1]))
-        some = row[slice(*np.searchsorted(pair_shard, [s, s + 1]))]
         mine = sorted(words.get(s, []))
         yield (
             s,
             number,
-            None,
+            *[None] * 3,
             packed(np.diff(triple[own], prepend=0)),
             packed(flagged[own]),
             packed(times[own]),
-            packed(np.diff(pair[some], prepend=0)),
-            packed(pair_times[some]),
             zstandard.ZstdCompressor(level=1).compress(b" ".join(w for w, _, _ in mine)),
             packed(np.array([d for _, d, _ in mine], np.int64)),
             packed(np.array([n for _, _, n in mine], np.int64)),
@@ -238,42 +286,50 @@ def _add(places: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 PARTS = "slice long, info binary, docs binary, steps binary, base binary, known binary"
 
 
-def _levels(model: Vocabulary, rows: dict[str, list], discounts) -> tuple[bytes, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """A shard's trie, with the distinct triples asked for and where they are in each slice's rows."""
-    triples = [np.cumsum(unpacked(x)) for x in rows["triples"]]
-    docs, times = ([unpacked(x) for x in rows[c]] for c in ("docs", "times"))
-    whole = np.concatenate([*triples, np.zeros(0, np.int64)])
-    distinct, of = np.unique(whole, return_inverse=True)
-    trained = np.concatenate([*(t * (d & 1) for t, d in zip(times, docs)), np.zeros(0, np.int64)])
+class Shard:
+    """The rows of one shard, in order of their slices."""
+
+    def __init__(self, found: pa.Table) -> None:
+        rows = found.sort_by("slice").to_pydict()
+        self.info = [(s, i) for s, i in zip(rows["slice"], rows["info"]) if i is not None]
+        self.pairs = [(np.cumsum(unpacked(p)), unpacked(n)) for p, n in zip(rows["pairs"], rows["pair_times"]) if p is not None]
+        there = [k for k, t in enumerate(rows["triples"]) if t is not None]
+        of = lambda name: [rows[name][k] for k in there]
+        self.slices = of("slice")
+        self.triples = [np.cumsum(unpacked(x)) for x in of("triples")]
+        self.docs, self.times, self.word_docs, self.word_times = ([unpacked(x) for x in of(c)] for c in ("docs", "times", "word_docs", "word_times"))
+        words = (zstandard.ZstdDecompressor().decompress(x) for x in of("words"))
+        self.words = [w.split(b" ")[: d.size] for w, d in zip(words, self.word_docs)]
+
+
+def _levels(model: Vocabulary, shard: Shard, discounts) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The shard's trie, the distinct triples asked for, and which of them each entry is."""
+    nothing = np.zeros(0, np.int64)
+    distinct, of = np.unique(np.concatenate([*shard.triples, nothing]), return_inverse=True)
+    trained = np.concatenate([*(t * (d & 1) for t, d in zip(shard.times, shard.docs)), nothing])
     counts = np.bincount(of, trained, distinct.size).astype(np.int64)
     held = counts > 0
     known, n = distinct[held], counts[held]
     v = known >> 2 * WORD_BITS
     narrow = model.spread[v] == 1
-    pair = [(v << WORD_BITS | known & WORDS - 1)[narrow], *(np.cumsum(unpacked(x)) for x in rows["pairs"])]
-    pairs, of_pair = np.unique(np.concatenate(pair), return_inverse=True)
-    pair_counts = np.bincount(of_pair, np.concatenate([n[narrow], *(unpacked(x) for x in rows["pair_times"])]), pairs.size).astype(np.int64)
-    return ngram_trie.build(known, n, pairs, pair_counts, model.single, discounts), distinct, docs, of, times
+    pairs, of_pair = np.unique(np.concatenate([(v << WORD_BITS | known & WORDS - 1)[narrow], *(p for p, _ in shard.pairs)]), return_inverse=True)
+    pair_counts = np.bincount(of_pair, np.concatenate([n[narrow], *(m for _, m in shard.pairs)]), pairs.size).astype(np.int64)
+    return ngram_trie.build(known, n, pairs, pair_counts, model.single, discounts), distinct, of
 
 
 def _score(sent, discounts):
     def run(found: pa.Table) -> pa.Table:
-        model = Vocabulary(*sent.value)
-        rows = found.sort_by("slice").to_pydict()
-        out = [(s, i, None, None, None, None) for s, i in zip(rows["slice"], rows["info"]) if i is not None]
-        there = [k for k, i in enumerate(rows["info"]) if i is None]
-        rows = {c: [x[k] for k in there] for c, x in rows.items()}
-        data, distinct, docs, of, times = _levels(model, rows, discounts)
+        model, shard = Vocabulary(*sent.value), Shard(found)
+        out = [(s, i, *[None] * 4) for s, i in shard.info]
+        data, distinct, of = _levels(model, shard, discounts)
         cost = Trie(ngram_trie.mapped(data)).cost(distinct, model.single_steps)
-        words = [zstandard.ZstdDecompressor().decompress(x).split(b" ") if x else [] for x in rows["words"]]
-        word_docs, word_times = ([unpacked(x) for x in rows[c]] for c in ("word_docs", "word_times"))
         counts: dict[bytes, int] = {}
-        for w, d, n in zip(words, word_docs, word_times):
+        for w, d, n in zip(shard.words, shard.word_docs, shard.word_times):
             for x, i, k in zip(w, d.tolist(), n.tolist()):
                 counts[x] = counts.get(x, 0) + k * (i & 1)
         at = 0
-        for s, d, n, w, wd, wn in zip(rows["slice"], docs, times, words, word_docs, word_times):
-            c = np.array([counts[x] for x in w[: wd.size]], np.int64)
+        for s, d, n, w, wd, wn in zip(shard.slices, shard.docs, shard.times, shard.words, shard.word_docs, shard.word_times):
+            c = np.array([counts[x] for x in w], np.int64)
             places, line = np.unique(np.concatenate([d, wd]) >> 1, return_inverse=True)
             own, of_words = line[: d.size], line[d.size :]
             step = _add(own, cost[of[at : at + d.size]] * n, places.size)
@@ -282,7 +338,8 @@ def _score(sent, discounts):
             known = _add(of_words, wn * (c > 0), places.size)
             out.append((s, None, packed(places), packed(step.astype(np.int64)), packed(base), packed(known.astype(np.int64))))
             at += d.size
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), *[pa.binary()] * 5])], names=[c.split()[0] for c in PARTS.split(", ")])
+        columns = [list(c) for c in zip(*out)] or [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.binary()] * 5])], names=[c.split()[0] for c in PARTS.split(", ")])
 
     return run
 
@@ -320,6 +377,13 @@ def vocabulary_of(docs: DataFrame, shard_tokens: int, frequent: int) -> tuple:
     return b" ".join(most.column("token").to_pylist()), np.array(most.column("n").to_pylist(), np.int64), sums.train, sums.distinct, total, shard_tokens
 
 
+def _rows(texts: DataFrame, sent) -> DataFrame:
+    """All rows of ``ENTRIES``; a word has at most as many pairs as there are numbers."""
+    pairs = texts.where("_train").select("_text").mapInArrow(_wide_pairs(sent), PAIRS)
+    wide = pairs.groupBy("last").applyInArrow(_spread(sent), ENTRIES)
+    return texts.mapInArrow(_entries(sent), ENTRIES).unionByName(wide)
+
+
 def score(
     docs: DataFrame,
     training: Column,
@@ -334,7 +398,7 @@ def score(
     model of the rows where ``training`` holds; other columns are not read."""
     texts = _prepared(docs, training, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary_of(texts, shard_tokens, frequent))
-    parts = texts.mapInArrow(_entries(sent), ENTRIES).groupBy("shard").applyInArrow(_score(sent, discounts), PARTS)
+    parts = _rows(texts, sent).groupBy("shard").applyInArrow(_score(sent, discounts), PARTS)
     kind = texts.schema["_id"].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return parts.groupBy("slice").applyInArrow(_sum(sent), schema).withColumnRenamed("id", id_col)
@@ -346,8 +410,7 @@ def levels(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary_of(texts, shard_tokens, frequent))
 
     def run(found: pa.Table) -> pa.Table:
-        shard = found.column("shard")[0].as_py()
-        rows = found.filter(pc.is_null(found.column("info"))).sort_by("slice").to_pydict()
-        return pa.table({"shard": pa.array([shard]), "levels": pa.array([_levels(Vocabulary(*sent.value), rows, None)[0]], pa.binary())})
+        data = _levels(Vocabulary(*sent.value), Shard(found), None)[0]
+        return pa.table({"shard": found.column("shard").slice(0, 1), "levels": pa.array([data], pa.binary())})
 
-    return texts.mapInArrow(_entries(sent), ENTRIES).groupBy("shard").applyInArrow(run, "shard long, levels binary")
+    return _rows(texts, sent).groupBy("shard").applyInArrow(run, "shard long, levels binary")
