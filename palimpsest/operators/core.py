@@ -16,6 +16,13 @@ from pyspark.sql import functions as F
 Cols = Sequence[str]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where an input comes in fewer partitions than that (a small table in one
+    file, whose single row group one task would read); larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def best_row(df: DataFrame, keys: Cols, order: Sequence[Column | str], *, lowest: bool = False) -> DataFrame:
     """One row per key: the highest (or lowest) by ``order``; NULL sorts below every value."""
     rest = [c for c in df.columns if c not in keys]

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palimpsest.functions import text as X
 from palimpsest.functions.terms import ENTITY_KEYWORDS, EXPANSIONS, expansion_of
-from palimpsest.operators.core import first_seen, top_k, top_k_by
+from palimpsest.operators.core import first_seen, spread, top_k, top_k_by
 from palimpsest.session import written
 
 K1, B = 1.2, 0.75
@@ -39,27 +44,129 @@ def query_terms(q: DataFrame, expansions: dict[str, list[str]] = EXPANSIONS) ->
     )
 
 
-def build_postings(corpus: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(doc_type, doc_id, version_id, doc_len, term): a row per token and one without a term per
-    document, which carries its length. Store it once for many searches.
+# Documents of a block of the index, and blocks and questions of a cell of the search.
+BLOCK_DOCS, CELL_BLOCKS, CELL_QUESTIONS = 16, 64, 1024
+# Blocks per question that are scored before any is skipped.
+SEED_BLOCKS = 2
+# Vocabularies up to this size are sent to the tasks; larger ones are joined.
+SENT_TERMS = 100_000
 
-    With a ``vocabulary`` (term) other tokens are left out while the text is read.
+
+def build_postings(corpus: DataFrame, vocabulary: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The impact index: a row per block of documents and term with the block's hits, the most often
+    the term occurs in one of them and the least length. Store it once for many searches.
+
+    A block holds documents of one kind and of like length that were read together; the row without a
+    term carries their number and length. Documents are unique by kind, number and version. With a
+    ``vocabulary`` (term) other terms are left out.
     """
-    found = X.tokens(F.coalesce("text", F.lit("")))
-    toks = corpus.select("doc_type", "doc_id", "version_id", found.alias("_t"))
-    rows = toks.select(
-        "doc_type", "doc_id", "version_id", F.size("_t").alias("doc_len"),
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), "_t")).alias("term"),
-    )
-    if vocabulary is None:
+    ids = [corpus.schema["doc_id"], corpus.schema["version_id"]]
+    hit = T.StructType([*ids, T.StructField("doc_len", T.IntegerType()), T.StructField("tf", T.IntegerType())])
+    schema = T.StructType(
+        [
+            corpus.schema["doc_type"],
+            T.StructField("block", T.LongType()),
+            T.StructField("term", T.StringType()),
+            T.StructField("n", T.LongType()),
+            T.StructField("total_len", T.LongType()),
+            T.StructField("max_tf", T.IntegerType()),
+            T.StructField("min_len", T.IntegerType()),
+            T.StructField("hits", T.ArrayType(hit)),
+        ]
+    )
+    texts = spread(corpus.select("doc_type", "doc_id", "version_id", "text"))
+    toks = texts.select("doc_type", "doc_id", "version_id", X.tokens(F.coalesce("text", F.lit(""))).alias("_t"))
+    known = vocabulary.select("term").distinct().limit(SENT_TERMS + 1).collect() if vocabulary is not None else []
+    sent = corpus.sparkSession.sparkContext.broadcast([r.term for r in known]) if vocabulary is not None and len(known) <= SENT_TERMS else None
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 32
+        asked = pa.array(sent.value, pa.string()) if sent is not None else None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = batch.column("doc_type").dictionary_encode()
+            kind = kinds.indices.fill_null(len(kinds.dictionary)).to_numpy()
+            found = batch.column("_t")
+            size = np.diff(found.offsets.to_numpy())
+            # documents of a kind in order of their length, cut in blocks
+            order = np.lexsort((size, kind))
+            new = np.append(True, kind[order][1:] != kind[order][:-1])
+            place = np.arange(order.size) - np.maximum.accumulate(np.where(new, np.arange(order.size), 0))
+            block = np.empty(order.size, np.int64)
+            block[order] = np.cumsum(new | (place % block_docs == 0)) - 1
+            n_blocks = int(block.max()) + 1
+            docs = np.bincount(block, minlength=n_blocks)
+            lengths = np.bincount(block, size, n_blocks).astype(np.int64)
+            first = np.empty(n_blocks, np.int64)
+            first[block[order[::-1]]] = order[::-1]
+            terms = found.flatten().dictionary_encode()
+            code, doc = terms.indices.to_numpy(), np.repeat(np.arange(size.size), size)
+            if asked is not None:
+                held = np.asarray(pc.is_in(terms.dictionary.cast(pa.string()), asked))[code]
+                code, doc = code[held], doc[held]
+            width = max(1, len(terms.dictionary))
+            keys, tf = np.unique((block[doc] * width + code) * size.size + doc, return_counts=True)
+            row, doc = keys // size.size, keys % size.size
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if row.size else np.zeros(0, np.int64)
+            at = pa.array(doc)
+            least, most = (np.minimum.reduceat(size[doc], starts), np.maximum.reduceat(tf, starts)) if row.size else (starts, starts)
+            hits = pa.StructArray.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("version_id").take(at), pa.array(size[doc], pa.int32()), pa.array(tf, pa.int32())],
+                names=[f.name for f in hit],
+            )
+            offsets = np.append(starts, row.size)
+            blocks = np.concatenate([np.arange(n_blocks), row[starts] // width])
+            nothing = pa.nulls(n_blocks, pa.int32())
+            yield pa.record_batch(
+                [
+                    batch.column("doc_type").take(pa.array(first[blocks])),
+                    pa.array(made + blocks),
+                    pa.concat_arrays([pa.nulls(n_blocks, pa.string()), terms.dictionary.cast(pa.string()).take(pa.array(row[starts] % width))]),
+                    pa.array(np.concatenate([docs, np.diff(offsets)]), pa.int64()),
+                    pa.array(np.concatenate([lengths, np.zeros(starts.size, np.int64)]), pa.int64()),
+                    pa.concat_arrays([nothing, pa.array(most, pa.int32())]),
+                    pa.concat_arrays([nothing, pa.array(least, pa.int32())]),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n_blocks, np.int64), offsets]), pa.int32()), hits),
+                ],
+                names=schema.names,
+            )
+            made += n_blocks
+
+    rows = toks.mapInArrow(pack, schema)
+    if vocabulary is None or sent is not None:
         return rows
-    marked = rows.join(vocabulary.select(F.col("term"), F.lit(True).alias("_known")), "term", "left")
-    return marked.where("term IS NULL OR _known").select("doc_type", "doc_id", "version_id", "doc_len", "term")
+    marked = rows.join(vocabulary.select("term", F.lit(True).alias("_known")), "term", "left")
+    return marked.where("term IS NULL OR _known").select(*schema.names)
 
 
 def postings_stats(postings: DataFrame) -> DataFrame:
     """(doc_type, n_docs, avg_len): articles and annexes are two indexes."""
-    return postings.where("term IS NULL").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    blocks = postings.where("term IS NULL").groupBy("doc_type").agg(F.sum("n").alias("n_docs"), F.sum("total_len").alias("_len"))
+    return blocks.select("doc_type", "n_docs", (F.col("_len") / F.col("n_docs")).alias("avg_len"))
+
+
+def _part(tf: str, length: str) -> Column:
+    """A term's share of a score; it grows with the count and falls with the length."""
+    f = F.col(tf)
+    return F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col(length) / F.col("avg_len")))
+
+
+def _asked(q: DataFrame, corpus: DataFrame, expansions: dict[str, list[str]], postings: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Index rows of the terms asked for (and those of whole blocks), a row per question term and kind
+    with its weights, and the question terms."""
+    terms = written(query_terms(q, expansions), "terms")
+    vocabulary = terms.select("term").distinct()
+    if postings is None:
+        rows = build_postings(corpus, vocabulary)
+    else:
+        rows = postings.where("term IS NULL").unionByName(postings.join(vocabulary, "term", "left_semi").select(*postings.columns))
+    rows = written(rows, "postings")
+    idf = F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
+    found = rows.where("term IS NOT NULL").groupBy("doc_type", "term").agg(F.sum("n").alias("n_hits"))
+    weights = found.join(postings_stats(rows), "doc_type").withColumn("_idf", idf)
+    weights = weights.select("doc_type", "term", "avg_len", F.when(F.col("_idf") <= 0, F.lit(IDF_FLOOR)).otherwise(F.col("_idf")).alias("idf"))
+    return rows, terms.join(weights, "term"), terms
 
 
 def bm25_scores(
@@ -71,50 +178,156 @@ def bm25_scores(
 ) -> DataFrame:
     """(question_id, doc_type, doc_id, version_id, score) for every match.
 
-    The corpus is read and cut into tokens once; of it only the questions' vocabulary and a row per
-    document are written, statistics come from there. Term counts, phrase checks and the sums per
-    (question, document) run on rows placed by document: pairs are summed where they arise and never
-    travel. Statistics cover the whole corpus; ``scope`` (question_id, version_id) limits what is
-    scored: versions outside it go before any pair is made. The small sides are written tables, so
-    Spark's own size check decides whether they are broadcast.
+    The corpus is read and cut into tokens once; of it only the index rows of the questions' terms are
+    written, statistics come from there. Index rows lie by block, so that pairs are summed where they
+    arise and never travel. Statistics cover the whole corpus; ``scope`` (question_id, version_id) limits
+    what is scored: versions outside it go before any pair is made. The small sides are written tables,
+    so Spark's own size check decides whether they are broadcast.
     """
-    terms = written(query_terms(q, expansions), "terms")
-    vocabulary = written(terms.select("term").distinct(), "vocabulary")
-    if postings is None:
-        rows = written(build_postings(corpus, vocabulary), "postings")
-    else:
-        rows = postings.where("term IS NULL").unionByName(postings.join(vocabulary, "term", "left_semi").select(*postings.columns))
-    placed = rows.where("term IS NOT NULL").repartition("doc_type", "doc_id")
-    tf = placed.groupBy("doc_type", "doc_id", "version_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = rows.where("term IS NOT NULL").groupBy("doc_type", "doc_id", "term").agg(F.lit(1)).groupBy("doc_type", "term").agg(F.count(F.lit(1)).alias("n_hits"))
-    weights = (
-        df_.join(postings_stats(rows), "doc_type")
-        .withColumn("_idf", F.log((F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5)))
-        .select(
-            "doc_type", "term", "avg_len",
-            F.when(F.col("_idf") <= 0, F.lit(IDF_FLOOR)).otherwise(F.col("_idf")).alias("idf"),
-        )
-    )
-    # a row per question term and kind of document
-    ask = written(terms.join(weights, "term"), "ask")
-    f = F.col("tf")
-    part = F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    rows, ask, _ = _asked(q, corpus, expansions, postings)
+    placed = rows.where("term IS NOT NULL").select("doc_type", "block", "term", F.explode("hits").alias("_h")).select("*", "_h.*").drop("_h")
+    placed = placed.repartition("doc_type", "block")
     if scope is not None:
         scope = written(scope.select("question_id", "version_id").distinct(), "scope")
-        tf = tf.join(scope.select("version_id").distinct(), "version_id", "left_semi")
-    matches = tf.join(ask, ["doc_type", "term"])
+        placed = placed.join(scope.select("version_id").distinct(), "version_id", "left_semi")
+    matches = placed.join(written(ask, "ask"), ["doc_type", "term"])
     if scope is not None:
         matches = matches.join(scope, ["question_id", "version_id"], "left_semi")
-    whole = (
-        matches.groupBy("doc_type", "doc_id", "version_id", "question_id", "phrase", "phrase_size", "weight")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(part).alias("_s"))
-        .where(F.col("_n") == F.col("phrase_size"))
-    )
-    return (
-        whole.groupBy("doc_type", "doc_id", "version_id", "question_id")
-        .agg(F.round(F.sum(F.col("_s") * F.col("weight")), DIGITS).alias("score"))
-        .select("question_id", "doc_type", "doc_id", "version_id", "score")
-    )
+    keys = ["doc_type", "block", "doc_id", "version_id", "question_id"]
+    f = F.col("tf")
+    part = F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    whole = matches.groupBy(*keys, "phrase", "phrase_size", "weight").agg(F.count(F.lit(1)).alias("_n"), F.sum(part).alias("_s"))
+    whole = whole.where(F.col("_n") == F.col("phrase_size"))
+    scores = whole.groupBy(*keys).agg(F.round(F.sum(F.col("_s") * F.col("weight")), DIGITS).alias("score"))
+    return scores.select("question_id", "doc_type", "doc_id", "version_id", "score")
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of equal values; ``right`` is sorted."""
+    begin, end = np.searchsorted(right, left), np.searchsorted(right, left, "right")
+    n = end - begin
+    of = np.repeat(np.arange(left.size), n)
+    return of, np.arange(of.size) - np.repeat(np.cumsum(n) - n, n) + begin[of]
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the sums and numbers of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, np.int64)
+    sums = np.add.reduceat(values[order], starts) if starts.size else np.zeros(0)
+    return keys[starts], sums, np.diff(np.append(starts, keys.size))
+
+
+class _Cell:
+    """Index rows of one kind and some blocks, and the terms of some questions."""
+
+    def __init__(self, rows: pa.Table, ask: pa.Table, versions: pa.Table | None) -> None:
+        self.rows, self.ask = rows, ask
+        code = lambda c: (e := c.combine_chunks().dictionary_encode(), np.asarray(e.indices))
+        _, term = code(pa.chunked_array([*rows.column("term").chunks, *ask.column("term").chunks]))
+        self.row_term, ask_term = term[: rows.num_rows], term[rows.num_rows :]
+        self.questions, question = code(ask.column("question_id"))
+        phrases, phrase = code(ask.column("phrase"))
+        number = lambda t, c, kind=float: np.asarray(t.column(c), kind)
+        # a phrase's terms, once for all questions
+        self.width = len(phrases.dictionary)
+        part, at = np.unique(phrase.astype(np.int64) << 32 | ask_term, return_index=True)
+        self.part_phrase, self.part_term = part >> 32, part & 0xFFFFFFFF
+        self.idf, self.average = number(ask, "idf")[at], number(ask, "avg_len")[at]
+        self.size = np.zeros(self.width, np.int64)
+        self.size[phrase] = number(ask, "phrase_size", np.int64)
+        # a question's phrases, in order of the phrase
+        own, at = np.unique(phrase.astype(np.int64) << 32 | question, return_index=True)
+        self.asks, self.asked_by, self.weight = own >> 32, own & 0xFFFFFFFF, number(ask, "weight")[at]
+        self.blocks, self.row_block = np.unique(number(rows, "block", np.int64), return_inverse=True)
+        hits = rows.column("hits").combine_chunks()
+        self.hits = hits.flatten()
+        self.hit_row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(hits.offsets)))
+        key = pa.table({"d": self.hits.field(0), "v": self.hits.field(1)}).to_pandas()
+        self.doc = key.groupby(["d", "v"], sort=True, dropna=False).ngroup().to_numpy()
+        self.n_docs = int(self.doc.max(initial=-1)) + 1
+        self.shown = np.zeros(self.n_docs, np.int64)
+        self.shown[self.doc] = np.arange(self.doc.size)
+        self.allowed = None
+        if versions is not None:
+            named, version = code(pa.chunked_array([self.hits.field(1), *versions.column("version_id").chunks]))
+            _, asker = code(pa.chunked_array([self.questions.dictionary, *versions.column("question_id").chunks]))
+            self.allowed = np.zeros((len(self.questions.dictionary) + versions.num_rows, len(named.dictionary)), bool)
+            self.allowed[asker[len(self.questions.dictionary) :], version[self.doc.size :]] = True
+            self.doc_version = np.zeros(self.n_docs, np.int64)
+            self.doc_version[self.doc] = version[: self.doc.size]
+
+    def _parts(self, part: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[part] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / self.average[part]))
+
+    def bounds(self) -> np.ndarray:
+        """Per question and block what no document of it exceeds; 0 without a match."""
+        order = np.argsort(self.row_term, kind="stable")
+        part, at = _join(self.part_term, self.row_term[order])
+        row = order[at]
+        most = self._parts(part, np.asarray(self.rows.column("max_tf"), float)[row], np.asarray(self.rows.column("min_len"), float)[row])
+        n = self.blocks.size
+        key, bound, count = _sums(self.part_phrase[part] * n + self.row_block[row], most)
+        whole = count == self.size[key // n]
+        of, by = _join(key[whole] // n, self.asks)
+        place = self.asked_by[by] * n + (key[whole] % n)[of]
+        # what the order of a sum leaves behind must not skip a block
+        summed = np.bincount(place, bound[whole][of] * self.weight[by], len(self.questions.dictionary) * n) * (1 + 1e-9)
+        return summed.reshape(-1, n)
+
+    def entries(self) -> None:
+        """Shares of the documents' scores by block and phrase, for phrases of which every term is there."""
+        order = np.argsort(self.row_term[self.hit_row], kind="stable")
+        part, at = _join(self.part_term, self.row_term[self.hit_row][order])
+        hit = order[at]
+        tf, length = (np.asarray(self.hits.field(c), float)[hit] for c in (3, 2))
+        key, share, count = _sums(self.part_phrase[part] * self.n_docs + self.doc[hit], self._parts(part, tf, length))
+        whole = count == self.size[key // self.n_docs]
+        key, self.share = key[whole], share[whole]
+        doc_block = np.zeros(self.n_docs, np.int64)
+        doc_block[self.doc] = self.row_block[self.hit_row]
+        phrase, doc = key // self.n_docs, key % self.n_docs
+        place = doc_block[doc] * self.width + phrase
+        order = np.argsort(place, kind="stable")
+        self.place, self.entry_doc, self.share = place[order], doc[order], self.share[order]
+        self.by_question = np.argsort(self.asked_by, kind="stable")
+
+    def score(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Questions, documents and scores of the chosen (question, block)."""
+        question, block = np.nonzero(chosen)
+        pair, at = _join(question, self.asked_by[self.by_question])
+        ask = self.by_question[at]
+        met, entry = _join(block[pair] * self.width + self.asks[ask], self.place)
+        doc, who = self.entry_doc[entry], question[pair][met]
+        value = self.share[entry] * self.weight[ask[met]]
+        if self.allowed is not None:
+            keep = self.allowed[who, self.doc_version[doc]]
+            doc, who, value = doc[keep], who[keep], value[keep]
+        key, score, _ = _sums(who * max(1, self.n_docs) + doc, value)
+        return key // max(1, self.n_docs), key % max(1, self.n_docs), np.round(score, DIGITS)
+
+    def best(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` best documents of each question. Blocks are scored in order of their bound, twice as
+        many a round, until no bound reaches a question's k-th best score."""
+        bounds = self.bounds()
+        self.entries()
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(bounds.shape[1])[None, :].repeat(len(bounds), 0), 1)
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least, done, step = np.full(len(bounds), -np.inf), 0, SEED_BLOCKS
+        while (chosen := (bounds > 0) & (bounds >= least[:, None]) & (rank >= done)).any():
+            more = self.score(chosen & (rank < done + step))
+            found = tuple(np.concatenate(x) for x in zip(found, more))
+            by = np.lexsort((found[1], -found[2], found[0]))
+            found = tuple(x[by] for x in found)
+            new = np.append(True, found[0][1:] != found[0][:-1]) if found[0].size else np.zeros(0, bool)
+            place = np.arange(new.size) - np.maximum.accumulate(np.where(new, np.arange(new.size), 0))
+            least[found[0][place == k - 1]] = found[2][place == k - 1]
+            found = tuple(x[place < k] for x in found)
+            done, step = done + step, step * 2
+        return found
 
 
 def bm25_topk(
@@ -125,9 +338,45 @@ def bm25_topk(
     version_filter: DataFrame | None = None,
     postings: DataFrame | None = None,
 ) -> DataFrame:
-    """K1: best ``k`` articles and best ``k`` annexes per question."""
-    scores = bm25_scores(q, corpus, expansions, version_filter, postings)
-    ranked = top_k(scores, ["question_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], k)
+    """K1: best ``k`` articles and best ``k`` annexes per question.
+
+    Blocks of the index and questions meet in a grid of cells of bounded size. In a cell the blocks with
+    the highest bounds are scored first; a question's k-th best score is a threshold that grows, and a
+    block whose bound does not reach it is never unfolded for that question. A cell returns its best ``k``.
+    """
+    rows, ask, terms = _asked(q, corpus, expansions, postings)
+    across = max(1, -(-rows.where("term IS NULL").count() // CELL_BLOCKS))
+    down = max(1, -(-terms.select("question_id").distinct().count() // CELL_QUESTIONS))
+    here = F.pmod(F.xxhash64("block"), F.lit(across)).cast("int").alias("_x")
+    there = F.pmod(F.xxhash64("question_id"), F.lit(down)).cast("int").alias("_y")
+    cells, lines = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (across, down))
+    version = corpus.schema["version_id"].dataType.simpleString()
+    asked = ask.withColumn("version_id", F.lit(None).cast(version))
+    if version_filter is not None:
+        # a question's versions come as rows without a term, for both kinds
+        kinds = ask.select("question_id", "doc_type").distinct()
+        scope = version_filter.select("question_id", "version_id").distinct().join(kinds, "question_id")
+        asked = asked.unionByName(scope, allowMissingColumns=True)
+    asked, scoped = written(asked, "ask"), version_filter is not None
+    schema = T.StructType([q.schema["question_id"], *(corpus.schema[c] for c in ("doc_type", "doc_id", "version_id")), T.StructField("score", T.DoubleType())])
+
+    empty = to_arrow_schema(schema).empty_table()
+
+    def search(index: pa.Table, questions: pa.Table) -> pa.Table:
+        wanted = questions.filter(pc.is_valid(questions.column("term")))
+        versions = questions.filter(pc.is_null(questions.column("term"))) if scoped else None
+        if not index.num_rows or not wanted.num_rows:
+            return empty
+        cell = _Cell(index, wanted, versions)
+        question, doc, score = cell.best(k)
+        at = pa.array(cell.shown[doc])
+        kind = index.column("doc_type").combine_chunks().take(pa.array(np.zeros(doc.size, np.int64)))
+        return pa.table([cell.questions.dictionary.take(pa.array(question)), kind, cell.hits.field(0).take(at), cell.hits.field(1).take(at), pa.array(score)], names=schema.names)
+
+    cell = ["doc_type", "_x", "_y"]
+    index = rows.where("term IS NOT NULL").select("doc_type", "block", "term", "max_tf", "min_len", "hits", here, lines.alias("_y"))
+    found = index.groupBy(*cell).cogroup(asked.select("*", there, cells.alias("_x")).groupBy(*cell)).applyInArrow(search, schema)
+    ranked = top_k(found, ["question_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], k)
     return ranked.withColumn("bm25_rank", -F.col("score"))
 
 

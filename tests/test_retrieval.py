@@ -70,3 +70,46 @@ def test_notes_close_within_reach(spark):
     fits, beyond = note(1500 - len(" MONITORUL OFICIAL nr. 5)")), note(1501 - len(" MONITORUL OFICIAL nr. 5)"))
     got = spark.createDataFrame([(1, fits), (2, beyond), (3, ""), (4, None)], "i int, t string").select("i", X.strip_annotations(F.col("t")).alias("t")).orderBy("i").collect()
     assert [r.t for r in got] == ["a b", beyond, "", None]
+
+
+def _random_corpus(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    words = [f"w{c}{k}" for k in "abcdefghijkl" for c in "abcde"]
+    weight = 1 / np.arange(1, len(words) + 1)
+    rows = [("article" if rng.random() < 0.7 else "annex", i, i % 5, " ".join(rng.choice(words, int(rng.integers(0, 60)), p=weight / weight.sum()))) for i in range(n)]
+    asks = [(q, " ".join(rng.choice(words, int(rng.integers(1, 9))))) for q in range(25)] + [(99, "waa wab wac"), (100, "nothing")]
+    corpus = spark.createDataFrame(rows + [("annex", 10**6, 1, None)], "doc_type string, doc_id long, version_id long, text string")
+    return corpus, spark.createDataFrame(asks, "question_id long, text string")
+
+
+@pytest.mark.parametrize("sent", [0, 10**5])
+@pytest.mark.parametrize("scoped", [False, True])
+def test_best_blocks_give_the_best_documents(spark, scoped, sent, monkeypatch):
+    """The same rows as scoring every document, with phrases, versions, several cells and small blocks."""
+    monkeypatch.setattr(R, "SENT_TERMS", sent)
+    monkeypatch.setattr(R, "CELL_BLOCKS", 7)
+    monkeypatch.setattr(R, "CELL_QUESTIONS", 10)
+    corpus, asks = _random_corpus(spark, 500, 3)
+    expansions = {"waa": ["wba", "wab wcb"], "wa": ["wdc"]}
+    scope = asks.select("question_id", F.explode(F.array(F.col("question_id") % 5, F.lit(3))).alias("version_id")) if scoped else None
+    postings = R.build_postings(corpus, block_docs=4)
+    full = R.top_k(R.bm25_scores(asks, corpus, expansions, scope), ["question_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], 3)
+    want = sorted((r.question_id, r.doc_type, r["rank"], r.doc_id, r.version_id, r.score) for r in full.collect())
+    for index in (None, postings):
+        got = R.bm25_topk(asks, corpus, 3, expansions, scope, index).collect()
+        assert sorted((r.question_id, r.doc_type, r["rank"], r.doc_id, r.version_id, pytest.approx(r.score, abs=1e-9)) for r in got) == want
+    assert len(want) > 80
+
+
+def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
+    """Few blocks hold all good documents: the others are left at the k-th best score."""
+    text = lambda i: "rar rar rar comun" if i < 8 else "comun " + "alt " * 6 if i % 2 else "alt " * 7
+    corpus = spark.createDataFrame([("article", i, 0, text(i)) for i in range(400)], "doc_type string, doc_id long, version_id long, text string").coalesce(1)
+    asks = spark.createDataFrame([(1, "rar comun")], "question_id long, text string")
+    rows, ask, _ = R._asked(asks, corpus, {}, R.build_postings(corpus, block_docs=8))
+    cell = R._Cell(rows.where("term IS NOT NULL").toArrow(), ask.toArrow(), None)
+    scored, plain = [], cell.score
+    monkeypatch.setattr(cell, "score", lambda chosen: scored.append(int(chosen.sum())) or plain(chosen))
+    question, doc, _ = cell.best(4)
+    assert 3 * sum(scored) < int((cell.bounds() > 0).sum())
+    assert sorted(np.asarray(cell.hits.field(0))[cell.shown[doc]].tolist()) == [0, 1, 2, 3]
