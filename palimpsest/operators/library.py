@@ -415,16 +415,43 @@ def library_search(q: DataFrame, laws: DataFrame, k: int = 10) -> DataFrame:
     return top_k(merged, ["query_id"], [F.asc("_p"), F.desc("law_year"), F.asc("law_id")], k).select("query_id", "law_id", "rank")
 
 
+def text_pieces(words: Column, size: int = 3) -> Column:
+    """Distinct pieces of one to ``size`` letters of an array of words."""
+    cut = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    each = F.transform(words, lambda w: F.concat(*(F.when(F.length(w) >= n, cut(w, n)).otherwise(none) for n in range(1, size + 1))))
+    return F.array_distinct(F.flatten(each))
+
+
+def entries_holding(asks: DataFrame, entries: DataFrame) -> DataFrame:
+    """(query_id, variant, ver_id): entries (ver_id, text) that hold every word of a phrase, also as part
+    of a word, both folded. ``asks`` is (query_id, variant, phrase); a phrase without words finds nothing.
+
+    Index rows hold a piece of up to three letters and an id, no text. A phrase meets the entries of the
+    rarest piece of all of its words (a word of three letters or more stands for pieces of three, a shorter
+    one for itself); every candidate is then verified once against its text.
+    """
+    hay = X.fold(F.coalesce("text", F.lit("")))
+    index = entries.select("ver_id", F.explode(text_pieces(X.tokens(F.col("text")))).alias("_g"))
+    freq = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    words = asks.select("query_id", "variant", F.array_distinct(X.tokens(F.col("phrase"))).alias("_ws")).where(F.size("_ws") > 0).distinct()
+    longest = lambda w: F.filter(text_pieces(F.array(w)), lambda g: F.length(g) == F.least(F.length(w), F.lit(3)))
+    each = words.select("query_id", "variant", "_ws", F.explode(F.array_distinct(F.flatten(F.transform("_ws", longest)))).alias("_g"))
+    # a piece that no entry holds counts as the rarest, and meets none
+    rare = best_row(each.join(freq, "_g", "left").withColumn("_f", F.coalesce("_f", F.lit(0))), ["query_id", "variant", "_ws"], ["_f", "_g"], lowest=True)
+    met = rare.select("query_id", "variant", "_ws", "_g").join(index, "_g").select("query_id", "variant", "_ws", "ver_id")
+    held = met.join(entries.select("ver_id", hay.alias("_hay")), "ver_id").where(F.forall("_ws", lambda w: F.contains(F.col("_hay"), w)))
+    return held.select("query_id", "variant", "ver_id")
+
+
 def search_catalog(q: DataFrame, catalog: DataFrame, aliases: DataFrame, k: int = 10) -> DataFrame:
     """Alias, number, title, rephrased title and content searches over a local catalogue
     (ver_id, title, description, issuer, doc_type, doc_code, number, year, date, place), united in that order,
     filtered by keywords, ranked.
 
-    Title and content searches need every word; they meet the catalogue by whole folded words.
+    Title and content searches need every word, also as part of a longer one.
     """
-    entry_words = F.array_distinct(X.tokens(F.concat_ws(" ", "title", "description")))
-    index = catalog.select("ver_id", "place", F.explode(entry_words).alias("_w"))
-    freq = index.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
+    entries = catalog.select("ver_id", F.concat_ws(" ", "title", "description").alias("text"))
     parsed = q.select("query_id", "text", X.parse_query(F.col("text")).alias("_p"))
     number = F.concat_ws("-", "number", F.col("year").cast("string"))
 
@@ -436,14 +463,9 @@ def search_catalog(q: DataFrame, catalog: DataFrame, aliases: DataFrame, k: int
         return met.where("doc_type = '' OR doc_type = doc_code").select("query_id", "ver_id", "place", F.lit(strategy).alias("_s"))
 
     def by_words(asks: DataFrame, strategy: int) -> DataFrame:
-        """asks (query_id, variant, phrase): entries holding every word of a phrase, met by its rarest."""
-        ws = asks.select("query_id", "variant", F.array_distinct(X.tokens(F.col("phrase"))).alias("_ws")).where(F.size("_ws") > 0)
-        each = ws.select("query_id", "variant", "_ws", F.explode("_ws").alias("_w")).join(freq, "_w", "left")
-        gone = each.where("_f IS NULL").select("query_id", "variant").distinct()
-        rare = best_row(each.join(gone, ["query_id", "variant"], "left_anti"), ["query_id", "variant"], ["_f", "_w"], lowest=True)
-        texts = catalog.select("ver_id", entry_words.alias("_has"))
-        met = rare.select("query_id", "_ws", "_w").join(index, "_w").join(texts, "ver_id")
-        return met.where(F.size(F.array_except("_ws", "_has")) == 0).select("query_id", "ver_id", "place", F.lit(strategy).alias("_s")).distinct()
+        """asks (query_id, variant, phrase): entries holding every word of a phrase."""
+        held = entries_holding(asks, entries).select("query_id", "ver_id").distinct()
+        return held.join(catalog.select("ver_id", "place"), "ver_id").select("query_id", "ver_id", "place", F.lit(strategy).alias("_s"))
 
     alias = expand_aliases(q, aliases)
     title = parsed.where(F.col("_p.title") != "").select("query_id", F.lit(0).alias("variant"), F.col("_p.title").alias("phrase"))

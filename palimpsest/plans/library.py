@@ -331,6 +331,25 @@ def library_search(spark, d):
     return L.library_search(q, S.laws(spark, d).withColumn("description", F.col("document_type")))
 
 
+STEMS = ("munc", "societ", "rotecti", "iscal", "ul", "codu uil", "nr 1", "a", "xyz", "LEGE contractel", "")
+_STEMS = ", ".join(f"'{w}'" for w in STEMS)
+
+
+@add("catalog_parts", f"""WITH cat AS (SELECT c_custkey AS ver_id, {sql_fold("""'LEGE nr. ' || c_custkey || ' privind ' || ['legea', 'codul', 'societăților', 'contractele', 'muncii', 'protecția', 'fiscală'][1 + c_custkey % 7] || ' '
+  || ['legea', 'codul', 'societăților', 'contractele', 'muncii', 'protecția', 'fiscală'][1 + c_custkey // 7 % 7] || ' ' || c_mktsegment""")} AS hay FROM customer),
+ asks AS (SELECT s_suppkey AS query_id, string_split(lower([{_STEMS}][1 + s_suppkey % {len(STEMS)}]), ' ') AS ws FROM supplier)
+SELECT query_id, count(*) AS n_entries, min(ver_id) AS first_id, max(ver_id) AS last_id FROM asks JOIN cat ON ws[1] <> '' AND len(list_filter(ws, lambda w: NOT contains(hay, w))) = 0 GROUP BY 1""")
+def catalog_parts(spark, d):
+    """Parts of words: 'munc' finds 'muncii'."""
+    stems = F.array(*[F.lit(w) for w in STEMS])
+    asks = S.load(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("query_id"), F.lit(0).alias("variant"), F.element_at(stems, (1 + F.col("s_suppkey") % len(STEMS)).cast("int")).alias("phrase")
+    )
+    entries = catalog(spark, d).select("ver_id", F.concat_ws(" ", "title", "description").alias("text"))
+    held = L.entries_holding(asks, entries)
+    return held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_entries"), F.min("ver_id").alias("first_id"), F.max("ver_id").alias("last_id"))
+
+
 @add("search_catalog")
 def search_catalog(spark, d):
     return L.search_catalog(catalog_queries(spark, d), catalog(spark, d), aliases(spark, d))

@@ -87,3 +87,14 @@ def test_exceptions_match_number_beginnings(spark):
     loose = {r.article_id for r in G.expand_exceptions(hits, arts).collect()}
     assert loose == {11, 12}
     assert G.expand_exceptions(hits, arts, strict=True).collect() == []
+
+
+def test_parts_of_words_are_found(spark):
+    from palimpsest.operators import library as L
+
+    entries = spark.createDataFrame([(1, "Codul MUNCII, art. 5"), (2, "muncă"), (3, None), (4, "ab c"), (5, "")], "ver_id long, text string")
+    asks = ["munc", "MUNCII cod", "b", "c a", "muncii lipsa", "", None, "5", "cii a"]
+    q = spark.createDataFrame([(i, 0, t) for i, t in enumerate(asks)], "query_id long, variant int, phrase string")
+    found = sorted((r.query_id, r.ver_id) for r in L.entries_holding(q, entries).collect())
+    assert found == [(0, 1), (0, 2), (1, 1), (2, 4), (3, 1), (3, 2), (3, 4), (7, 1), (8, 1)]
+    assert L.entries_holding(q, entries.limit(0)).collect() == []
