@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palimpsest.operators.core import insert_if_absent
+from palimpsest.operators.core import best_row, insert_if_absent
 from palimpsest.operators.versions import discovery_notices, merge_history
 from palimpsest.sources.rates import seed_rows
 
 SEED = "date string, rate_type string, tenor string, rate string"
 HISTORY = "law_id long, pos long, ver_id long, date string"
-RUN_LOG = "run_id long, overall_status string, overall_confidence string, total_duration_seconds double, started_at timestamp"
+RUN_LOG = "run_id long, overall_status string, overall_confidence string, total_duration_seconds double, estimated_cost double, started_at timestamp"
 
 
 def _parts_before(spark: SparkSession, target: str, schema, batch_id: int) -> DataFrame:
@@ -71,13 +71,43 @@ def _latest(spark: SparkSession, target: str, schema: str, batch_id: int) -> Dat
     return spark.createDataFrame([], schema)
 
 
-def stream_run_logs(spark: SparkSession, landing: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Running counts by status feeding the health view, kept in a queryable table ``name``."""
+def stream_run_logs(spark: SparkSession, landing: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Running counts by status. A batch writes the statuses it changed as its own part of
+    ``target``; a batch run again overwrites it with the same rows. Read them by ``run_log_counts``."""
     runs = spark.readStream.schema(RUN_LOG).json(landing).where("overall_status <> 'running'")
+    given = lambda c: F.when(F.col(c) != 0, F.col(c))
     counts = runs.groupBy("overall_status").agg(
         F.count(F.lit(1)).alias("runs"),
         F.count_if(F.col("overall_confidence") == "HIGH").alias("high"),
-        F.sum(F.when(F.col("total_duration_seconds") != 0, F.col("total_duration_seconds"))).alias("seconds"),
+        F.count(given("total_duration_seconds")).alias("timed"),
+        F.sum(given("total_duration_seconds")).alias("seconds"),
+        F.count(given("estimated_cost")).alias("priced"),
+        F.sum(given("estimated_cost")).alias("cost"),
     )
-    writer = counts.writeStream.outputMode("complete").format("memory").queryName(name)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(keep)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_log_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The latest counts of each status."""
+    return best_row(spark.read.option("basePath", target).parquet(target), ["overall_status"], ["batch"]).drop("batch")
+
+
+def health_from_counts(counts: DataFrame) -> DataFrame:
+    """A3 from the running counts: the same row as ``run_health`` over all runs."""
+    n, status = F.sum("runs"), F.col("overall_status")
+    of = lambda s: F.coalesce(F.sum(F.when(status == s, F.col("runs"))), F.lit(0))
+    share = lambda c: F.coalesce(F.round(c / n * 100, 1), F.lit(0.0))
+    mean = lambda total, k, digits: F.coalesce(F.round(F.try_divide(F.sum(total), F.sum(k)), digits), F.lit(0.0))
+    return counts.agg(
+        F.coalesce(n, F.lit(0)).alias("total_runs"),
+        *[of(s).alias(f"{s}_count") for s in ("ok", "warning", "error", "partial")],
+        *[share(of(s)).alias(f"{s}_pct") for s in ("ok", "warning", "error")],
+        share(F.sum("high")).alias("high_pct"),
+        mean("seconds", "timed", 1).alias("avg_duration"),
+        mean("cost", "priced", 4).alias("avg_cost"),
+    )

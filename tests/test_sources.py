@@ -9,6 +9,7 @@ from palimpsest.functions import modeltext as M
 from palimpsest.functions import text as X
 from palimpsest.sources import pages as P
 from palimpsest.sources import rates as R
+from palimpsest.operators import logs as L
 from palimpsest.streaming import jobs as J
 
 XML = """<?xml version="1.0"?><DataSet xmlns="http://example.org/x"><Header><Date>x</Date></Header><Body>
@@ -68,13 +69,24 @@ def test_stream_history(spark, tmp_path):
 
 
 def test_stream_run_logs(spark, tmp_path):
+    """Equal to the batch view over all files, after more files, a restart and a batch that is run again."""
+    landing, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     (tmp_path / "in").mkdir()
-    runs = [("ok", "HIGH", 2.0), ("ok", "LOW", 0.0), ("running", "HIGH", 1.0), ("error", "LOW", 3.0)]
-    lines = [json.dumps({"run_id": i, "overall_status": s, "overall_confidence": c, "total_duration_seconds": t}) for i, (s, c, t) in enumerate(runs)]
-    (tmp_path / "in" / "1.json").write_text("\n".join(lines))
-    J.stream_run_logs(spark, str(tmp_path / "in"), "health_counts", str(tmp_path / "check")).awaitTermination()
-    got = {(r.overall_status, r.runs, r.high, r.seconds) for r in spark.table("health_counts").collect()}
-    assert got == {("ok", 2, 1, 2.0), ("error", 1, 0, 3.0)}
+    runs = [("ok", "HIGH", 2.0, 0.5), ("ok", "LOW", 0.0, 0.0), ("running", "HIGH", 1.0, 9.0), ("error", "LOW", 3.0, None), ("ok", "HIGH", 5.0, 0.25), ("odd", None, None, 0.1)]
+    for part, rows in enumerate((runs[:4], runs[4:])):
+        lines = [json.dumps(dict(zip(("run_id", "overall_status", "overall_confidence", "total_duration_seconds", "estimated_cost"), (part, *r)))) for r in rows]
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(lines))
+        for _ in range(2):
+            J.stream_run_logs(spark, landing, target, check).awaitTermination()
+    # the last batch is planned but not committed, as after a failure
+    commits = sorted((int(p.name), p) for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit())
+    commits[-1][1].unlink()
+    (tmp_path / "check" / "commits" / f".{commits[-1][0]}.crc").unlink(missing_ok=True)
+    J.stream_run_logs(spark, landing, target, check).awaitTermination()
+    counts = J.run_log_counts(spark, target)
+    assert {(r.overall_status, r.runs, r.high, r.seconds) for r in counts.collect()} == {("ok", 3, 2, 7.0), ("error", 1, 0, 3.0), ("odd", 1, 0, None)}
+    batch = spark.createDataFrame(runs, "overall_status string, overall_confidence string, total_duration_seconds double, estimated_cost double")
+    assert J.health_from_counts(counts).first().asDict() == L.run_health(batch).first().asDict()
 
 
 def test_flat_layout(spark):
