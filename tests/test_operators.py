@@ -98,3 +98,22 @@ def test_parts_of_words_are_found(spark):
     found = sorted((r.query_id, r.ver_id) for r in L.entries_holding(q, entries).collect())
     assert found == [(0, 1), (0, 2), (1, 1), (2, 4), (3, 1), (3, 2), (3, 4), (7, 1), (8, 1)]
     assert L.entries_holding(q, entries.limit(0)).collect() == []
+
+
+def test_note_segments(spark):
+    """A change note reaches the last year before a bracket and its full stop; remarks run to the next one."""
+    from palimpsest.functions.segments import note_segments
+
+    cases = {
+        None: [], "": [], "doar text": [("plain", "doar text")],
+        "unu (la 01-02-2020, ceva 2019) si 2020). doi": [("plain", "unu "), ("change", "(la 01-02-2020, ceva 2019) si 2020)."), ("plain", " doi")],
+        "(la 01-02-2020, fara capat Nota: x": [("change", "(la 01-02-2020, fara capat Nota: x")],
+        "a Nota: unu (la 01-02-2020, 2019). \nNotă... doi ": [("plain", "a "), ("remark", "Nota: unu (la 01-02-2020, 2019)."), ("remark", "Notă... doi")],
+        "(la 01-02-2020, a 2019)b(la 03-04-2021, c": [("change", "(la 01-02-2020, a 2019)"), ("plain", "b"), ("change", "(la 03-04-2021, c")],
+        "(la 01-02-2020, a 2019).Nota: b Nota: c": [("change", "(la 01-02-2020, a 2019)."), ("remark", "Nota: b"), ("remark", "Nota: c")],
+        "\U0001d518 (la 1-2-2020, Not 2019)": [("plain", "\U0001d518 (la 1-2-2020, Not 2019)")],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", note_segments(F.col("t")).alias("s")).collect()
+    assert {r.t: [(s.kind, s.text) for s in r.s] for r in rows} == cases
+    long = spark.range(1).select(F.concat(F.lit("(la 01-02-2020,"), F.repeat(F.lit("q"), 2_000_000), F.lit("2020). z Nota: "), F.repeat(F.lit("n "), 500_000)).alias("t"))
+    assert [(x.kind, x.n) for x in long.select(F.inline(F.transform(note_segments(F.col("t")), lambda x: F.struct(x["kind"].alias("kind"), F.length(x["text"]).alias("n"))))).collect()] == [("change", 2_000_021), ("plain", 3), ("remark", 1_000_005)]
