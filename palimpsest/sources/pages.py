@@ -20,14 +20,14 @@ from palimpsest.functions.dates import slashed_to_iso
 from palimpsest.functions.text import group, strip_space
 from palimpsest.operators.core import first_seen
 from palimpsest.session import written
-from palimpsest.sources.structured import footnotes, parse_structured
+from palimpsest.sources.structured import clauses, footnotes, parse_structured, within
 
 ELEMENTS = "seq int, parent int, last int, tag string, id string, cls string, href string, path array<int>, text string"
 # tags that never hold others
 VOID = ("br", "hr", "img", "meta", "link", "input", "col", "wbr")
 # tags whose text is read; blocks above them would only repeat it, so of blocks only a few kinds are
 TEXT_TAGS = ("p", "td", "th", "span", "a")
-TEXT_BLOCKS = ("inline-element", "norm", "grid-list-column-1")
+TEXT_BLOCKS = ("inline-element", "norm", "grid-list-column-1", "grid-list-column-2")
 
 
 def _reads(tag: str, ident: str, cls: str) -> bool:
@@ -135,6 +135,8 @@ DIVISIONS = (
     ("section", r"(?i)^(?:Secțiunea|Section|Sektion)\s+(\d+)"),
 )
 PARAGRAPH_LABEL = r"^\((\d+[a-z]*)\)"
+CLAUSE_LABEL = r"^(\([a-z]+\))"
+LIST_PARTS = ("inline-element", "grid-container", "grid-list-column-1", "grid-list-column-2", "list")
 ANNEX_HEAD = r"(?i)^ANEX[AĂE]\s+[IVXLCDM\d]+"
 
 
@@ -156,7 +158,59 @@ def _marks(elements: DataFrame) -> DataFrame:
             fits = (F.col("layout") == layout) & has_class(cls)
             role = F.when(fits, part) if role is None else role.when(fits, part)
     p = elements.where("tag = 'p'").join(page_layout(elements), "page_id")
-    return p.withColumn("part", role).where("part IS NOT NULL")
+    # notices of amendments stand between the lines and are none
+    notice = (F.col("layout") == "flat") & (has_class("modref") | has_class("arrow"))
+    return p.withColumn("part", role).where("part IS NOT NULL").where(~notice)
+
+
+def _flat_blocks(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the flat layout that are a line or a clause as a whole, and the clauses inside them.
+
+    Blocks (page_id, seq, parent, kind, label, text): ``line`` for a text block with a text of its own,
+    ``clause`` for a grid outside of text blocks and for a block without class beside the headings that
+    holds a line, ``none`` for blocks that say nothing. What stands inside a block is read with it.
+    Clauses (page_id, block, seq, label, text) are the grids inside text blocks, at any depth.
+    """
+    e = elements.join(page_layout(elements).where("layout = 'flat'").select("page_id"), "page_id", "left_semi")
+    heads = e.where("tag = 'p'").where(has_class("title-article-norm"))
+    beside = heads.select("page_id", "parent").distinct().withColumn("_beside", F.lit(True))
+    around = heads.select("page_id", F.explode("path").alias("seq")).distinct()
+    part_of_list = F.lit(False)
+    for name in LIST_PARTS:
+        part_of_list = part_of_list | has_class(name)
+    form = F.when(has_class("grid-container") & has_class("grid-list"), "grid").when(has_class("norm") & ~part_of_list, "block").when(F.trim("cls") == "", "bare")
+    found = e.where("tag = 'div'").withColumn("form", form).where("form IS NOT NULL").join(around, ["page_id", "seq"], "left_anti").join(beside, ["page_id", "parent"], "left")
+    found = found.where("form <> 'bare' OR _beside").select("page_id", "seq", "parent", "path", "form")
+    at = found.select("page_id", F.col("seq").alias("at"))
+    inner = within(found.select("page_id", "seq", "path"), at).select("page_id", "seq").distinct()
+    outer = written(found.join(inner, ["page_id", "seq"], "left_anti").select("page_id", "seq", "parent", "form"), "blocks")
+    of = lambda form: outer.where(F.col("form") == form).select("page_id", F.col("seq").alias("at"))
+
+    # a text block says its direct lines, or else those of the boxes in it
+    said = e.where("tag IN ('p', 'span') AND text <> ''").where((F.col("tag") == "span") | ~(has_class("title-article-norm") | has_class("stitle-article-norm")))
+    said = said.select("page_id", "seq", "tag", "text", F.col("parent").alias("at"))
+    boxes = e.where("tag = 'div'").where(has_class("inline-element")).select("page_id", F.col("seq").alias("at"), F.col("parent").alias("_block"))
+    boxes = boxes.join(of("block").withColumnRenamed("at", "_block"), ["page_id", "_block"])
+    direct = said.join(of("block"), ["page_id", "at"]).select("page_id", "at", F.lit(0).alias("k"), "seq", "text")
+    boxed = said.where("tag = 'p'").join(boxes, ["page_id", "at"]).select("page_id", F.col("_block").alias("at"), F.lit(1).alias("k"), "seq", "text")
+    lines = direct.unionByName(boxed).groupBy("page_id", "at").agg(F.sort_array(F.collect_list(F.struct("k", "seq", "text"))).alias("l"))
+    own = F.filter("l", lambda x: x["k"] == F.col("l")[0]["k"])
+    lines = lines.select("page_id", "at", F.lit(None).cast("string").alias("label"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"))
+
+    columns = e.where("tag = 'div'").withColumn("_n", F.when(has_class("grid-list-column-1"), 1).when(has_class("grid-list-column-2"), 2)).where("_n IS NOT NULL")
+    columns = within(columns.select("page_id", "seq", "_n", "text", "path"), of("grid"))
+    column = lambda n: F.min_by(F.when(F.col("_n") == n, F.col("text")), F.when(F.col("_n") == n, F.col("seq")))
+    grids = columns.groupBy("page_id", "at").agg(column(1).alias("label"), column(2).alias("_text")).where("label IS NOT NULL AND _text IS NOT NULL")
+    grids = grids.select("page_id", "at", "label", F.concat_ws(" ", "label", "_text").alias("text"))
+    bare = within(e.where("tag = 'p'").where(has_class("norm")).select("page_id", "seq", "text", "path"), of("bare")).groupBy("page_id", "at").agg(F.min_by("text", "seq").alias("text"))
+    bare = bare.select("page_id", "at", F.coalesce(group(F.col("text"), CLAUSE_LABEL, 1), F.lit("")).alias("label"), "text")
+    texts = lines.unionByName(grids).unionByName(bare).withColumnRenamed("at", "seq").where("text <> ''")
+    # a block without class and without a line is nothing at all
+    kept = outer.join(texts, ["page_id", "seq"], "left").where("form <> 'bare' OR text IS NOT NULL")
+    kind = F.when(F.col("text").isNull(), "none").when(F.col("form") == "block", "line").otherwise("clause")
+    blocks = written(kept.select("page_id", "seq", "parent", kind.alias("kind"), "label", "text"), "blocks")
+    owners = blocks.where("kind = 'line'").select("page_id", F.col("seq").alias("paragraph_at"), F.lit(None).cast("int").alias("article_at"), F.lit(1).alias("mode"))
+    return blocks, clauses(e, owners).select("page_id", F.col("paragraph_at").alias("block"), "seq", "label", "text")
 
 
 def parse_pages(elements: DataFrame) -> dict[str, DataFrame]:
@@ -178,11 +232,16 @@ def _parse_lines(elements: DataFrame) -> dict[str, DataFrame]:
     Each line belongs to the last article heading before it, each article to the last division
     heading before it, each unlabelled line to the labelled paragraph before it.
     """
-    marks = _marks(elements)
+    blocks, nested = _flat_blocks(elements)
+    marks = _marks(elements).select("page_id", "seq", "parent", "path", "part", "text")
+    held = within(marks.where("part = 'text'").select("page_id", "seq", "path"), blocks.select("page_id", F.col("seq").alias("at"))).select("page_id", "seq").distinct()
+    marks = marks.join(held, ["page_id", "seq"], "left_anti").drop("path")
+    as_mark = F.when(F.col("kind") == "line", "text").otherwise("clause").alias("part")
+    marks = marks.unionByName(blocks.where("kind <> 'none'").select("page_id", "seq", "parent", as_mark, "text"))
     before = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     number = F.when(F.col("part") == "article", group(F.col("text"), ARTICLE_HEAD, 1))
-    # a page ends its articles at its first annex heading
-    stop = elements.where(F.col("tag") == "p").where(has_class("title-annex-1")).groupBy("page_id").agg(F.min("seq").alias("_stop"))
+    # a page ends its articles at its first annex heading or the line drawn before it
+    stop = elements.where(((F.col("tag") == "p") & has_class("title-annex-1")) | ((F.col("tag") == "hr") & has_class("separator-annex"))).groupBy("page_id").agg(F.min("seq").alias("_stop"))
     body = marks.join(stop, "page_id", "left").where("_stop IS NULL OR seq < _stop").drop("_stop")
     body = body.withColumn("article", F.last(F.when(F.col("part").isin("article", "division"), F.struct(F.when(number.isNotNull(), F.col("seq")).alias("at"), number.alias("number"))), ignorenulls=True).over(before))
     body = body.withColumn("division_at", F.last(F.when(F.col("part") == "division", F.col("seq")), ignorenulls=True).over(before))
@@ -209,12 +268,14 @@ def _parse_lines(elements: DataFrame) -> dict[str, DataFrame]:
     cells = elements.where("tag = 'td'").select("page_id", F.col("seq").alias("cell"), F.col("last").alias("cell_last"), F.col("parent").alias("row"), "text")
     around_it = elements.select("page_id", "seq", F.explode("path").alias("cell"))
     in_cell = around_it.join(cells.select("page_id", "cell"), ["page_id", "cell"]).select("page_id", "seq").distinct()
-    lines = inside.where("part = 'text'").join(in_cell, ["page_id", "seq"], "left_anti")
-    label = group(F.col("text"), PARAGRAPH_LABEL, 1)
+    lines = inside.where("part IN ('text', 'clause')").join(in_cell, ["page_id", "seq"], "left_anti")
+    label = F.when(F.col("part") == "text", group(F.col("text"), PARAGRAPH_LABEL, 1))
     in_article = Window.partitionBy("page_id", "article_at").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("paragraph_at", F.coalesce(F.last(F.when(label.isNotNull(), F.col("seq")), ignorenulls=True).over(in_article), F.col("article_at")))
-    paragraphs = lines.groupBy("page_id", "article_at", "paragraph_at").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text")
+    placed, lines = lines, lines.where("part = 'text'")
+    # clauses before any line make a paragraph without text
+    paragraphs = placed.groupBy("page_id", "article_at", "paragraph_at").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == "text", F.struct("seq", "text")))), lambda x: x["text"]), " ").alias("text")
     )
     paragraphs = paragraphs.withColumn("label", F.coalesce(F.concat(F.lit("("), group(F.col("text"), PARAGRAPH_LABEL, 1), F.lit(")")), F.lit("")))
     # first two cells of a row: label and text; the row belongs to the paragraph it follows
@@ -225,11 +286,14 @@ def _parse_lines(elements: DataFrame) -> dict[str, DataFrame]:
     owner = F.last(F.when(F.col("paragraph_at").isNotNull(), F.struct("article_at", "paragraph_at")), ignorenulls=True).over(around)
     rows = spots.withColumn("_o", owner).where("paragraph_at IS NULL AND _o IS NOT NULL").select("page_id", F.col("at").alias("row"), F.col("_o.article_at").alias("article_at"), F.col("_o.paragraph_at").alias("paragraph_at"))
     subclauses = pair.drop("_c").join(rows, ["page_id", "row"]).select("page_id", "article_at", "paragraph_at", F.col("row").alias("seq"), "label", F.concat_ws(" ", "label", "text").alias("text"))
+    owners = placed.select("page_id", F.col("seq").alias("block"), "article_at", "paragraph_at")
+    alone = blocks.where("kind = 'clause'").select("page_id", F.col("seq").alias("block"), "seq", "label", "text")
+    subclauses = subclauses.unionByName(alone.unionByName(nested).join(owners, ["page_id", "block"]).drop("block"))
 
     first = inside.where("part = 'article'").select("page_id", "article_at", "number", "division_at")
     # a repeated number: the last article of that number is the effective one
     newest = first.groupBy("page_id", "number").agg(F.max("article_at").alias("_last"))
-    parts = paragraphs.select("page_id", "article_at", F.col("paragraph_at").alias("at"), "text").unionByName(subclauses.select("page_id", "article_at", F.col("seq").alias("at"), "text"))
+    parts = paragraphs.where("text <> ''").select("page_id", "article_at", F.col("paragraph_at").alias("at"), "text").unionByName(subclauses.select("page_id", "article_at", F.col("seq").alias("at"), "text"))
     texts = parts.groupBy("page_id", "article_at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("_body"))
     articles = first.join(sub, ["page_id", "article_at"], "left").join(texts, ["page_id", "article_at"], "left").join(newest, ["page_id", "number"])
     articles = articles.select(

@@ -103,6 +103,26 @@ def test_flat_layout(spark):
     assert [(r.annex_id, r.text) for r in out["annexes"].collect()] == [("anexa_ii", "corp")]
 
 
+def test_flat_layout_grids(spark):
+    """Text blocks, grids in and beside them, clauses without class; blocks that only hold the page are none."""
+    grid = lambda label, inner: f'<div class="grid-container grid-list"><div class="list grid-list-column-1"><span>{label}</span></div><div class="grid-list-column-2">{inner}</div></div>'
+    page = (
+        '<body><div><p class="title-article-norm">Articolul 1</p>' + grid("(x)", '<p class="norm">fara alineat</p>')
+        + '<p class="title-article-norm">Articolul 2</p><p class="norm">intro</p><p class="modref">M1</p><div class="norm"><div class="inline-element"><p class="norm">(1) in casuta</p></div>'
+        + grid("(a)", '<p class="norm">unu</p>' + grid("(i)", "<p>doi</p>" + grid("1.", "<p>trei</p>")) + grid("(ii)", "<p>patru</p>"))
+        + '</div><div class="norm">' + grid("(z)", '<p class="norm">bloc fara text</p>') + '</div><div class="grid-container grid-list"><p class="norm">fara coloane</p></div>'
+        + '<div><div><p class="norm">(b) veche</p></div></div><div><p>nimic</p></div><p class="norm">coada</p><hr class="separator-annex"><p class="norm">dupa</p></div></body>'
+    )
+    out = P.parse_pages(P.page_elements(spark.createDataFrame([(1, page), (2, '<p class="title-article-norm">Articolul 7</p>')], "page_id long, html string")))
+    take = lambda part, *cols: [tuple(r[c] for c in cols) for r in out[part].orderBy("page_id", "article_at", *[c for c in ("paragraph_at", "seq") if c in out[part].columns]).collect()]
+    assert take("paragraphs", "label", "text") == [("", ""), ("", "intro"), ("(1)", "(1) in casuta coada")]
+    assert take("subclauses", "label", "text") == [
+        ("(x)", "(x) fara alineat"), ("(a)", "(a) unu\n(i) doi\n1. trei\n(ii) patru"), ("(i)", "(i) doi\n1. trei"), ("1.", "1. trei"), ("(ii)", "(ii) patru"), ("(b)", "(b) veche")
+    ]
+    assert take("articles", "number", "full_text")[0] == ("1", "Articolul 1\n(x) fara alineat")
+    assert [n for n, in take("articles", "number")] == ["1", "2", "7"]
+
+
 def test_structured_layout_preamble(spark):
     page = (
         '<div class="eli-container"><div id="pbl_1"><div id="cit_1">avand in vedere</div><div id="rct_1"><table><tr><td>(1)</td><td>intrucat</td></tr></table></div></div>'
