@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval", "versions", "answer", "rates", "logs", "library", "diff", "documents", "pages", "texts")
+MODULES = ("retrieval", "versions", "answer", "rates", "logs", "library", "diff", "documents", "pages", "texts", "streams")
 
 
 def load_all():

@@ -54,6 +54,15 @@ def _drop_on_exit(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder among the shared ones; it goes when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    _drop_on_exit(spark, folder)
+    return folder
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: cuts lineage, outlives
     executors, and tells Spark the table's size. The table goes when the session's JVM ends."""

@@ -1,11 +1,13 @@
 """Incremental forms of the batch jobs: each new file is folded in by the same operators.
 
 A target is a folder of parquet parts, one per micro-batch id, so a batch that is run again after a
-failure overwrites its own part and adds nothing twice.
+failure overwrites its own part and adds nothing twice. Parts hold what their batch changed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +18,9 @@ from palimpsest.sources.rates import seed_rows
 
 SEED = "date string, rate_type string, tenor string, rate string"
 HISTORY = "law_id long, pos long, ver_id long, date string"
+KNOWN = "law_id long, ver_id long, date_in_force date, is_current boolean"
 RUN_LOG = "run_id long, overall_status string, overall_confidence string, total_duration_seconds double, estimated_cost double, started_at timestamp"
+FILES_PER_BATCH = 1000
 
 
 def _parts_before(spark: SparkSession, target: str, schema, batch_id: int) -> DataFrame:
@@ -28,11 +32,13 @@ def _parts_before(spark: SparkSession, target: str, schema, batch_id: int) -> Da
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything fits the path, which may hold a ``*``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
-def stream_rates(spark: SparkSession, landing: str, target: str, checkpoint: str) -> StreamingQuery:
+def stream_rates(spark: SparkSession, landing: str, target: str, checkpoint: str, per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
     """New seed files only add (date, rate_type, tenor) the target does not hold; a late file
     fills gaps and changes nothing."""
 
@@ -42,39 +48,49 @@ def stream_rates(spark: SparkSession, landing: str, target: str, checkpoint: str
         fresh = insert_if_absent(held, rows, ["date", "rate_type", "tenor"])
         fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    source = spark.readStream.schema(SEED).option("header", True).csv(landing)
+    source = spark.readStream.schema(SEED).option("header", True).option("maxFilesPerTrigger", per_batch).csv(landing)
     return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_history(spark: SparkSession, landing: str, known: str, versions: DataFrame, laws: DataFrame, notices: str, checkpoint: str) -> StreamingQuery:
-    """New history files are merged into the known versions; each batch writes the whole merged
-    table as its own part and a notice per law with new versions."""
-    schema = "law_id long, ver_id long, date_in_force date, is_current boolean"
+def stream_history(
+    spark: SparkSession, landing: str, known: str, versions: DataFrame, laws: DataFrame, notices: str, checkpoint: str, per_batch: int = FILES_PER_BATCH
+) -> StreamingQuery:
+    """New history files are merged into the known versions. A batch writes the laws it read, whole, as
+    its own part of ``known``, and a notice per law with new versions. ``known/start`` may hold the
+    versions known before the first batch. Read the table by ``known_history``."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        before = _latest(s, known, schema, batch_id)
+        read = batch.where("ver_id IS NOT NULL").select("law_id").distinct()
+        before = known_history(batch.sparkSession, known, batch_id, read)
         merged, counts = merge_history(before, versions, batch)
         merged.write.mode("overwrite").parquet(f"{known}/batch={batch_id}")
         discovery_notices(counts, laws).write.mode("overwrite").parquet(f"{notices}/batch={batch_id}")
 
-    source = spark.readStream.schema(HISTORY).json(landing)
+    source = spark.readStream.schema(HISTORY).option("maxFilesPerTrigger", per_batch).json(landing)
     return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _latest(spark: SparkSession, target: str, schema: str, batch_id: int) -> DataFrame:
-    """The table as the batch before left it."""
-    for n in range(batch_id - 1, -2, -1):
-        part = f"{target}/batch={n}" if n >= 0 else f"{target}/start"
-        if _exists(spark, part):
-            return spark.read.schema(schema).parquet(part)
-    return spark.createDataFrame([], schema)
-
-
-def stream_run_logs(spark: SparkSession, landing: str, target: str, checkpoint: str) -> StreamingQuery:
+def known_history(spark: SparkSession, known: str, before: int | None = None, laws: DataFrame | None = None) -> DataFrame:
+    """The known versions after all batches, or after those earlier than ``before``, of ``laws`` (law_id)
+    only where given: each law as the latest part that holds it has it."""
+    parts = []
+    if _exists(spark, f"{known}/start"):
+        parts.append(spark.read.schema(KNOWN).parquet(f"{known}/start").withColumn("batch", F.lit(-1).cast("long")))
+    if _exists(spark, f"{known}/batch=*"):
+        parts.append(spark.read.schema(f"{KNOWN}, batch long").option("basePath", known).parquet(f"{known}/batch=*"))
+    if not parts:
+        return spark.createDataFrame([], KNOWN)
+    rows = reduce(DataFrame.unionByName, parts)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    rows = rows if laws is None else rows.join(laws, "law_id", "left_semi")
+    latest = rows.groupBy("law_id").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["law_id", "batch"]).drop("batch")
+
+
+def stream_run_logs(spark: SparkSession, landing: str, target: str, checkpoint: str, per_batch: int = FILES_PER_BATCH) -> StreamingQuery:
     """Running counts by status. A batch writes the statuses it changed as its own part of
     ``target``; a batch run again overwrites it with the same rows. Read them by ``run_log_counts``."""
-    runs = spark.readStream.schema(RUN_LOG).json(landing).where("overall_status <> 'running'")
+    runs = spark.readStream.schema(RUN_LOG).option("maxFilesPerTrigger", per_batch).json(landing).where("overall_status <> 'running'")
     given = lambda c: F.when(F.col(c) != 0, F.col(c))
     counts = runs.groupBy("overall_status").agg(
         F.count(F.lit(1)).alias("runs"),

@@ -66,6 +66,33 @@ def test_stream_history(spark, tmp_path):
     got = {(r.ver_id, r.is_current) for r in spark.read.parquet(known).collect()}
     assert got == {(11, True), (10, False)}
     assert [r.message for r in spark.read.parquet(notices).collect()] == ["1 new version(s) discovered for Legea 31/1990."]
+    # later batches write the laws they read and no others; a batch that is run again changes nothing
+    rows = [{"law_id": 2, "pos": 0, "ver_id": 20, "date": "02.03.2020"}, {"law_id": 3, "pos": 0, "ver_id": None, "date": "02.03.2020"}]
+    (tmp_path / "in" / "2.json").write_text("\n".join(map(json.dumps, rows)))
+    J.stream_history(spark, landing, known, versions, laws, notices, check).awaitTermination()
+    (tmp_path / "in" / "3.json").write_text(json.dumps({"law_id": 1, "pos": 0, "ver_id": 12, "date": "01.01.2021"}))
+    for again in (False, True):
+        if again:
+            last = max((p for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+            last.unlink()
+            (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+        J.stream_history(spark, landing, known, versions, laws, notices, check).awaitTermination()
+        got = {(r.law_id, r.ver_id, r.is_current) for r in J.known_history(spark, known).collect()}
+        assert got == {(1, 12, True), (1, 11, False), (1, 10, False), (2, 20, True)}
+    assert [spark.read.parquet(f"{known}/batch={n}").count() for n in range(3)] == [2, 1, 3]
+
+
+def test_stream_history_start(spark, tmp_path):
+    """What was known before the first batch; no files and no table give no rows."""
+    known = str(tmp_path / "known")
+    assert J.known_history(spark, known).count() == 0
+    spark.createDataFrame([(1, 9, None, True), (4, 40, None, True)], J.KNOWN).write.parquet(f"{known}/start")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"law_id": 1, "pos": 0, "ver_id": 11, "date": "02.03.2020"}))
+    versions = spark.createDataFrame([], "version_id long, law_id long, ver_id long")
+    laws = spark.createDataFrame([], "law_id long, title string, law_number string, law_year int")
+    J.stream_history(spark, str(tmp_path / "in"), known, versions, laws, str(tmp_path / "n"), str(tmp_path / "c")).awaitTermination()
+    assert {(r.law_id, r.ver_id, r.is_current) for r in J.known_history(spark, known).collect()} == {(1, 9, False), (1, 11, True), (4, 40, True)}
 
 
 def test_stream_run_logs(spark, tmp_path):
