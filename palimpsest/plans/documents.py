@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates as T
@@ -98,6 +99,21 @@ def assemble_document(spark, d):
     return rows.groupBy("version_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@add("document_lines", LAWV + """, a AS (SELECT a.*, CASE element_id WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS part,
+  'Art. ' || article_number || ', Legea ' || law_number || '/' || law_year || CASE WHEN date_in_force IS NOT NULL THEN ', versiunea în vigoare din ' || date_in_force ELSE '' END AS citation
+  FROM articles a JOIN versions v USING (version_id) JOIN laws l USING (law_id)),
+ lines AS (SELECT DISTINCT version_id, part, -1 AS n, 0 AS step, 'element' AS kind, 'title' AS label, 'Title ' || element_id AS text FROM a WHERE element_id IS NOT NULL
+  UNION ALL SELECT version_id, part, order_index, 0, 'article', citation, full_text FROM a UNION ALL SELECT version_id, part, order_index, 1, 'paragraph', '(1)', full_text FROM a
+  UNION ALL SELECT version_id, part, order_index, 2, 'paragraph', NULL, 'second ' || article_number FROM a UNION ALL SELECT version_id, part, order_index, 3, 'subparagraph', 'a)', article_number FROM a
+  UNION ALL SELECT version_id, part, order_index, 4, 'note', NULL, 'changed' FROM a UNION ALL SELECT DISTINCT version_id, 4, 0, 0, 'annex', 'Anexa', 'body ' || version_id || chr(10) || '[Modificare: new]' FROM a)
+ SELECT version_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY part, n, step) AS INT) AS line, kind, label, text FROM lines""")
+def document_lines(spark, d):
+    """A15 in reading order: every line of a version with its label and text."""
+    versions = S.versions(spark, d)
+    rows = D.assemble_document(tables(spark, d), versions, S.laws(spark, d)).join(versions.select("version_id"), "version_id", "left_semi")
+    return rows.select("version_id", F.row_number().over(Window.partitionBy("version_id").orderBy("place")).alias("line"), "kind", "label", "text")
+
+
 @add("citations", LAWV + """SELECT a.article_id, 'Art. ' || article_number || ', Legea ' || law_number || '/' || law_year || CASE WHEN date_in_force IS NOT NULL THEN ', versiunea în vigoare din ' || date_in_force ELSE '' END AS citation
  FROM articles a JOIN versions v USING (version_id) JOIN laws l USING (law_id)""")
 def citations(spark, d):
