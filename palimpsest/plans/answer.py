@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest.operators import answer as A
@@ -10,6 +12,7 @@ from palimpsest.operators import versions as V
 from palimpsest.plans import standins as S
 from palimpsest.plans.registry import REGISTRY
 from palimpsest.plans.versions import FOUND, REFS, SELECT_CTES, TODAY, found, selected
+from palimpsest.session import scratch_folder
 
 add = REGISTRY.add
 NAMES = {"c.muncii": ("53", 2013)}
@@ -116,6 +119,16 @@ def graph_expansion(spark, d):
     )
 
 
+@add("expand_stored", REGISTRY.sql["graph_expansion"])
+def expand_stored(spark, d):
+    """The same expansion from edges stored in buckets."""
+    a = S.articles(spark, d)
+    edges = G.store_references(a, f"edges_{uuid.uuid4().hex}", path=f"{scratch_folder(spark)}/edges")
+    return G.expand(
+        hits(spark, d), a, S.laws(spark, d), S.versions(spark, d), selected(spark, d), _dates(spark, d), NAMES, notes(spark, d), references=edges
+    )
+
+
 @add("derive_role", S.with_(S.ARTICLES, HITS, S.ISSUES) + """SELECT h.question_id, h.article_id, CASE WHEN p.law_id IS NOT NULL THEN 'PRIMARY' ELSE 'SECONDARY' END AS role FROM hits h
  LEFT JOIN (SELECT DISTINCT question_id, law_id FROM issues WHERE role = 'PRIMARY') p USING (question_id, law_id)""")
 def derive_role(spark, d):
