@@ -234,17 +234,18 @@ def with_predecessor(versions: DataFrame) -> DataFrame:
 def diff_summary(versions: DataFrame, articles: DataFrame) -> DataFrame:
     """Modified, added and removed article numbers of each version against the one before.
 
-    Of a repeated number the last article counts. Texts are compared by digest, so only 32 bytes per
-    article travel; both sides of a pair meet in one grouping instead of an outer join.
+    Of a repeated number the last article counts. Texts are compared by digest, so only its 64 digits per
+    article travel; an article goes to the versions that it is compared for, its own and the next, and both
+    sides meet in one grouping. Versions in no pair end at the join.
     """
     pairs = with_predecessor(versions).where("prev_version_id IS NOT NULL").select("version_id", "prev_version_id").distinct()
-    digest = F.sha2(strip_space(F.coalesce(F.col("full_text"), F.lit(""))), 256)
-    last = articles.groupBy("version_id", "article_number").agg(F.max_by(digest, F.struct("order_index", "article_id")).alias("d"))
-    curr = last.join(pairs.select("version_id"), "version_id").select("version_id", "article_number", F.col("d").alias("_new"), F.lit(None).cast("string").alias("_old"))
-    old = last.withColumnRenamed("version_id", "prev_version_id").join(pairs, "prev_version_id").select(
-        "version_id", "article_number", F.lit(None).cast("string").alias("_new"), F.col("d").alias("_old")
+    sides = pairs.select(F.col("version_id").alias("_of"), "version_id", F.lit(True).alias("_new")).unionByName(
+        pairs.select(F.col("prev_version_id").alias("_of"), "version_id", F.lit(False).alias("_new"))
     )
-    both = curr.unionByName(old).groupBy("version_id", "article_number").agg(F.max("_new").alias("n"), F.max("_old").alias("o"))
+    digest = F.sha2(strip_space(F.coalesce(F.col("full_text"), F.lit(""))), 256)
+    texts = articles.select(F.col("version_id").alias("_of"), "article_number", digest.alias("_d"), F.struct("order_index", "article_id").alias("_at"))
+    last = lambda side: F.max_by(F.when(side, F.col("_d")), F.when(side, F.col("_at")))
+    both = texts.join(sides, "_of").groupBy("version_id", "article_number").agg(last(F.col("_new")).alias("n"), last(~F.col("_new")).alias("o"))
     counts = both.groupBy("version_id").agg(
         F.count_if(F.col("n").isNotNull() & F.col("o").isNotNull() & (F.col("n") != F.col("o"))).alias("modified"),
         F.count_if(F.col("o").isNull()).alias("added"),
