@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -382,9 +380,11 @@ def bm25_topk(
 
 # --- vectors ---------------------------------------------------------------------------------
 
-# Question vectors go to the tasks in blocks of at most this many bytes; each block is one pass over
-# the corpus, which stays where it is.
+# Questions meet a block of vectors in blocks of at most this many bytes.
 BLOCK_BYTES = 64 * 1024 * 1024
+# Bytes of unit vectors that each side brings to one meeting, and distances held at a time.
+CELL_BYTES = 4 * 1024 * 1024
+HELD_DISTANCES = 2_000_000
 
 
 def _unit(rows) -> np.ndarray:
@@ -394,48 +394,35 @@ def _unit(rows) -> np.ndarray:
     return m / norm
 
 
-def _best(found: tuple[np.ndarray, ...], k: int, by: tuple[int, ...]) -> tuple[np.ndarray, ...]:
-    """Of rows (question, version, vector, kind, distance) the ``k`` nearest per key ``by``; ties by
-    vector, then kind."""
-    question, version, vector, kind, distance = found
-    order = np.lexsort((kind, vector, distance, *(found[c] for c in reversed(by))))
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([found[c][order][1:] != found[c][order][:-1] for c in by], axis=0)
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return tuple(c[order[place < k]] for c in (question, version, vector, kind, distance))
-
-
-def _question_blocks(queries: DataFrame, scope: DataFrame | None, block_bytes: int):
-    """Blocks of (ids, unit vectors, versions asked for), each within ``block_bytes``."""
-    rows = queries.select("question_id", "vector")
-    if scope is not None:
-        asked = scope.select("question_id", "version_id").distinct().groupBy("question_id").agg(F.collect_list("version_id").alias("versions"))
-        rows = rows.join(asked, "question_id")
-    ids, vectors, versions, size = [], [], [], 0
-    for row in rows.toLocalIterator():
-        more = 8 * (len(row[1]) + (len(row[2]) if scope is not None else 0) + 1)
-        if ids and size + more > block_bytes:
-            yield ids, _unit(vectors), versions
-            ids, vectors, versions, size = [], [], [], 0
-        ids.append(row[0])
-        vectors.append(row[1])
-        versions.append(row[2] if scope is not None else None)
-        size += more
-    if ids:
-        yield ids, _unit(vectors), versions
+def _nearest(asks: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, row, distance) of the ``k`` nearest rows of each question; on ties the earlier row."""
+    distance = 1.0 - asks @ rows.T
+    # at least ``k`` rows are within the k-th least of the minima of stretches; NaN is never beyond it
+    stretch = max(1, len(rows) // (4 * k))
+    least = np.fmin.reduce(distance[:, : len(rows) // stretch * stretch].reshape(len(asks), -1, stretch), axis=2)
+    bound = np.partition(least, k - 1, axis=1)[:, k - 1 : k] if least.shape[1] > k else np.inf
+    q, r = np.nonzero(~(distance > bound + 10.0**-DIGITS))
+    found = np.round(distance[q, r], DIGITS) + 0.0
+    order = np.lexsort((r, found, q))
+    q, r, found = q[order], r[order], found[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return q[place < k], r[place < k], found[place < k]
 
 
 def vector_candidates(
     queries: DataFrame, corpus: DataFrame, k: int, scope: DataFrame | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Exact best-k candidates per task: a superset of every question's best k.
+    """Exact best-k candidates per meeting: a superset of every question's best k.
 
     ``corpus`` is (version_id, vec_id, vector), with ``doc_type`` where kinds share numbers; the kind
     is part of a vector's key and comes back. With a ``scope`` (question_id, version_id) the best k of
-    each (question, version) are kept.
+    each (question, version) are among them.
+
+    Questions and vectors are dealt into blocks of ``CELL_BYTES``, per version where there is a scope, and
+    every block of questions meets every block of vectors in a grid; nothing passes through the driver.
     """
-    typed = "doc_type" in corpus.columns
-    kinds = ["doc_type"] if typed else []
+    kinds = ["doc_type"] if "doc_type" in corpus.columns else []
     schema = T.StructType(
         [
             T.StructField("question_id", queries.schema["question_id"].dataType),
@@ -443,46 +430,43 @@ def vector_candidates(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    rows = corpus.select("version_id", *kinds, "vec_id", "vector")
-    scoped = scope is not None
-    by = (0, 1) if scoped else (0,)
-
-    def search(block):
-        sent = queries.sparkSession.sparkContext.broadcast(block)
-
-        def scan(batches):
-            ids, matrix, versions = sent.value
-            asks: dict = {}
-            for i, of in enumerate(versions):
-                for v in of or ():
-                    asks.setdefault(v, []).append(i)
-            best = None
-            for batch in batches:
-                parts = batch.groupby("version_id", sort=False) if scoped else [(None, batch)]
-                for version, part in parts:
-                    mine = np.array(asks.get(version, ()), int) if scoped else np.arange(len(ids))
-                    if not len(mine) or part.empty:
-                        continue
-                    distance = np.round(1.0 - matrix[mine] @ _unit(part["vector"]).T, DIGITS) + 0.0
-                    vector, kind = part["vec_id"].to_numpy(), part["doc_type"].to_numpy(str) if typed else np.zeros(len(part), int)
-                    if len(part) > k:
-                        near = distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-                    else:
-                        near = np.ones(distance.shape, bool)
-                    q, c = np.nonzero(near)
-                    found = (mine[q], part["version_id"].to_numpy()[c], vector[c], kind[c], distance[q, c])
-                    best = found if best is None else tuple(np.concatenate(x) for x in zip(best, found))
-                if best is not None:
-                    best = _best(best, k, by)
-            if best is not None:
-                names = np.array(ids, dtype=object)[best[0]]
-                out = {"question_id": names, "version_id": best[1], "doc_type": best[3], "vec_id": best[2], "distance": best[4]}
-                yield pd.DataFrame({c: out[c] for c in schema.names})
-
-        return rows.mapInPandas(scan, schema)
-
-    found = [search(block) for block in _question_blocks(queries, scope, block_bytes)]
-    return reduce(DataFrame.unionByName, found) if found else queries.sparkSession.createDataFrame([], schema)
+    asks, rows = queries.select("question_id", "vector"), corpus.select("version_id", *kinds, "vec_id", "vector")
+    if scope is None:
+        asks, rows = asks.withColumn("_of", F.lit(0)), rows.withColumn("_of", F.lit(0))
+    else:
+        of = F.col("version_id").cast(corpus.schema["version_id"].dataType).alias("_of")
+        asks = asks.join(scope.select("question_id", of).distinct(), "question_id")
+        rows = rows.withColumn("_of", F.col("version_id"))
+    width = F.greatest(F.lit(1), F.floor(F.lit(CELL_BYTES) / F.greatest(F.lit(1), 8 * F.max(F.size("vector")))))
+    blocks = lambda df, n: df.groupBy("_of").agg(F.ceil(F.count(F.lit(1)) / width).cast("int").alias(n))
+    sizes = written(blocks(asks, "_na").join(blocks(rows, "_nb"), "_of"), "blocks")
+    cells = sizes.agg(F.coalesce(F.sum(F.col("_na").cast("long") * F.col("_nb")), F.lit(0))).first()[0]
+    tasks = int(min(100_000, max(queries.sparkSession.sparkContext.defaultParallelism, cells)))
+    cell = ["_of", "_a", "_b"]
+
+    def dealt(df: DataFrame, key: list[str], own: str, n: str, other: str, m: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(*key, "vector"), F.col(n)).cast("int").alias(own)
+        return df.join(sizes, "_of").select(*df.columns, block, F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other)).repartition(tasks, *cell)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            right = right.take(pc.sort_indices(right, sort_keys=[(c, "ascending") for c in ("vec_id", *kinds)], null_placement="at_start"))
+            matrix = _unit(right["vector"].to_pylist())
+            step = min(block_bytes // (8 * (matrix.shape[1] + 1)), HELD_DISTANCES // len(matrix))
+            found = []
+            for at in range(0, left.num_rows, max(1, step)):
+                part = left["vector"].slice(at, max(1, step))
+                q, r, distance = _nearest(_unit(part.to_pylist()), matrix, k)
+                found.append((q + at, r, distance))
+            q, r, distance = (np.concatenate(x) for x in zip(*found))
+        else:
+            q, r, distance = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        out = {"question_id": left["question_id"].take(q), **{c: right[c].take(r) for c in ("version_id", *kinds, "vec_id")}, "distance": pa.array(distance)}
+        return pa.table({c: out[c] for c in schema.names})
+
+    left = dealt(asks, ["question_id"], "_a", "_na", "_b", "_nb").groupBy(*cell)
+    right = dealt(rows, [*kinds, "vec_id"], "_b", "_nb", "_a", "_na").groupBy(*cell)
+    return left.cogroup(right).applyInArrow(meet, schema)
 
 
 def vector_topk(

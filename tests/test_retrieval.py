@@ -113,3 +113,23 @@ def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
     question, doc, _ = cell.best(4)
     assert 3 * sum(scored) < int((cell.bounds() > 0).sum())
     assert sorted(np.asarray(cell.hits.field(0))[cell.shown[doc]].tolist()) == [0, 1, 2, 3]
+
+
+def test_questions_and_vectors_meet_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "CELL_BYTES", 4 * 8 * 7)
+    monkeypatch.setattr(R, "HELD_DISTANCES", 14)
+    rng = np.random.default_rng(8)
+    c, q = rng.standard_normal((60, 4)), rng.standard_normal((40, 4))
+    corpus = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(c)], "vec_id long, version_id long, vector array<double>")
+    asks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "question_id long, vector array<double>")
+    scope = spark.createDataFrame([(i, i % 2) for i in range(40)], "question_id long, version_id long")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    dist = 1 - unit(q) @ unit(c).T
+    # no question vector goes to the driver
+    monkeypatch.setattr(type(asks), "toLocalIterator", lambda *_: pytest.fail("vectors sent to the driver"))
+    for s in (None, scope):
+        found = {}
+        for r in R.vector_topk(asks, corpus, 3, s).orderBy("question_id", "rank").collect():
+            found.setdefault(r.question_id, []).append(r.vec_id)
+        for i in range(40):
+            assert found[i] == sorted((j for j in range(60) if s is None or j % 2 == i % 2), key=lambda j: dist[i, j])[:3]
