@@ -200,3 +200,12 @@ def test_json_object(spark):
     df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", M.json_object(F.col("t")).alias("j"))
     got = {r.t: None if r.j is None else json.loads(r.j) for r in df.collect()}
     assert got == {cases[0]: {"a": 1}, cases[1]: {"a": 1}, cases[2]: {"a": 1}, cases[3]: {"a": {"b": "http://x"}}, cases[4]: None, None: None}
+
+
+def test_tags_written_in_any_way_read_alike():
+    from palimpsest.sources.pages import _flatten
+
+    plain = '<html><head><style>p{}</style></head><body><div id="cit_1"><p class="ti-art">Articolul 1 &amp; 2</p><p>unu<br>doi</p><p>trei</div><textarea><p>x</p></textarea></body></html>'
+    other = plain.replace("<p>", "<P >").replace('<p class="ti-art">', "<p  CLASS='ti-art'>").replace("</p>", "</p >").replace('id="cit_1"', "id=cit_1")
+    assert _flatten(plain) == _flatten(other)
+    assert [(r[3], r[8]) for r in _flatten(plain) if r[3] == "p"][:3] == [("p", "Articolul 1 & 2"), ("p", "unu doi"), ("p", "trei")]
