@@ -46,6 +46,8 @@ def query_terms(q: DataFrame, expansions: dict[str, list[str]] = EXPANSIONS) ->
 BLOCK_DOCS, CELL_BLOCKS, CELL_QUESTIONS = 16, 64, 1024
 # Blocks per question that are scored before any is skipped.
 SEED_BLOCKS = 2
+# Pairs of a hit and a question's term that one task sums.
+TASK_PAIRS = 500_000
 # Vocabularies up to this size are sent to the tasks; larger ones are joined.
 SENT_TERMS = 100_000
 
@@ -183,12 +185,17 @@ def bm25_scores(
     so Spark's own size check decides whether they are broadcast.
     """
     rows, ask, _ = _asked(q, corpus, expansions, postings)
+    ask = written(ask, "ask")
     placed = rows.where("term IS NOT NULL").select("doc_type", "block", "term", F.explode("hits").alias("_h")).select("*", "_h.*").drop("_h")
-    placed = placed.repartition("doc_type", "block")
+    # as many tasks as keep the pairs of one of them, and the memory they are summed in, within bounds
+    asks = ask.groupBy("doc_type", "term").agg(F.count(F.lit(1)).alias("_asks"))
+    pairs = rows.where("term IS NOT NULL").groupBy("doc_type", "term").agg(F.sum("n").alias("_n")).join(asks, ["doc_type", "term"])
+    pairs = pairs.agg(F.coalesce(F.sum(F.col("_n") * F.col("_asks")), F.lit(0))).first()[0]
+    placed = placed.repartition(int(min(100_000, max(q.sparkSession.sparkContext.defaultParallelism, pairs // TASK_PAIRS))), "doc_type", "block")
     if scope is not None:
         scope = written(scope.select("question_id", "version_id").distinct(), "scope")
         placed = placed.join(scope.select("version_id").distinct(), "version_id", "left_semi")
-    matches = placed.join(written(ask, "ask"), ["doc_type", "term"])
+    matches = placed.join(ask, ["doc_type", "term"])
     if scope is not None:
         matches = matches.join(scope, ["question_id", "version_id"], "left_semi")
     keys = ["doc_type", "block", "doc_id", "version_id", "question_id"]

@@ -133,3 +133,13 @@ def test_questions_and_vectors_meet_in_bounded_blocks(spark, monkeypatch):
             found.setdefault(r.question_id, []).append(r.vec_id)
         for i in range(40):
             assert found[i] == sorted((j for j in range(60) if s is None or j % 2 == i % 2), key=lambda j: dist[i, j])[:3]
+
+
+def test_pairs_to_sum_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_PAIRS", 100, raising=False)
+    corpus = spark.range(2000).select(F.lit("article").alias("doc_type"), F.col("id").alias("doc_id"), (F.col("id") % 4).alias("version_id"), F.lit("termen comun").alias("text"))
+    q = spark.createDataFrame([(1, "termen"), (2, "comun")], "question_id long, text string")
+    found = R.bm25_scores(q, corpus)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 4000 and found.select("score").distinct().count() == 1
+    assert found.rdd.getNumPartitions() >= 40
