@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import ids as I
 from palimpsest.functions import segments as G
 from palimpsest.functions import text as X
+from palimpsest.operators.core import spread
 from palimpsest.plans import standins as S
 from palimpsest.plans.registry import REGISTRY
 
@@ -48,7 +49,7 @@ _NOTE = f"'(la ' || {_DAY} || ', Articolul ' || o_custkey || ' a fost modificat;
 ]) + " AS cleaned FROM orders")
 def strip_annotations(spark, d):
     """X3 over notes of every kind."""
-    o = S.load(spark, d, "orders")
+    o = spread(S.load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
     day = F.date_format("o_orderdate", "dd-MM-yyyy")
     text = lambda c: F.col(c).cast("string")
     note = F.concat(F.lit("(la "), day, F.lit(", Articolul "), text("o_custkey"), F.lit(" a fost modificat; MONITORUL OFICIAL nr. "), text("o_orderkey"), F.lit(" din 2020)"))

@@ -209,3 +209,9 @@ def test_tags_written_in_any_way_read_alike():
     other = plain.replace("<p>", "<P >").replace('<p class="ti-art">', "<p  CLASS='ti-art'>").replace("</p>", "</p >").replace('id="cit_1"', "id=cit_1")
     assert _flatten(plain) == _flatten(other)
     assert [(r[3], r[8]) for r in _flatten(plain) if r[3] == "p"][:3] == [("p", "Articolul 1 & 2"), ("p", "unu doi"), ("p", "trei")]
+
+
+def test_annotations_look_for_each_end_once(spark):
+    df = spark.createDataFrame([("x",)], "t string").select(X.strip_annotations(F.concat("t", F.lit("mark"))).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MONITORUL") == 1 and plan.count("mark") == 1
