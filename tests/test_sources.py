@@ -215,3 +215,36 @@ def test_annotations_look_for_each_end_once(spark):
     df = spark.createDataFrame([("x",)], "t string").select(X.strip_annotations(F.concat("t", F.lit("mark"))).alias("c"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MONITORUL") == 1 and plan.count("mark") == 1
+
+
+def _document(version, *articles):
+    note = {"note_id": "n", "text": "nou"}
+    return (version, [{"book_id": "b", "articles": ["2", "1", "2"]}], [{"article_id": k, "label": k, "full_text": t, "notes": [note], "paragraphs": [{"label": "", "text": t}]} for k, t in articles], [])
+
+
+def _shredded(spark, rows):
+    from palimpsest.sources import documents as P
+
+    lines = [json.dumps(dict(zip(("version_id", "books", "articles", "annexes"), r))) for r in rows]
+    schema = f"version_id long, books {P.BOOKS}, articles {P.ARTICLES}, annexes {P.ANNEXES}"
+    return P.shred_documents(spark.createDataFrame([(x,) for x in lines], "j string").select(F.from_json("j", schema).alias("d")).select("d.*"))
+
+
+def test_shredding_keeps_one_body_of_a_repeated_article(spark):
+    rows = [_document(1, ("1", "a"), ("2", "b"), ("1", "c"), ("3", "d"), ("3", "e")), _document(None, ("1", "f")), (2, None, None, None)]
+    found = _shredded(spark, rows)["articles"].select("version_id", "article_number", "full_text", "order_index", F.col("element_id").isNotNull().alias("listed")).collect()
+    # listed: the last body at its place in the list; not listed: the first body at its own place
+    assert {tuple(r) for r in found} == {(1, "1", "c", 1, True), (1, "2", "b", 0, True), (1, "3", "d", 3, False), (None, "1", "f", 0, False)}
+
+
+def test_shredding_stores_less_than_the_texts(spark):
+    from pathlib import Path
+
+    from palimpsest.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    text = "Prevederile acestui articol se aplica. " * 50
+    before = size()
+    _shredded(spark, [_document(k, ("1", text), ("2", text), ("3", text)) for k in range(300)])
+    assert size() - before < 300 * 3 * len(text)
