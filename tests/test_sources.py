@@ -248,3 +248,16 @@ def test_shredding_stores_less_than_the_texts(spark):
     before = size()
     _shredded(spark, [_document(k, ("1", text), ("2", text), ("3", text)) for k in range(300)])
     assert size() - before < 300 * 3 * len(text)
+
+
+def test_backfill_gathers_the_lines_once(spark, tmp_path):
+    from palimpsest.plans.documents import backfill_report
+
+    # two lines of one number, a line with a clean article, one with a label that is not stored
+    lines = [(1, 1, 12, "N"), (1, 1, 13, "N"), (1, 2, 14, "A"), (2, 1, 22, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    report = backfill_report(spark, str(tmp_path))
+    assert not [f for f in report.inputFiles() if "lineitem" in f]
+    assert {r.what: r.n for r in report.collect()} == {
+        "paragraph_notes_to_insert": 1, "article_notes_to_insert": 1, "article_text_clean": 1, "paragraph_text_clean": 1, "unknown_labels": 2,
+    }
