@@ -261,3 +261,30 @@ def test_backfill_gathers_the_lines_once(spark, tmp_path):
     assert {r.what: r.n for r in report.collect()} == {
         "paragraph_notes_to_insert": 1, "article_notes_to_insert": 1, "article_text_clean": 1, "paragraph_text_clean": 1, "unknown_labels": 2,
     }
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    pieces = ["<p>", "</p>", '<p class="a b">', "<td>", "</td>", '<div id="cit_1">', "</div>", " x ", "&amp;", "&lt", "<br/>", '<hr class="z"/>', "<style>p{}</style>", "<style>", "q<r", "<!-- c -->", "<title>", '<b x="1"/>', "<A>", "&copy"]
+    pages, plain = ["".join(pieces[(i * k + i // 7) % len(pieces)] for k in range(1, 8)) for i in range(2000)], 0
+    for page in pages:
+        rows = P._plain(page)
+        plain += rows is not None
+        assert P._flatten(page) == P._parsed(page), page
+    assert 200 < plain < 2000
+
+
+def test_parts_of_pages_are_worked_out_when_asked_for(spark, monkeypatch):
+    from palimpsest.sources import structured as S
+
+    names, keep = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, name: names.append(name) or keep(df, name))
+    html = (
+        '<div class="eli-container"><div id="enc_1"><div id="tis_I"><div class="eli-title"><p class="oj-ti-section-2">T</p></div><div id="art_1"><div id="001.001">'
+        '<p class="oj-normal">(1) x</p><table><tr><td>(a)</td><td><p class="oj-normal">y</p></td></tr></table></div></div></div></div></div>'
+    )
+    parts = P.parse_pages(P.page_elements(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    assert [(r.level, r.number, r.title) for r in parts["structure"].collect()] == [("title", "I", "T")]
+    assert "subclauses" not in names
+    assert [(r.label, r.text) for r in parts["subclauses"].collect()] == [("(a)", "(a) y")]
+    assert [(r.label, r.text) for r in parts["paragraphs"].collect()] == [("(1)", "(1) x")]
+    assert names.count("subclauses") == 1
