@@ -288,3 +288,20 @@ def test_parts_of_pages_are_worked_out_when_asked_for(spark, monkeypatch):
     assert [(r.label, r.text) for r in parts["subclauses"].collect()] == [("(a)", "(a) y")]
     assert [(r.label, r.text) for r in parts["paragraphs"].collect()] == [("(1)", "(1) x")]
     assert names.count("subclauses") == 1
+
+
+def test_shredding_writes_only_what_a_part_needs(spark, monkeypatch):
+    from palimpsest.sources import documents as P
+
+    names, keep = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: names.append(name) or keep(df, name))
+    rows = [_document(1, ("1", "a"), ("2", "b"), ("1", "c"), ("3", "d"))[:3] + ([{"annex_id": "x", "title": "t", "text": "b", "notes": [{"text": "n"}]}, None],), (2, None, None, None)]
+    assert [tuple(r) for r in _shredded(spark, rows)["annexes"].select("version_id", "source_id", "title", "full_text").collect()] == [(1, "x", "t", "b\n[Modificare: n]")]
+    assert names == []
+    alone = _shredded(spark, rows)
+    assert alone["elements"].count() == 1 and "articles" not in names and "documents" not in names
+    said = ["article_id", "paragraph_id", "note_source_id", "text"]
+    notes = sorted(map(tuple, alone["notes"].select(said).collect()))
+    assert "articles" not in names and [r[2:] for r in notes] == [("n", "nou")] * 3
+    whole = _shredded(spark, rows)
+    assert whole["articles"].count() == 3 and sorted(map(tuple, whole["notes"].select(said).collect())) == notes
