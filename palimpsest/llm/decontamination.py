@@ -2,7 +2,7 @@
 
 Test phrases (all runs of ``window`` words of an item; a shorter item as a whole) are sent to the
 tasks in blocks of a fixed size. A task gathers its documents into shards of about ``SHARD_WORDS``
-words. Per shard and block it numbers the words that the block knows, keeps the runs of known words
+words, kept as the numbers of the words that the block knows. Per shard and block it keeps the runs of known words
 long enough to hold a phrase (no phrase can cross an unknown word), and builds an FM-index over them:
 suffix array, Burrows-Wheeler transform in a wavelet matrix, and every sixteenth suffix position. All
 phrases are searched backwards at once; the rows found are walked back to sampled positions, and the
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.llm.common import SLICE_BYTES, slices, utf8
+from palimpsest.llm.common import SLICE_BYTES, release, slices, utf8
 
 WINDOW = 10
 #: Words of a shard, phrases of a block: bounds of a task's memory, without influence on the result.
@@ -187,15 +187,20 @@ class FmIndex:
         return out
 
 
-def find(texts: list[list[bytes]], block: tuple) -> tuple[list[np.ndarray], list[set]]:
-    """Per document: merged spans of hit words as rows ``(start, end)``, and its items."""
+def numbered(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """A text's words as their numbers, 0 for unknown ones; the words themselves are not kept."""
+    known = vocabulary.get
+    return np.array([known(w, 0) for w in words_of(text)], np.int32)
+
+
+def find(texts: list[np.ndarray], block: tuple) -> tuple[list[np.ndarray], list[set]]:
+    """Per document of numbered words: merged spans of hit words as rows ``(start, end)``, and its items."""
     vocabulary, phrases, lengths, holders = block
     spans, items = [np.zeros((0, 2), np.int64) for _ in texts], [set() for _ in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
     if not lengths.size or not sizes.sum():
         return spans, items
-    known = vocabulary.get
-    ids = np.fromiter((known(w, 0) for t in texts for w in t), np.int64, int(sizes.sum()))
+    ids = np.concatenate(texts)
     ends = np.cumsum(sizes)
     # runs of known words, cut at unknown ones and at the ends of documents
     begin = ids > 0
@@ -217,6 +222,7 @@ def find(texts: list[list[bytes]], block: tuple) -> tuple[list[np.ndarray], list
     inside = np.arange(width.sum()) - np.repeat(heads, width)
     place = np.repeat(starts, width) + inside
     stop = inside == np.repeat(width - 1, width)
+    del inside
     text = np.where(stop, 0, ids[np.minimum(place, ids.size - 1)])
     # the shard's own numbers for the words that it has
     words = np.unique(text)
@@ -311,10 +317,12 @@ def _scan(
     item_type = benchmark.schema[item_col].dataType
     arrow_items, place = pa.list_(to_arrow_type(item_type)), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
-    def search(held: list[pa.RecordBatch], words: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def search(held: list[pa.RecordBatch], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         spans, items = [np.zeros((0, 2), np.int64)] * len(words), [set() for _ in words]
-        for block in blocks:
-            found, of = find(words, block.value)
+        for n, block in enumerate(blocks):
+            # each block numbers the words in its own way
+            mine = words if n == 0 else [numbered(t, block.value[0]) for batch in held for t in utf8(batch.column("_text"))]
+            found, of = find(mine, block.value)
             spans = [merge(np.concatenate((a, b))) if len(a) and len(b) else a if len(a) else b for a, b in zip(spans, found)]
             items = [a | b for a, b in zip(items, of)]
             if len(blocks) > 1:
@@ -336,11 +344,12 @@ def _scan(
         for batch in slices(batches, "_text", min(SLICE_BYTES, 8 * shard_words)):
             held.append(batch)
             for text in utf8(batch.column("_text")):
-                words.append(words_of(text))
+                words.append(numbered(text, blocks[0].value[0]))
                 total += len(words[-1])
             if total >= shard_words:
                 yield from search(held, words)
                 held, words, total = [], [], 0
+                release()
         if held:
             yield from search(held, words)
 

@@ -118,3 +118,13 @@ def test_known_words_without_a_phrase(spark):
     docs, items = [(1, "c b a c b a"), (2, "a")], [(1, "a b c"), (2, "b a b")]
     got = D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=3)
     assert order(rows(got)) == order(brute(docs, items, 3)) and all(r[2] == 0 for r in rows(got))
+
+
+def test_words_are_held_as_numbers():
+    text = ("known other known " * 1000).encode()
+    ids = D.numbered(text, {b"known": 1})
+    assert ids.tolist() == [1, 0, 1] * 1000 and ids.nbytes == 4 * 3000
+    block = D.Phrases()
+    block.add(7, [b"known", b"known"], 10)
+    spans, items = D.find([D.numbered(b"", {b"known": 1}), ids], block.packed())
+    assert len(spans[0]) == 0 and items == [set(), {7}] and spans[1].tolist() == [[i, i + 2] for i in range(2, 2997, 3)]
