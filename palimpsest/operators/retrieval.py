@@ -46,12 +46,26 @@ def query_terms(q: DataFrame, expansions: dict[str, list[str]] = EXPANSIONS) ->
 BLOCK_DOCS, CELL_BLOCKS, CELL_QUESTIONS = 16, 64, 1024
 # Blocks per question that are scored before any is skipped.
 SEED_BLOCKS = 2
+# Shares of scores that a cell unfolds at a time, and hits of a cell that scores whole versions.
+HELD_SHARES, CELL_HITS = 1_000_000, 500_000
+# Words that are indexed at a time (a text is never cut).
+HELD_WORDS = 1_000_000
 # Pairs of a hit and a question's term that one task sums.
 TASK_PAIRS = 500_000
 # Vocabularies up to this size are sent to the tasks; larger ones are joined.
 SENT_TERMS = 100_000
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``HELD_WORDS`` words, or of one text."""
+    for batch in batches:
+        ends, at = batch.column("_t").offsets.to_numpy(), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + HELD_WORDS, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def build_postings(corpus: DataFrame, vocabulary: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The impact index: a row per block of documents and term with the block's hits, the most often
     the term occurs in one of them and the least length. Store it once for many searches.
@@ -82,9 +96,7 @@ def build_postings(corpus: DataFrame, vocabulary: DataFrame | None = None, block
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 32
         asked = pa.array(sent.value, pa.string()) if sent is not None else None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             kinds = batch.column("doc_type").dictionary_encode()
             kind = kinds.indices.fill_null(len(kinds.dictionary)).to_numpy()
             found = batch.column("_t")
@@ -225,11 +237,12 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class _Cell:
-    """Index rows of one kind and some blocks, and the terms of some questions."""
+    """Index rows of one kind and some blocks, and the terms of some questions. Rows of one document in
+    several blocks are one document, or one in each of them (``apart``)."""
 
-    def __init__(self, rows: pa.Table, ask: pa.Table, versions: pa.Table | None) -> None:
+    def __init__(self, rows: pa.Table, ask: pa.Table, versions: pa.Table | None, apart: bool = False) -> None:
         self.rows, self.ask = rows, ask
-        code = lambda c: (e := c.combine_chunks().dictionary_encode(), np.asarray(e.indices))
+        code = lambda c: (e := c.combine_chunks().dictionary_encode("encode"), np.asarray(e.indices))
         _, term = code(pa.chunked_array([*rows.column("term").chunks, *ask.column("term").chunks]))
         self.row_term, ask_term = term[: rows.num_rows], term[rows.num_rows :]
         self.questions, question = code(ask.column("question_id"))
@@ -249,8 +262,8 @@ class _Cell:
         hits = rows.column("hits").combine_chunks()
         self.hits = hits.flatten()
         self.hit_row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(hits.offsets)))
-        key = pa.table({"d": self.hits.field(0), "v": self.hits.field(1)}).to_pandas()
-        self.doc = key.groupby(["d", "v"], sort=True, dropna=False).ngroup().to_numpy()
+        key = pa.table({"d": self.hits.field(0), "v": self.hits.field(1), "b": self.row_block[self.hit_row]}).to_pandas()
+        self.doc = key.groupby(["d", "v", "b"] if apart else ["d", "v"], sort=True, dropna=False).ngroup().to_numpy()
         self.n_docs = int(self.doc.max(initial=-1)) + 1
         self.shown = np.zeros(self.n_docs, np.int64)
         self.shown[self.doc] = np.arange(self.doc.size)
@@ -293,14 +306,28 @@ class _Cell:
         doc_block = np.zeros(self.n_docs, np.int64)
         doc_block[self.doc] = self.row_block[self.hit_row]
         phrase, doc = key // self.n_docs, key % self.n_docs
+        self.block_docs = int(np.bincount(doc_block, minlength=1).max())
         place = doc_block[doc] * self.width + phrase
         order = np.argsort(place, kind="stable")
         self.place, self.entry_doc, self.share = place[order], doc[order], self.share[order]
         self.by_question = np.argsort(self.asked_by, kind="stable")
 
     def score(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Questions, documents and scores of the chosen (question, block)."""
+        """Questions, documents and scores of the chosen (question, block), some of them at a time."""
         question, block = np.nonzero(chosen)
+        n_asks = np.bincount(self.asked_by, minlength=len(chosen))[question]
+        # a block's shares bound what it unfolds for a question, as does each phrase with its documents
+        held = np.bincount(self.place // self.width, minlength=self.blocks.size)[block]
+        cost = np.cumsum(np.maximum(1, np.minimum(held, n_asks * np.int64(self.block_docs))))
+        found, at = [], 0
+        while at < question.size:
+            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + HELD_SHARES, "right")))
+            found.append(self._score(question[at:end], block[at:end]))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _score(self, question: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for a list of (question, block)."""
         pair, at = _join(question, self.asked_by[self.by_question])
         ask = self.by_question[at]
         met, entry = _join(block[pair] * self.width + self.asks[ask], self.place)

@@ -1,6 +1,7 @@
 """Order of hits, keys by kind and number, blocks of questions; rules of paging and annotations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,29 @@ def test_pairs_to_sum_are_dealt_by_their_number(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 4000 and found.select("score").distinct().count() == 1
     assert found.rdd.getNumPartitions() >= 40
+
+
+def test_texts_are_indexed_in_pieces_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(R, "HELD_WORDS", 10)
+    texts = [["a"] * 4, ["b"] * 6, [], ["c"] * 25, ["d"] * 3, ["e"] * 7, ["f"]]
+    batch = pa.record_batch({"_t": pa.array([["x"], *texts]), "doc_id": pa.array(range(8))}).slice(1)
+    pieces = [p.column("_t").to_pylist() for p in R._pieces([batch, batch.slice(0, 0)])]
+    assert pieces == [texts[:3], texts[3:4], texts[4:6], texts[6:]]
+
+
+def test_shares_unfolded_in_slices_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"cuvant{'abcdefgh'[i]}" for i in range(8)]
+    texts = [" ".join(rng.choice(words, 1 + i % 9)) for i in range(120)]
+    corpus = spark.createDataFrame([("article", i, i % 3, t) for i, t in enumerate(texts)], "doc_type string, doc_id long, version_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words, 3))) for i in range(20)], "question_id long, text string")
+    scope = spark.createDataFrame([(i, v) for i in range(20) for v in (i % 3, (i + 1) % 3)], "question_id long, version_id long")
+    take = lambda: sorted(map(tuple, R.bm25_topk(q, corpus, 4, version_filter=scope).collect()))
+    want, sizes, inner = take(), [], R._Cell._score
+    monkeypatch.setattr(R, "HELD_SHARES", 40)
+    assert take() == want and len(want) == 80
+    # in this process too, to see the slices
+    rows, ask, _ = R._asked(q, corpus, {}, None)
+    monkeypatch.setattr(R._Cell, "_score", lambda self, *pairs: sizes.append(pairs[0].size) or inner(self, *pairs))
+    R._Cell(rows.where("term IS NOT NULL").toArrow(), ask.toArrow(), None).best(4)
+    assert len(sizes) > 20 and max(sizes) <= 40
