@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -299,6 +299,9 @@ class _Cell:
         order = np.argsort(self.row_term[self.hit_row], kind="stable")
         part, at = _join(self.part_term, self.row_term[self.hit_row][order])
         hit = order[at]
+        if self.allowed is not None:
+            open_ = self.allowed.any(axis=0)[self.doc_version[self.doc[hit]]]
+            part, hit = part[open_], hit[open_]
         tf, length = (np.asarray(self.hits.field(c), float)[hit] for c in (3, 2))
         key, share, count = _sums(self.part_phrase[part] * self.n_docs + self.doc[hit], self._parts(part, tf, length))
         whole = count == self.size[key // self.n_docs]
@@ -318,7 +321,7 @@ class _Cell:
         n_asks = np.bincount(self.asked_by, minlength=len(chosen))[question]
         # a block's shares bound what it unfolds for a question, as does each phrase with its documents
         held = np.bincount(self.place // self.width, minlength=self.blocks.size)[block]
-        cost = np.cumsum(np.maximum(1, np.minimum(held, n_asks * np.int64(self.block_docs))))
+        cost = np.cumsum(n_asks + np.minimum(held, n_asks * np.int64(self.block_docs)))
         found, at = [], 0
         while at < question.size:
             end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + HELD_SHARES, "right")))
@@ -361,6 +364,18 @@ class _Cell:
             done, step = done + step, step * 2
         return found
 
+    def best_by_version(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` best documents of each question and version."""
+        chosen = self.bounds() > 0
+        self.entries()
+        question, doc, score = self.score(chosen)
+        group = question * self.allowed.shape[1] + self.doc_version[doc]
+        by = np.lexsort((doc, -score, group))
+        group = group[by]
+        new = np.append(True, group[1:] != group[:-1]) if group.size else np.zeros(0, bool)
+        by = by[np.arange(new.size) - np.maximum.accumulate(np.where(new, np.arange(new.size), 0)) < k]
+        return question[by], doc[by], score[by]
+
 
 def bm25_topk(
     q: DataFrame,
@@ -378,20 +393,62 @@ def bm25_topk(
     """
     rows, ask, terms = _asked(q, corpus, expansions, postings)
     across = max(1, -(-rows.where("term IS NULL").count() // CELL_BLOCKS))
+    index, asked = _grid(rows, ask, terms, corpus, across, version_filter)
+    found = _meet(index, asked, q, corpus, lambda cell: cell.best(k), version_filter is not None)
+    ranked = top_k(found, ["question_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], k)
+    return ranked.withColumn("bm25_rank", -F.col("score"))
+
+
+def bm25_candidates(
+    q: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    scope: DataFrame,
+    expansions: dict[str, list[str]] = EXPANSIONS,
+    postings: DataFrame | None = None,
+) -> DataFrame:
+    """(question_id, doc_type, doc_id, version_id, score): per kind the best ``k`` documents of each question
+    and version of ``scope`` (question_id, version_id) are among them.
+
+    Index and questions meet in cells as in ``bm25_topk``. A cell holds a bounded number of hits, scores every
+    document of the versions asked for and gives away the best only, so that no other pair leaves it.
+    """
+    rows, ask, terms = _asked(q, corpus, expansions, postings)
+    size = rows.agg(F.count_if(F.col("term").isNull()).alias("blocks"), F.sum(F.when(F.col("term").isNotNull(), F.col("n"))).alias("hits")).first()
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    across = max(1, min(size.blocks, max(cores, -(-(size.hits or 0) // CELL_HITS))))
+    index, asked = _grid(rows, ask, terms, corpus, across, scope)
+    tasks = int(min(100_000, max(cores, 2 * across)))
+    index, asked = (df.repartition(tasks, *CELL) for df in (index, asked))
+    return _meet(index, asked, q, corpus, lambda cell: cell.best_by_version(k), True, apart=True)
+
+
+CELL = ["doc_type", "_x", "_y"]
+
+
+def _grid(rows: DataFrame, ask: DataFrame, terms: DataFrame, corpus: DataFrame, across: int, scope: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Index rows and question terms of each cell: ``across`` parts of the blocks, parts of ``CELL_QUESTIONS``."""
     down = max(1, -(-terms.select("question_id").distinct().count() // CELL_QUESTIONS))
     here = F.pmod(F.xxhash64("block"), F.lit(across)).cast("int").alias("_x")
     there = F.pmod(F.xxhash64("question_id"), F.lit(down)).cast("int").alias("_y")
     cells, lines = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (across, down))
     version = corpus.schema["version_id"].dataType.simpleString()
     asked = ask.withColumn("version_id", F.lit(None).cast(version))
-    if version_filter is not None:
+    if scope is not None:
         # a question's versions come as rows without a term, for both kinds
         kinds = ask.select("question_id", "doc_type").distinct()
-        scope = version_filter.select("question_id", "version_id").distinct().join(kinds, "question_id")
-        asked = asked.unionByName(scope, allowMissingColumns=True)
-    asked, scoped = written(asked, "ask"), version_filter is not None
-    schema = T.StructType([q.schema["question_id"], *(corpus.schema[c] for c in ("doc_type", "doc_id", "version_id")), T.StructField("score", T.DoubleType())])
+        scope = scope.select("question_id", F.col("version_id").cast(version).alias("version_id")).where("version_id IS NOT NULL").distinct()
+        asked = asked.unionByName(scope.join(kinds, "question_id"), allowMissingColumns=True)
+    asked = written(asked, "ask")
+    index = rows.where("term IS NOT NULL").select("doc_type", "block", "term", "max_tf", "min_len", "hits", here, lines.alias("_y"))
+    return index, asked.select("*", there, cells.alias("_x"))
+
 
+def _meet(
+    index: DataFrame, asked: DataFrame, q: DataFrame, corpus: DataFrame, best: Callable[[_Cell], tuple[np.ndarray, np.ndarray, np.ndarray]], scoped: bool, apart: bool = False
+) -> DataFrame:
+    """What ``best`` finds in each cell."""
+    schema = T.StructType([q.schema["question_id"], *(corpus.schema[c] for c in ("doc_type", "doc_id", "version_id")), T.StructField("score", T.DoubleType())])
     empty = to_arrow_schema(schema).empty_table()
 
     def search(index: pa.Table, questions: pa.Table) -> pa.Table:
@@ -399,17 +456,13 @@ def bm25_topk(
         versions = questions.filter(pc.is_null(questions.column("term"))) if scoped else None
         if not index.num_rows or not wanted.num_rows:
             return empty
-        cell = _Cell(index, wanted, versions)
-        question, doc, score = cell.best(k)
+        cell = _Cell(index, wanted, versions, apart)
+        question, doc, score = best(cell)
         at = pa.array(cell.shown[doc])
         kind = index.column("doc_type").combine_chunks().take(pa.array(np.zeros(doc.size, np.int64)))
         return pa.table([cell.questions.dictionary.take(pa.array(question)), kind, cell.hits.field(0).take(at), cell.hits.field(1).take(at), pa.array(score)], names=schema.names)
 
-    cell = ["doc_type", "_x", "_y"]
-    index = rows.where("term IS NOT NULL").select("doc_type", "block", "term", "max_tf", "min_len", "hits", here, lines.alias("_y"))
-    found = index.groupBy(*cell).cogroup(asked.select("*", there, cells.alias("_x")).groupBy(*cell)).applyInArrow(search, schema)
-    ranked = top_k(found, ["question_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], k)
-    return ranked.withColumn("bm25_rank", -F.col("score"))
+    return index.groupBy(*CELL).cogroup(asked.groupBy(*CELL)).applyInArrow(search, schema)
 
 
 # --- vectors ---------------------------------------------------------------------------------
@@ -550,7 +603,7 @@ def hybrid_retrieve(
     group = ["question_id", "tier", "law_id"]
     versions = scope.select("question_id", "version_id").distinct()
 
-    lexical = bm25_scores(q, corpus, scope=versions).join(plan, ["question_id", "version_id"])
+    lexical = bm25_candidates(q, corpus, ceiling, versions).join(plan, ["question_id", "version_id"])
     lexical = top_k_by(lexical, [*group, "doc_type"], [F.desc("score"), F.asc("doc_id")], F.col("budget"), ceiling).select(
         *group, "law_order", "doc_type", "doc_id", "version_id", "rank",
         F.when(F.col("doc_type") == "article", 0).otherwise(1).alias("_src"),

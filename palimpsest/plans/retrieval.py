@@ -10,6 +10,7 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators.core import first_seen, top_k
 from palimpsest.plans import standins as S
 from palimpsest.plans.registry import REGISTRY
+from palimpsest.session import written
 
 add = REGISTRY.add
 
@@ -180,7 +181,7 @@ def hybrid_duplicates(spark, d):
     q = S.questions(spark, d)
     scope = law_scope(spark, d)
     plan = R.law_budgets(scope, R.FULL_BUDGETS)
-    lex = R.bm25_scores(q, S.corpus(spark, d), scope=scope).join(plan, ["question_id", "version_id"])
+    lex = R.bm25_candidates(q, S.corpus(spark, d), 30, scope).join(plan, ["question_id", "version_id"])
     lex = R.top_k_by(lex, ["question_id", "tier", "law_id", "doc_type"], [F.desc("score"), F.asc("doc_id")], F.col("budget"), 30)
     sem = R.vector_candidates(question_vectors(spark, d), S.doc_vectors(spark, d), 30, scope).join(plan, ["question_id", "version_id"])
     sem = R.top_k_by(sem, ["question_id", "tier", "law_id"], [F.asc("distance"), F.asc("vec_id"), F.asc("doc_type")], F.col("budget"), 30)
@@ -233,7 +234,8 @@ def reranked(spark, d):
         .select("doc_id", F.col("quality").cast("double").alias("model_score"))
         .join(S.corpus(spark, d).select("doc_type", "doc_id"), "doc_id")
     )
-    hits = _hybrid(spark, d).withColumn("k", R.dynamic_k(F.col("question_id") % 4))
+    # read twice below, so the hits are found and written once
+    hits = written(_hybrid(spark, d).withColumn("k", R.dynamic_k(F.col("question_id") % 4)), "hits")
     asked = hits.select("question_id", "doc_type", "doc_id").join(scores, ["doc_type", "doc_id"])
     return R.rerank(hits, asked, F.col("k"))
 

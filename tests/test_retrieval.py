@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators import logs as L
 from palimpsest.operators import retrieval as R
+from palimpsest.operators.core import top_k
+from palimpsest.plans import retrieval as P
 
 
 def test_more_hits_of_a_common_term_rank_first(spark):
@@ -170,3 +172,34 @@ def test_shares_unfolded_in_slices_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(R._Cell, "_score", lambda self, *pairs: sizes.append(pairs[0].size) or inner(self, *pairs))
     R._Cell(rows.where("term IS NOT NULL").toArrow(), ask.toArrow(), None).best(4)
     assert len(sizes) > 20 and max(sizes) <= 40
+
+
+def test_candidates_leave_their_cell_as_the_best_of_each_version(spark):
+    rng = np.random.default_rng(4)
+    words = [f"cuvant{'abcdefgh'[i]}" for i in range(8)]
+    rows = [("article" if i % 3 else "annex", i, i % 5 if i % 7 else None, " ".join(rng.choice(words, 1 + i % 9))) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "doc_type string, doc_id long, version_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choice(words, 3))) for i in range(12)], "question_id long, text string")
+    scope = spark.createDataFrame([(i, v) for i in range(12) for v in (i % 5, (i + 1) % 5, None)], "question_id long, version_id long")
+    best = lambda df: sorted(map(tuple, top_k(df, ["question_id", "doc_type", "version_id"], [F.desc("score"), F.asc("doc_id")], 3).select("question_id", "doc_type", "doc_id", "version_id", "score").collect()))
+    want = best(R.bm25_scores(q, corpus, scope=scope))
+    found = R.bm25_candidates(q, corpus, 3, scope)
+    assert best(found) == want and len(want) > 100
+    # at most three rows a question, version and kind leave a cell
+    cells = spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in found.groupBy("question_id", "doc_type", "version_id").count().collect()) <= 3 * cells
+
+
+def test_reranked_hits_are_found_once(spark, tmp_path):
+    docs = [(i, "impozit pe venit " * (1 + i % 3), "en" if i % 2 else "ro") for i in range(60)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string"),
+        "benchmark": spark.createDataFrame([(0, "impozit"), (1, "venit")], "item_id long, text string"),
+        "embeddings": spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(60)], "vec_id long, embedding array<float>, label int"),
+        "labels": spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = P.reranked(spark, str(tmp_path))
+    assert "CoGroup" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("rank = 1").count() == 2
