@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import modeltext as M
@@ -305,3 +306,27 @@ def test_shredding_writes_only_what_a_part_needs(spark, monkeypatch):
     assert "articles" not in names and [r[2:] for r in notes] == [("n", "nou")] * 3
     whole = _shredded(spark, rows)
     assert whole["articles"].count() == 3 and sorted(map(tuple, whole["notes"].select(said).collect())) == notes
+
+
+def _unreadable(spark):
+    good = '<p class="ti-art">Articolul 1</p><p class="normal">(1) x</p><p class="title-annex-1">ANEXA I</p><p>corp</p>'
+    return spark.createDataFrame([(1, good), (7, "<![foo[x]]>"), (8, None)], "page_id long, html string")
+
+
+def test_an_unreadable_page_is_no_page_without_parts(spark):
+    with pytest.raises(Exception, match="page 7 cannot be read"):
+        P.page_annexes(P.page_elements(_unreadable(spark))).collect()
+    with pytest.raises(P.UnreadablePage):
+        P._flatten("<![foo[x]]>")
+    some = P.page_elements(_unreadable(spark), skip_unreadable=True)
+    assert [r.text for r in P.page_annexes(some).collect()] == ["corp"]
+    assert {r.page_id for r in P.broken_pages(_unreadable(spark), some).collect()} == {7, 8}
+
+
+def test_only_the_parsers_refusal_is_skipped(spark, monkeypatch):
+    def out_of_memory(html):
+        raise MemoryError("no more")
+
+    monkeypatch.setattr(P, "_flatten", out_of_memory)
+    with pytest.raises(Exception, match="no more"):
+        P.page_elements(_unreadable(spark), skip_unreadable=True).collect()
