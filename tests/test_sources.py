@@ -330,3 +330,13 @@ def test_only_the_parsers_refusal_is_skipped(spark, monkeypatch):
     monkeypatch.setattr(P, "_flatten", out_of_memory)
     with pytest.raises(Exception, match="no more"):
         P.page_elements(_unreadable(spark), skip_unreadable=True).collect()
+
+
+def test_paragraphs_are_not_counted_without_the_pages_that_cannot_be_read(spark, monkeypatch):
+    from palimpsest.plans import pages as Q
+
+    monkeypatch.setattr(Q, "legal_pages", lambda spark, d: _unreadable(spark))
+    with pytest.raises(Exception, match="page 7 cannot be read"):
+        Q.parse_page_paragraphs(spark, "").collect()
+    monkeypatch.setattr(Q, "legal_pages", lambda spark, d: _unreadable(spark).where("page_id <> 7"))
+    assert [tuple(r) for r in Q.parse_page_paragraphs(spark, "").collect()] == [(1, "(1)", 1)]
