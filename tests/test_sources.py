@@ -340,3 +340,17 @@ def test_paragraphs_are_not_counted_without_the_pages_that_cannot_be_read(spark,
         Q.parse_page_paragraphs(spark, "").collect()
     monkeypatch.setattr(Q, "legal_pages", lambda spark, d: _unreadable(spark).where("page_id <> 7"))
     assert [tuple(r) for r in Q.parse_page_paragraphs(spark, "").collect()] == [(1, "(1)", 1)]
+
+
+def test_articles_outside_of_divisions_and_unreadable_pages_are_not_lost(spark, monkeypatch):
+    from palimpsest.plans import pages as Q
+
+    article = lambda n: f'<div id="art_{n}"><div id="00{n}.001"><p class="oj-normal">(1) x</p></div></div>'
+    html = f'<div class="eli-container"><div id="enc_1">{article(1)}{article(2)}</div></div>'
+    pages = spark.createDataFrame([("a", html), ("b", "<p>x</p><![foo[x]]>")], "page_id string, html string")
+    monkeypatch.setattr(Q, "block_pages", lambda spark, d: pages)
+    with pytest.raises(Exception, match="page 'b' cannot be read"):
+        Q.parse_block_articles(spark, "").collect()
+    monkeypatch.setattr(Q, "block_pages", lambda spark, d: pages.where("page_id = 'a'"))
+    found = Q.parse_block_articles(spark, "").select("page_id", "number", "held_by", "full_text").collect()
+    assert {tuple(r) for r in found} == {("a", n, None, f"Articolul {n}\n(1) x") for n in "12"}
