@@ -354,3 +354,21 @@ def test_articles_outside_of_divisions_and_unreadable_pages_are_not_lost(spark,
     monkeypatch.setattr(Q, "block_pages", lambda spark, d: pages.where("page_id = 'a'"))
     found = Q.parse_block_articles(spark, "").select("page_id", "number", "held_by", "full_text").collect()
     assert {tuple(r) for r in found} == {("a", n, None, f"Articolul {n}\n(1) x") for n in "12"}
+
+
+def test_pages_of_one_layout_are_written_once(spark, monkeypatch):
+    names, keep = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: names.append(name) or keep(df, name))
+    legacy = '<p class="ti-section-1">CAPITOLUL I</p><p class="ti-art">Articolul 1</p><p class="normal">(1) x</p><table><tr><td>(a)</td><td>y</td></tr></table>'
+    flat = '<p class="title-article-norm">Articolul 2</p><div class="norm"><span>(1)</span> <p class="norm">z</p></div>'
+    schema = "page_id long, html string"
+
+    def said(*pages):
+        out = P.parse_pages(P.page_elements(spark.createDataFrame(list(pages), schema)))
+        return {(r.page_id, r.number, r.full_text) for r in out["articles"].collect()}
+
+    one = (1, "1", "Articolul 1\n(1) x\n(a) y")
+    assert said((1, legacy)) == {one}
+    assert names == ["layouts"]
+    two = (2, "2", "Articolul 2\n(1) z")
+    assert said((1, legacy), (2, flat), (3, "<p>nothing</p>"), (None, legacy)) == {one, two}
